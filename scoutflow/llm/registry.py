@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.llm import decontaminate, mixing, sharding
+from scoutflow.llm import decontaminate, mixing, sharding, toxicity
 
-MODULES = [decontaminate, sharding, mixing]
+MODULES = [toxicity, decontaminate, sharding, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
