@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.llm import decontaminate, mixing, sharding, toxicity
+from scoutflow.llm import decontaminate, langid, mixing, sharding, toxicity
 
-MODULES = [toxicity, decontaminate, sharding, mixing]
+MODULES = [toxicity, langid, decontaminate, sharding, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
