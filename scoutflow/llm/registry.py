@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.llm import decontaminate, fuzzyhash, langid, mixing, sharding, toxicity
+from scoutflow.llm import decontaminate, fuzzyhash, langid, mixing, sharding, toxicity, warc
 
-MODULES = [fuzzyhash, toxicity, langid, decontaminate, sharding, mixing]
+MODULES = [warc, fuzzyhash, toxicity, langid, decontaminate, sharding, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
