@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.llm import decontaminate, fuzzyhash, langid, licenses, mixing, neardup, sharding, toxicity, warc
+from scoutflow.llm import decontaminate, fuzzyhash, htmldiff, langid, licenses, mixing, neardup, sharding, toxicity, warc
 
-MODULES = [warc, fuzzyhash, neardup, licenses, toxicity, langid, decontaminate, sharding, mixing]
+MODULES = [warc, fuzzyhash, htmldiff, neardup, licenses, toxicity, langid, decontaminate, sharding, mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
