@@ -53,25 +53,41 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": code.astype(np.int64), "n": n.astype(np.int64)})
 
 
+def parents(keys: np.ndarray) -> np.ndarray:
+    """The context of each gram: all but its last byte."""
+    size = keys >> TAG
+    low = keys & np.uint64((1 << 40) - 1)
+    return np.where(size > 0, (low >> np.uint64(8)) | (np.maximum(size, np.uint64(1)) - np.uint64(1)) << TAG, np.uint64(0))
+
+
+def closed(grams: np.ndarray) -> np.ndarray:
+    """The grams with all their contexts and endings, sorted: what stands only at a text's start was not counted itself."""
+    keys = np.unique(np.append(grams.astype(np.uint64), np.uint64(0)))
+    while True:
+        size = np.maximum(keys >> TAG, np.uint64(1)) - np.uint64(1)
+        endings = (keys & ((np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1))) | size << TAG
+        more = np.unique(np.concatenate([keys, parents(keys), endings]))
+        if len(more) == len(keys):
+            return keys.astype(np.int64)
+        keys = more
+
+
 class Trees:
     """All languages' trees as one hash table from a gram to its cost and its escape cost by language."""
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        wide = counts.pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0)[self.langs] if len(counts) else pd.DataFrame(index=np.array([], np.int64))
-        wide.loc[0] = 0  # the empty context
-        wide = wide.sort_index()
+        if not self.langs:
+            return
+        wide = counts.pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0)[self.langs]
+        wide = wide.reindex(closed(wide.index.to_numpy()), fill_value=0)
         keys, n = wide.index.to_numpy().astype(np.uint64), wide.to_numpy(np.float64)
         self.keys = keys
         size = (keys >> TAG).astype(int)
         low = keys & np.uint64((1 << 40) - 1)
-        parent = np.where(size > 0, (low >> np.uint64(8)) | (np.maximum(size - 1, 0).astype(np.uint64) << TAG), np.uint64(0))
-        above = np.searchsorted(keys, parent)
-        child = size > 0
-        above[above >= len(keys)] = 0
-        known = keys[above] == parent  # a context that only stands at a text's start was not itself counted
+        above = np.searchsorted(keys, parents(keys))
+        use = size > 0
         total, kinds = np.zeros_like(n), np.zeros_like(n)
-        use = child & known
         np.add.at(total, above[use], n[use])
         np.add.at(kinds, above[use], n[use] > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -85,10 +101,9 @@ class Trees:
             else:
                 shorter = np.full((len(rows), n.shape[1]), 8.0)
             up = above[rows]
-            ok = known[rows][:, None]
             with np.errstate(divide="ignore", invalid="ignore"):
                 seen = -np.log2(n[rows] / (total[up] + kinds[up]))
-            cost[rows] = np.where(n[rows] > 0, np.where(ok, seen, shorter), shorter + np.where(ok, escape[up], 0.0))
+            cost[rows] = np.where(n[rows] > 0, seen, shorter + escape[up])
         self.cost, self.escape = cost.astype(np.float32), escape.astype(np.float32)
         self.bits = max(4, int(len(keys) * 3).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)

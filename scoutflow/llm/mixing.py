@@ -16,7 +16,7 @@ from scoutflow.llm.common import load, unit_hash, written
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
-LARGEST_RATE = 500.0
+LARGEST_RATE = 64.0
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -36,6 +36,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
     ``weights`` are the target shares (sources not named get none); without them a source's weight is its
     size to the power ``temperature``. ``scale`` times the input's bytes is the target size.
+    A source too small for its share is repeated ``LARGEST_RATE`` times on average and no more; its missing
+    share is not given to others.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     stats = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("n_bytes"))
@@ -49,8 +51,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     total = stats.agg(F.sum("n_bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
     rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_bytes") * F.lit(float(scale)) / F.col("n_bytes")).otherwise(F.lit(0.0))
     rated = stats.join(F.broadcast(total), F.lit(True)).withColumn("rate", rate)
-    checked = F.when(F.col("rate") > LARGEST_RATE, F.raise_error(F.lit("a source would be repeated over 500 times")).cast("double")).otherwise(F.col("rate"))
-    return rated.withColumn("rate", checked).withColumn("cdf", poisson_cdf(F.col("rate"))).select("source", "n_docs", "n_bytes", "weight", "rate", "cdf")
+    return rated.withColumn("rate", F.least(F.col("rate"), F.lit(LARGEST_RATE))).withColumn("cdf", poisson_cdf(F.col("rate"))).select("source", "n_docs", "n_bytes", "weight", "rate", "cdf")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, scale: float = 1.0, seed: str = SEED) -> DataFrame:
@@ -83,7 +84,7 @@ mix_stats AS (
   SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS n_bytes FROM {docs} GROUP BY source),
 mix_weights AS (SELECT source, n_bytes, pow(n_bytes, 0.5) AS weight FROM mix_stats),
 mix_rates AS (
-  SELECT source, weight / (SELECT sum(weight) FROM mix_weights) * (SELECT sum(n_bytes) FROM mix_weights) / n_bytes AS rate FROM mix_weights),
+  SELECT source, least(64.0, weight / (SELECT sum(weight) FROM mix_weights) * (SELECT sum(n_bytes) FROM mix_weights) / n_bytes) AS rate FROM mix_weights),
 mix_cdf AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM mix_rates
   UNION ALL

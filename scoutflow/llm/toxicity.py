@@ -186,7 +186,8 @@ def surprise_of(scores: list[float], n_words: int, lam: float) -> float:
         total += lam * s - math.log(KA_K * n_words)
         if total <= 0:
             break
-        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+        if total > r * (r - 1):  # the form holds for large sums; each further segment pays for being a choice
+            best = max(best, total - (r - 1) * math.log(2 * total) + math.lgamma(r + 1) + math.lgamma(r))
     return best
 
 
@@ -216,7 +217,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column | str], Column
             rows = [score_text(t, model, weights) for t in texts]
             yield pd.DataFrame(
                 {
-                    "score": [model.probability(r[0]) if r[1] else 0.0 for r in rows],
+                    "score": [model.probability(r[0]) if r[1] and model.weights else 0.0 for r in rows],
                         "surprise": [r[0] for r in rows],
                     "n_tokens": [r[1] for r in rows],
                     "segments": [[{"first": f, "last": last, "score": s, "evalue": e} for f, last, s, e in r[2]] for r in rows],
