@@ -208,6 +208,8 @@ def near_in_block(rows: pd.DataFrame) -> pd.DataFrame:
     regs, comp, n = _matrix(rows["regs"]), rows["component"].to_numpy(), rows["n"].to_numpy(float)
     ids = rows["id"].to_numpy()
     pairs = []
+    if rows["component"].nunique() < 2:
+        return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
     for at in range(0, len(rows), 64):
         part = slice(at, at + 64)
         agree = np.zeros((len(regs[part]), len(regs)), np.int16)
@@ -291,7 +293,9 @@ def label_components(docs: DataFrame) -> DataFrame:
         # Buckets whose members are not yet one component: what their centres did not settle.
         placed = members.select("key", "id", "size").join(first.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = written(placed, "placed")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+        # Bands repeat each other: of buckets with the same members one is enough.
+        open_keys = spread.filter("lo <> hi").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
         rows = placed.join(open_keys, "key", "left_semi").join(reps, "id")
         seem = written(_blocks(rows, "key", "size", 2 * BLOCK).groupBy("key", "bi", "bj").applyInPandas(near_in_block, "a long, b long").distinct(), "seem")
         if seem.head(1):
