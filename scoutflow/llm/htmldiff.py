@@ -40,6 +40,7 @@ MARKS = {
     "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus",
     "respond", "pagination", "pager", "toolbar", "skip", "copyright", "legal", "disclaimer",
 }
+BESIDES = {"has", "with", "no", "without", "and"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -48,6 +49,12 @@ SPACE = re.compile(r"\s+")
 ENDS_P = BLOCK - {"html", "body", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "summary", "legend", "figcaption"}
 
 
+def marked(name: str) -> bool:
+    """Whether a class or id names page furniture. ``has-sidebar`` and the like name what an element goes with."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    return any(w in MARKS and (i == 0 or words[i - 1] not in BESIDES) for i, w in enumerate(words))
+
+
 def furniture(tag: str, attributes: str) -> bool:
     """Whether an element's name, role, class, id or hiddenness says that it is not part of the article."""
     if tag in CHROME:
@@ -60,7 +67,7 @@ def furniture(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in CONTENT and any(w.lower() in MARKS for w in NAME_WORD.findall(value)):
+        if name in ("class", "id") and tag not in CONTENT and any(marked(part) for part in value.split()):
             return True
     return False
 

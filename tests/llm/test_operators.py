@@ -145,6 +145,11 @@ def test_html_differencing_without_article(spark):
     assert htmldiff.extract(frame.filter("page_id = 77")).count() == 0
 
 
+def test_html_names_of_layouts():
+    page = "<div class='page has-sidebar noCookie'><div id='main-content'><p>kept</p><div class='sidebarWidget'>gone</div></div></div>"
+    assert htmldiff.keep(htmldiff.blocks(page), None) == "kept"
+
+
 def test_html_furniture():
     page = (
         "<title>t</title><div class='cookie-notice'>c</div><header><h1>Site</h1></header><main><article><header><h1>T</h1></header><p>a <b>b</b>\n c<p>d"
