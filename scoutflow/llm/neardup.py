@@ -29,7 +29,7 @@ BANDS = REGISTERS // ROWS
 # Five standard deviations below the threshold, for registers that agree with chance PERCENT / 100.
 CUT = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 BLOCK = 512
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -270,7 +270,8 @@ def label_components(docs: DataFrame) -> DataFrame:
     sketches = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sketch, SKETCH), "sketches")
     group = ["n", "set_a", "set_b"]
     usable = sketches.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy(*group).agg(F.min("doc_id").alias("id"))
+    # Written, so that joins with it can be split where one class is large.
+    classes = written(usable.groupBy(*group).agg(F.min("doc_id").alias("id")), "classes")
     # The row that stands for its class: joined on the id, so a class of any size meets one row.
     found = usable.withColumnRenamed("doc_id", "id").join(classes, ["id", *group], "left_semi").dropDuplicates(["id"])
     reps = written(found.select("id", "n", "regs"), "reps")
