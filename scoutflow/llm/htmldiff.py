@@ -1,7 +1,7 @@
 """Main text of web pages by differencing against the page of nearest URL.
 
 A page is read into blocks of text. Pages are paired within their host with the neighbour in path order that
-shares the longest path; a longest common subsequence aligns the two pages' blocks, and blocks that both have are
+shares the longest path and is not a copy of the page; a longest common subsequence aligns the two pages' blocks, and blocks that both have are
 template and go. Blocks inside the page's article are the author's own and stay even when a neighbour repeats
 them; blocks under elements whose role is named (navigation, footer, advertisement and so on) go in any case.
 """
@@ -40,6 +40,8 @@ MARKS = {
     "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus",
     "respond", "pagination", "pager", "toolbar", "skip", "copyright", "legal", "disclaimer",
 }
+# Pages looked at on each side of a page in path order, and the share of a page's characters from which another is its copy.
+NEAR, COPY = 4, 0.9
 BESIDES = {"has", "with", "no", "without", "and"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -196,17 +198,32 @@ def doubtful(found: list[tuple[str, int]]) -> list[int]:
     return [line_hash(t) for t, kind in found if kind >= 0]
 
 
-def keep(found: list[tuple[str, int]], other: list[int] | None) -> str:
-    """The page's main text, given its neighbour's line hashes (None: no neighbour)."""
+def aligned(lines: list[tuple[str, int]], others: list[list[int]]) -> set[int]:
+    """Places that the page shares with the first of ``others`` that is not a copy of it; none where all are.
+
+    The other is a copy where it holds ``COPY`` of this page's characters: a mirror, a print view or a recrawl, which says
+    nothing about what is template.
+    """
+    mine = [line_hash(t) for t, _ in lines]
+    chars = sum(len(t) for t, _ in lines)
+    for other in others:
+        shared = common_lines(mine, other)
+        if sum(len(lines[i][0]) for i in shared) < COPY * chars:
+            return shared
+    return set()
+
+
+def keep(found: list[tuple[str, int]], others: list[list[int]] | None) -> str:
+    """The page's main text, given the line hashes of its neighbours, nearest first (None: no neighbour)."""
     lines = [(t, kind) for t, kind in found if kind >= 0]
-    shared = common_lines([line_hash(t) for t, _ in lines], other) if other else set()
+    shared = aligned(lines, others or [])
     has_article = any(kind == 1 for _, kind in lines)
     return "\n".join(t for i, (t, kind) in enumerate(lines) if kind == 1 or not has_article and i not in shared)
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "lines": [doubtful(blocks(h)) for h in batch["html"]]})
+        yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "lines": [doubtful(blocks(h)) for h in batch["html"]]})
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,61 +236,82 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = []
-        for packed, other in zip(batch["packed"], batch["lines"]):
+        for packed, others in zip(batch["packed"], batch["others"]):
             rows = zlib.decompress(packed).decode("utf-8")
             found = [(r.partition(" ")[2], int(r.partition(" ")[0])) for r in rows.split("\n")] if rows else []
-            texts.append(keep(found, None if other is None else list(other)))
+            texts.append(keep(found, None if others is None else [list(o) for o in others]))
         yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """``page_id, other``: for each distinct id, the neighbour by path order in its host that shares more of the path.
-
-    Path order is taken over range partitions of (host, path), so a host of any size is spread out; only the first and
-    last row of each partition meet in one place. The longer common path wins, then the page before. A page alone on its host has no row.
-    """
+def page_lines(pages: DataFrame) -> DataFrame:
+    """``page_id, host, path, lines, sig``: one row for each id with its least URL and hash list; ``sig`` names the list."""
+    rows = pages.select("page_id", "url", "html").filter("page_id is not null").mapInPandas(_lines, "page_id long, url string, lines array<long>")
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*)?([^#]*)", 1)
-    keys = pages.select("page_id", host.alias("host"), path.alias("path")).filter("page_id is not null").groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("k")).select("page_id", "k.host", "k.path")
+    one = rows.groupBy("page_id").agg(F.min(F.struct(host.alias("host"), path.alias("path"))).alias("k"), F.min("lines").alias("lines"))
+    return written(one.select("page_id", "k.host", "k.path", "lines", F.xxhash64("lines").alias("sig")), "page-lines")
+
+
+def neighbours(heads: DataFrame) -> DataFrame:
+    """``page_id, place, other``: for each row of ``heads`` (``page_id, host, path``), those near it by path order in its host.
+
+    Path order is taken over range partitions of (host, path), so a host of any size is spread out; only the first and
+    last ``NEAR`` rows of each partition meet in one place. The longer common path goes first, then the closer page, then the page before.
+    """
     order = ["host", "path", "page_id"]
-    spread = written(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "page-order")
+    spread = written(heads.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "page-order")
     inside = W.partitionBy("part").orderBy(*order)
-    this = F.struct("page_id", "host", "path")
-    near = spread.select(*order, "part", F.lag(this).over(inside).alias("before"), F.lead(this).over(inside).alias("after"))
-    edges = spread.groupBy("part").agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"))
-    across = W.orderBy("first")
-    hand = edges.select("part", F.lag("last").over(across).alias("prior"), F.lead("first").over(across).alias("next"))
+    this = F.struct(*order)
+    near = spread.select(
+        *order, "part", F.collect_list(this).over(inside.rowsBetween(-NEAR, -1)).alias("before"), F.collect_list(this).over(inside.rowsBetween(1, NEAR)).alias("after")
+    )
+    backwards = W.partitionBy("part").orderBy(*(F.desc(c) for c in order))
+    ends = spread.select("part", this.alias("k"), F.row_number().over(inside).alias("i"), F.row_number().over(backwards).alias("j"))
+    edges = ends.groupBy("part").agg(
+        F.sort_array(F.collect_list(F.when(F.col("i") <= NEAR, F.col("k")))).alias("first"), F.sort_array(F.collect_list(F.when(F.col("j") <= NEAR, F.col("k")))).alias("last")
+    )
+    across = W.orderBy(F.col("first")[0])
+    # A partition may hold fewer rows than are wanted, so the edges of NEAR partitions are handed on.
+    hand = edges.select(
+        "part", F.flatten(F.collect_list("last").over(across.rowsBetween(-NEAR, -1))).alias("prior"), F.flatten(F.collect_list("first").over(across.rowsBetween(1, NEAR))).alias("next")
+    )
     whole = near.join(F.broadcast(hand), "part")
 
-    def side(here: str, there: str) -> "F.Column":
-        got = F.coalesce(F.col(here), F.struct(F.col(f"{there}.page_id").alias("page_id"), F.col(f"{there}.host").alias("host"), F.col(f"{there}.path").alias("path")))
-        return F.when(got["host"] == F.col("host"), got)
+    def side(rows: "F.Column", side: int) -> "F.Column":
+        """The ``NEAR`` closest of the same host, with their order."""
+        mine, theirs = F.split("path", "/"), lambda x: F.split(x["path"], "/")
 
-    both = whole.select("page_id", "path", side("before", "prior").alias("b"), side("after", "next").alias("a"))
+        def rank(x: "F.Column", i: "F.Column") -> "F.Column":
+            same = F.zip_with(mine, theirs(x), lambda u, v: u.eqNullSafe(v))
+            common = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)), F.size(same) + 1)
+            return F.struct((-common).alias("common"), (i + 1).alias("far"), F.lit(side).alias("side"), x["page_id"].alias("other"))
 
-    def shared(other: str) -> "F.Column":
-        mine, theirs = F.split("path", "/"), F.split(F.col(f"{other}.path"), "/")
-        same = F.zip_with(mine, theirs, lambda x, y: x.eqNullSafe(y))
-        return F.when(F.col(other).isNotNull(), F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)), F.size(same) + 1)).otherwise(0)
+        return F.filter(F.transform(F.slice(rows, 1, NEAR), lambda x, i: F.when(x["host"] == F.col("host"), rank(x, i))), lambda x: x.isNotNull())
 
-    pick = F.when(shared("a") > shared("b"), F.col("a.page_id")).otherwise(F.coalesce("b.page_id", "a.page_id"))
-    return both.select("page_id", pick.alias("other")).filter("other is not null")
+    back = side(F.concat(F.reverse("before"), F.reverse("prior")), 0)
+    ahead = side(F.concat(F.col("after"), F.col("next")), 1)
+    ranked = whole.select("page_id", F.posexplode(F.sort_array(F.concat(back, ahead))).alias("place", "n"))
+    return ranked.select("page_id", "place", "n.other")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages`` (``page_id, url, html``).
 
-    A null or empty html has empty text. Where ids repeat, the least hash list of an id serves as its lines. Pages
-    with a null id, and pages alone on their host, are judged by their own markup. A page without any article element keeps the
-    unmarked blocks that its neighbour lacks.
+    A null or empty html has empty text. Where ids repeat, the least hash list of an id serves as its lines. Pages of one
+    host with equal hash lists are copies: one of them stands for all in path order, so none is another's neighbour. Pages
+    with a null id, pages alone on their host, and pages with nothing but copies near them are judged by their own markup.
+    A page without any article element keeps the unmarked blocks that its neighbour lacks.
     """
-    lines = pages.select("page_id", "html").filter("page_id is not null").mapInPandas(_lines, "page_id long, lines array<long>")
-    lines = lines.groupBy("page_id").agg(F.min("lines").alias("lines"))
-    pairs = neighbours(pages)
-    other = pairs.join(lines.withColumnRenamed("page_id", "other"), "other").select("page_id", "lines")
+    keyed = page_lines(pages)
+    heads = keyed.filter(F.size("lines") > 0).groupBy("host", "sig").agg(F.min(F.struct("path", "page_id")).alias("k"), F.min("lines").alias("lines"))
+    heads = written(heads.select("host", "sig", "k.path", "k.page_id", "lines"), "page-heads")
+    found = neighbours(heads).join(heads.select(F.col("page_id").alias("other"), "lines"), "other")
+    listed = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("place", "lines"))).alias("ls")).select("page_id", F.col("ls.lines").alias("others"))
+    classes = heads.join(listed, "page_id").select("host", "sig", "others")
+    other = keyed.filter(F.size("lines") > 0).select("page_id", "host", "sig").join(classes, ["host", "sig"]).select("page_id", "others")
     packed = pages.select("page_id", "url", "html").mapInPandas(_packed, "page_id long, url string, packed binary")
-    return packed.join(other, "page_id", "left").select("page_id", "url", "packed", "lines").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return packed.join(other, "page_id", "left").select("page_id", "url", "packed", "others").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op3_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:

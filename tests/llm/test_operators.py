@@ -145,6 +145,17 @@ def test_html_differencing_without_article(spark):
     assert htmldiff.extract(frame.filter("page_id = 77")).count() == 0
 
 
+def test_html_copies_are_no_neighbours(spark):
+    body = " and ".join(f"word{i}" for i in range(60))
+    page = "<html><body><div>Site name</div><div>Menu one</div><p>{}</p><div>All rights</div></body></html>"
+    rows = [(i, u, page.format(body)) for i, u in enumerate(["http://h/a/1", "http://h/a/1?print", "http://h/a/1", "http://m/a/1", "http://m/a/2"])]
+    rows += [(10, "http://h/b/9", page.format("Another story altogether")), (11, "http://h/a/1/recrawl", page.format(body) + "<p>Read 2 May</p>")]
+    got = {r["page_id"]: r["text"] for r in htmldiff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (0, 1, 2)] == [body] * 3 and got[10] == "Another story altogether" and got[11] == body + "\nRead 2 May"
+    # Copies alone on a host have nothing to be compared with: the text stays.
+    assert all(body in got[i] for i in (3, 4))
+
+
 def test_html_names_of_layouts():
     page = "<div class='page has-sidebar noCookie'><div id='main-content'><p>kept</p><div class='sidebarWidget'>gone</div></div></div>"
     assert htmldiff.keep(htmldiff.blocks(page), None) == "kept"
