@@ -2,8 +2,9 @@
 
 A page is read into blocks of text. Pages are paired within their host with the neighbour in path order that
 shares the longest path and is not a copy of the page; a longest common subsequence aligns the two pages' blocks, and blocks that both have are
-template and go. Blocks inside the page's article are the author's own and stay even when a neighbour repeats
-them; blocks under elements whose role is named (navigation, footer, advertisement and so on) go in any case.
+template and go, inside the main element too. Blocks inside an article are the author's own and stay even when a
+neighbour repeats them; blocks under elements whose role is named (navigation, footer, advertisement and so on) go in
+any case, and so do blocks outside of article and main where these hold the longer part of what is left.
 """
 
 from __future__ import annotations
@@ -51,14 +52,14 @@ SPACE = re.compile(r"\s+")
 ENDS_P = BLOCK - {"html", "body", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "summary", "legend", "figcaption"}
 
 
-def marked(name: str) -> bool:
-    """Whether a class or id names page furniture. ``has-sidebar`` and the like name what an element goes with."""
+def marked(name: str, inside: bool = False) -> bool:
+    """Whether a class or id names page furniture. ``has-sidebar`` and the like name what an element goes with; a header inside content is its heading."""
     words = [w.lower() for w in NAME_WORD.findall(name)]
-    return any(w in MARKS and (i == 0 or words[i - 1] not in BESIDES) for i, w in enumerate(words))
+    return any(w in MARKS and not (inside and w == "header") and (i == 0 or words[i - 1] not in BESIDES) for i, w in enumerate(words))
 
 
-def furniture(tag: str, attributes: str) -> bool:
-    """Whether an element's name, role, class, id or hiddenness says that it is not part of the article."""
+def furniture(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element's name, role, class, id or hiddenness says that it is not part of the article; ``inside``: it stands in content."""
     if tag in CHROME:
         return True
     if not attributes or tag in ("html", "body"):
@@ -69,18 +70,18 @@ def furniture(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in CONTENT and any(marked(part) for part in value.split()):
+        if name in ("class", "id") and tag not in CONTENT and any(marked(part, inside) for part in value.split()):
             return True
     return False
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """Blocks of text in page order, each with 0 (open to doubt), 1 (inside the article) or -1 (furniture)."""
+    """Blocks of text in page order, each with 0 (open to doubt), 1 (inside the main element), 2 (inside the article) or -1 (furniture)."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     # Open elements: tag, whether it is furniture, whether it is article content.
     stack: list[tuple[str, int, int]] = []
-    chrome = content = 0
+    chrome = content = article = 0
     source = page or ""
 
     def flush() -> None:
@@ -88,14 +89,15 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if text:
             line = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append((line, -1 if chrome else 1 if content else 0))
+                out.append((line, -1 if chrome else 2 if article else 1 if content else 0))
             text = []
 
     def close(depth: int) -> None:
-        nonlocal chrome, content
-        for _, c, k in stack[depth:]:
+        nonlocal chrome, content, article
+        for name, c, k in stack[depth:]:
             chrome -= c
             content -= k
+            article -= int(name == "article")
         del stack[depth:]
 
     at = 0
@@ -148,10 +150,11 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         # A heading inside the article's own header is the article's.
         outer = tag == "header" and not content
-        c = int(furniture(tag, m[3]) or outer)
+        c = int(furniture(tag, m[3], content > 0) or outer)
         stack.append((tag, c, int(tag in CONTENT)))
         chrome += c
         content += int(tag in CONTENT)
+        article += int(tag == "article")
     flush()
     return out
 
@@ -214,16 +217,22 @@ def aligned(lines: list[tuple[str, int]], others: list[list[int]]) -> set[int]:
 
 
 def keep(found: list[tuple[str, int]], others: list[list[int]] | None) -> str:
-    """The page's main text, given the line hashes of its neighbours, nearest first (None: no neighbour)."""
+    """The page's main text, given the line hashes of its neighbours, nearest first (None: no neighbour).
+
+    The alignment decides on all blocks outside an article. What it leaves outside of article and main goes too, unless
+    it is longer than what is inside: then the marked part is a teaser.
+    """
     lines = [(t, kind) for t, kind in found if kind >= 0]
     shared = aligned(lines, others or [])
-    has_article = any(kind == 1 for _, kind in lines)
-    return "\n".join(t for i, (t, kind) in enumerate(lines) if kind == 1 or not has_article and i not in shared)
+    left = [(t, kind) for i, (t, kind) in enumerate(lines) if kind == 2 or i not in shared]
+    inside, outside = (sum(len(t) for t, kind in left if (kind > 0) == side) for side in (True, False))
+    return "\n".join(t for t, kind in left if kind > 0 or outside > inside)
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "lines": [doubtful(blocks(h)) for h in batch["html"]]})
+        found = [blocks(h) for h in batch["html"]]
+        yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "lines": [doubtful(f) for f in found], "asks": [any(kind in (0, 1) for _, kind in f) for f in found]})
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,27 +253,30 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """``page_id, host, path, lines, sig``: one row for each id with its least URL and hash list; ``sig`` names the list."""
-    rows = pages.select("page_id", "url", "html").filter("page_id is not null").mapInPandas(_lines, "page_id long, url string, lines array<long>")
+    """``page_id, host, path, lines, sig, asks``: one row for each id with its least URL and hash list; ``sig`` names the list.
+
+    A page with no block outside of articles and furniture does not ask: no neighbour can change its text.
+    """
+    rows = pages.select("page_id", "url", "html").filter("page_id is not null").mapInPandas(_lines, "page_id long, url string, lines array<long>, asks boolean")
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*)?([^#]*)", 1)
-    one = rows.groupBy("page_id").agg(F.min(F.struct(host.alias("host"), path.alias("path"))).alias("k"), F.min("lines").alias("lines"))
-    return written(one.select("page_id", "k.host", "k.path", "lines", F.xxhash64("lines").alias("sig")), "page-lines")
+    one = rows.groupBy("page_id").agg(F.min(F.struct(host.alias("host"), path.alias("path"))).alias("k"), F.min("lines").alias("lines"), F.max("asks").alias("asks"))
+    return written(one.select("page_id", "k.host", "k.path", "lines", F.xxhash64("lines").alias("sig"), "asks"), "page-lines")
 
 
 def neighbours(heads: DataFrame) -> DataFrame:
-    """``page_id, place, other``: for each row of ``heads`` (``page_id, host, path``), those near it by path order in its host.
+    """``page_id, place, other``: for each row of ``heads`` (``page_id, host, path, asks``) that asks, those near it by path order in its host.
 
     Path order is taken over range partitions of (host, path), so a host of any size is spread out; only the first and
     last ``NEAR`` rows of each partition meet in one place. The longer common path goes first, then the closer page, then the page before.
     """
     order = ["host", "path", "page_id"]
-    spread = written(heads.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "page-order")
+    spread = written(heads.select(*order, "asks").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "page-order")
     inside = W.partitionBy("part").orderBy(*order)
     this = F.struct(*order)
     near = spread.select(
-        *order, "part", F.collect_list(this).over(inside.rowsBetween(-NEAR, -1)).alias("before"), F.collect_list(this).over(inside.rowsBetween(1, NEAR)).alias("after")
+        *order, "asks", "part", F.collect_list(this).over(inside.rowsBetween(-NEAR, -1)).alias("before"), F.collect_list(this).over(inside.rowsBetween(1, NEAR)).alias("after")
     )
     backwards = W.partitionBy("part").orderBy(*(F.desc(c) for c in order))
     ends = spread.select("part", this.alias("k"), F.row_number().over(inside).alias("i"), F.row_number().over(backwards).alias("j"))
@@ -291,7 +303,7 @@ def neighbours(heads: DataFrame) -> DataFrame:
 
     back = side(F.concat(F.reverse("before"), F.reverse("prior")), 0)
     ahead = side(F.concat(F.col("after"), F.col("next")), 1)
-    ranked = whole.select("page_id", F.posexplode(F.sort_array(F.concat(back, ahead))).alias("place", "n"))
+    ranked = whole.filter("asks").select("page_id", F.posexplode(F.sort_array(F.concat(back, ahead))).alias("place", "n"))
     return ranked.select("page_id", "place", "n.other")
 
 
@@ -301,15 +313,15 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html has empty text. Where ids repeat, the least hash list of an id serves as its lines. Pages of one
     host with equal hash lists are copies: one of them stands for all in path order, so none is another's neighbour. Pages
     with a null id, pages alone on their host, and pages with nothing but copies near them are judged by their own markup.
-    A page without any article element keeps the unmarked blocks that its neighbour lacks.
+    Outside an article a page keeps the unmarked blocks that its neighbour lacks (see ``keep``).
     """
     keyed = page_lines(pages)
-    heads = keyed.filter(F.size("lines") > 0).groupBy("host", "sig").agg(F.min(F.struct("path", "page_id")).alias("k"), F.min("lines").alias("lines"))
-    heads = written(heads.select("host", "sig", "k.path", "k.page_id", "lines"), "page-heads")
+    heads = keyed.filter(F.size("lines") > 0).groupBy("host", "sig").agg(F.min(F.struct("path", "page_id")).alias("k"), F.min("lines").alias("lines"), F.max("asks").alias("asks"))
+    heads = written(heads.select("host", "sig", "k.path", "k.page_id", "lines", "asks"), "page-heads")
     found = neighbours(heads).join(heads.select(F.col("page_id").alias("other"), "lines"), "other")
     listed = found.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("place", "lines"))).alias("ls")).select("page_id", F.col("ls.lines").alias("others"))
     classes = heads.join(listed, "page_id").select("host", "sig", "others")
-    other = keyed.filter(F.size("lines") > 0).select("page_id", "host", "sig").join(classes, ["host", "sig"]).select("page_id", "others")
+    other = keyed.filter("asks").select("page_id", "host", "sig").join(classes, ["host", "sig"]).select("page_id", "others")
     packed = pages.select("page_id", "url", "html").mapInPandas(_packed, "page_id long, url string, packed binary")
     return packed.join(other, "page_id", "left").select("page_id", "url", "packed", "others").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
 

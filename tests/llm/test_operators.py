@@ -156,6 +156,23 @@ def test_html_copies_are_no_neighbours(spark):
     assert all(body in got[i] for i in (3, 4))
 
 
+def test_html_alignment_decides_outside_articles():
+    def text(page, *others):
+        return htmldiff.keep(htmldiff.blocks(page), [htmldiff.doubtful(htmldiff.blocks(o)) for o in others])
+
+    story, other = "A story of its own, told at some length", "Another story, quite unlike the first one"
+    # Unmarked menus and notices in main go where a neighbour has them.
+    main = "<main><div>Menu one</div><h1>Title {0}</h1><p>{0}</p><div>Notice</div></main>"
+    assert text(main.format(story), main.format(other)) == f"Title {story}\n{story}"
+    # A teaser in an article does not stand for the body.
+    teaser = "<div>Menu one</div><div><p>{}</p></div><article><p>Read on</p></article>"
+    assert text(teaser.format(story), teaser.format(other)) == f"{story}\nRead on"
+    # A long article does: what is outside goes.
+    assert text(f"<div>By A</div><article>{story}</article>", f"<div>By B</div><article>{other}</article>") == story
+    for name in ("entry-header", "post-header", "article-header"):
+        assert text(f"<article><header class='{name}'><h1>T</h1></header><p>{story}</p></article>") == f"T\n{story}"
+
+
 def test_html_names_of_layouts():
     page = "<div class='page has-sidebar noCookie'><div id='main-content'><p>kept</p><div class='sidebarWidget'>gone</div></div></div>"
     assert htmldiff.keep(htmldiff.blocks(page), None) == "kept"
