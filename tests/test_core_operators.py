@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -54,6 +55,21 @@ def test_resolution_identities_in_any_order(spark):
         assert {r["identity_key"] for r in resolved(spark, *rows)} == {"A", "B"}
 
 
+def test_resolution_against_all_pairs(spark):
+    """Near-spelt, contained and short titles, unknown organisers, and dates that come by merging, against one greedy pass over all pairs."""
+    titles = ["Bioinformatics", "Bioinformatic", "Summerschool", "Summerschools", "AI", "AI summer school", "", "Graph data school", "Graph data schools Rome"]
+    rnd = random.Random(4)
+    days = [None, date(2026, 8, 1), date(2026, 8, 9)]
+    for _ in range(3):
+        rows = [cand(i, title=rnd.choice(titles), organizer=rnd.choice(["", "", "O", "P"]), location=rnd.choice(["", "", "Rome", "Paris"]), start_date=rnd.choice(days), end_date=rnd.choice(days), deadline=rnd.choice(days)) for i in range(40)]
+        kept = []
+        for r in sorted((dict(zip([c.split()[0] for c in CAND.split(", ")], x)) for x in rows), key=lambda r: (-r["score"], r["ord"])):
+            match = next((k for k in kept if resolve.same_opportunity(r, k)), None)
+            kept.append(r) if match is None else resolve.merge(match, r, AS_OF)
+        got = resolved(spark, *rows)
+        assert [(r["rid"], r["start_date"], r["deadline"], r["location"]) for r in got] == sorted((r["rid"], r["start_date"], r["deadline"], r["location"]) for r in kept)
+
+
 def test_filters_and_scores(spark):
     schema = "deadline_status string, deadline date, start_date date, duration_days int, funding_available boolean, funding_type array<string>, fee string, fee_eur double, mode string, topic_keywords array<string>, region_priority string, source_layer string, target_level string"
     rows = [
