@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Poisson replication.
 
 A source's rate is its share of the target size over its own size. Each document's count is the inverse of
-the Poisson distribution with that rate at a seeded hash of its id, so counts do not depend on partitioning,
+the Poisson distribution with that rate at a seeded hash of its id (large rates are sums of parts), so counts do not depend on partitioning,
 and a retried task repeats them. Documents are exploded by their counts and sorted by a second hash.
 """
 
@@ -16,7 +16,8 @@ from scoutflow.llm.common import load, unit_hash, written
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
-LARGEST_RATE = 64.0
+# Fixed value: the largest rate that is inverted at once; exp(-rate) stays far from underflow.
+PART_RATE = 64.0
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -32,12 +33,11 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, scale: float = 1.0) -> DataFrame:
-    """One row a source: ``source, n_docs, n_bytes, weight, rate, cdf``.
+    """One row a source: ``source, n_docs, n_bytes, weight, rate, parts, cdf``.
 
     ``weights`` are the target shares (sources not named get none); without them a source's weight is its
     size to the power ``temperature``. ``scale`` times the input's bytes is the target size.
-    A source too small for its share is repeated ``LARGEST_RATE`` times on average and no more; its missing
-    share is not given to others.
+    A rate above ``PART_RATE`` is the sum of ``parts`` equal rates; ``cdf`` is that of one part.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     stats = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("n_bytes"))
@@ -51,7 +51,8 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     total = stats.agg(F.sum("n_bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
     rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_bytes") * F.lit(float(scale)) / F.col("n_bytes")).otherwise(F.lit(0.0))
     rated = stats.join(F.broadcast(total), F.lit(True)).withColumn("rate", rate)
-    return rated.withColumn("rate", F.least(F.col("rate"), F.lit(LARGEST_RATE))).withColumn("cdf", poisson_cdf(F.col("rate"))).select("source", "n_docs", "n_bytes", "weight", "rate", "cdf")
+    split = rated.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int"))
+    return split.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts"))).select("source", "n_docs", "n_bytes", "weight", "rate", "parts", "cdf")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, scale: float = 1.0, seed: str = SEED) -> DataFrame:
@@ -63,14 +64,17 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     """
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key")
     # One row a source; the planner broadcasts the written table if it is under its threshold and else joins by shuffle.
-    rates = written(source_rates(docs, weights, temperature, scale).select(F.col("source").alias("__source"), "rate", "cdf"), "mix-rates")
+    rates = written(source_rates(docs, weights, temperature, scale).select(F.col("source").alias("__source"), "rate", F.col("parts").alias("__parts"), "cdf"), "mix-rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
     joined = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")))
     u = unit_hash(seed, key)
-    counted = joined.withColumn("__u", u).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("__u"))))
+    first = F.size(F.filter("cdf", lambda c: c <= F.col("__u")))
+    # Each further part is drawn by a hash of its own.
+    more = F.aggregate(F.sequence(F.lit(1), F.col("__parts") - 1), first, lambda n, i: n + F.size(F.filter("cdf", lambda c: c <= unit_hash(seed, key, i))))
+    counted = joined.withColumn("__u", u).withColumn("n_copies", F.when(F.col("__parts") > 1, more).otherwise(first))
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", unit_hash(seed + "-order", key, F.col("copy")))
-    return keyed.drop("__source", "cdf", "__u").orderBy("shuffle_key", "doc_id", "copy")
+    return keyed.drop("__source", "__parts", "cdf", "__u").orderBy("shuffle_key", "doc_id", "copy")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,3 +383,10 @@ def test_mixing(spark, docs, odd, none):
     twice = [mixing.mix(docs.repartition(n)).select("doc_id", "copy", "shuffle_key").collect() for n in (1, 5)]
     assert twice[0] == twice[1]
     assert mixing.mix(odd).count() >= 0 and mixing.mix(none).count() == 0
+
+
+def test_mixing_reaches_the_share_of_a_small_source(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 20, "b").otherwise("a").alias("source"))
+    got = {r["source"]: r for r in mixing.mix(rows, {"a": 0.5, "b": 0.5}).groupBy("source").agg(F.count("*").alias("n"), F.min("rate").alias("rate"), F.min("n_copies").alias("least"), F.max("n_copies").alias("most")).collect()}
+    assert got["b"]["rate"] == 500 and abs(got["b"]["n"] - 10_000) < 400 and abs(got["a"]["n"] - 10_000) < 400
+    assert 400 < got["b"]["least"] < got["b"]["most"] < 600
