@@ -3,13 +3,14 @@
 A document is its set of distinct five-word shingles. Its hashes are dealt into ``REGISTERS`` buckets; a
 register keeps the bucket's least hash as a count of leading zeros and ``MANTISSA`` bits (empty buckets borrow
 from others). Documents that agree on a band of ``ROWS`` registers are candidates. In a bucket of candidates each
-is first compared with one centre; where that leaves members unconnected, members of different components are
-compared in blocks. Collision-corrected estimates go before every comparison of full sets, and only that
+is first compared with one centre; where that leaves members unconnected, those outside the bucket's largest component are compared with
+all of it, in blocks. Collision-corrected estimates go before every comparison of full sets, and only that
 comparison links two documents. Equal sets are one vertex throughout.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 # Five standard deviations below the threshold, for registers that agree with chance PERCENT / 100.
 CUT = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
-BLOCK = 512
+# Rows of registers in a block, and shingles of texts.
+BLOCK, SHINGLES = 256, 1 << 16
 CHUNK = 1 << 18
 SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -82,6 +84,44 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(o, np.arange(len(texts) + 1))
 
 
+WORD_END = re.compile(rb"[\x20\x09-\x0D]")
+WORD = re.compile(rb"[^\x20\x09-\x0D]")
+LAST_WORDS = re.compile(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}\Z" % (WORDS - 1))
+
+
+def slices(text: bytes) -> Iterator[bytes]:
+    """Parts of a long text, of about ``CHUNK`` bytes and cut between words, that hold each run of ``WORDS`` words at least once."""
+    start = 0
+    while start < len(text):
+        cut = WORD_END.search(text, start + CHUNK) if start + CHUNK < len(text) else None
+        if cut is None or WORD.search(text, cut.end()) is None:
+            yield text[start:]
+            return
+        back = max(start, cut.end() - (CHUNK >> 3))
+        tail = LAST_WORDS.search(text, back, cut.end())
+        if tail is None or tail.start() == back:  # words too long for the look back: no cut here
+            yield text[start:]
+            return
+        yield text[start : cut.end()]
+        start = tail.start()
+
+
+def long_set(text: bytes) -> np.ndarray:
+    """The set of one long text, slice by slice, so that memory holds the set and one slice's arrays."""
+    parts = list(slices(text))
+    if len(parts) < 2:
+        return shingle_sets([text])[0]
+    return np.unique(np.concatenate([shingle_sets([p])[0] for p in parts]))
+
+
+def all_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, long texts in slices."""
+    if all(len(t) <= 2 * CHUNK for t in texts):
+        return shingle_sets(texts)
+    sets = [long_set(t) for t in texts]
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
@@ -139,7 +179,7 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [(t or "").encode() for t in batch["text"]]
         for a, b in pieces(texts):
-            h, bounds = shingle_sets(texts[a:b])
+            h, bounds = all_sets(texts[a:b])
             n = np.diff(bounds)
             regs = registers_of(h, bounds)
             some = n > 0
@@ -147,10 +187,10 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if some.any():
                 total[some] = np.add.reduceat(h, bounds[:-1][some])
                 mix[some] = np.bitwise_xor.reduceat(h * ODD[1], bounds[:-1][some])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").to_numpy(), "n": n, "set_a": total.view(np.int64), "set_b": mix.view(np.int64), "regs": [r.tobytes() for r in regs]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].astype("Int64").to_numpy(), "text_key": batch["text_key"].iloc[a:b].to_numpy(), "n": n, "set_a": total.view(np.int64), "set_b": mix.view(np.int64), "regs": [r.tobytes() for r in regs]})
 
 
-SKETCH = "doc_id long, n long, set_a long, set_b long, regs binary"
+SKETCH = "doc_id long, text_key long, n long, set_a long, set_b long, regs binary"
 
 
 def _matrix(regs: pd.Series) -> np.ndarray:
@@ -193,49 +233,52 @@ def verified(a: pd.Series, b: pd.Series) -> pd.Series:
             if t not in known:
                 if len(known) > 64:
                     known.clear()
-                known[t] = shingle_sets([t.encode()])[0]
+                known[t] = long_set(t.encode())
         p, q = known.get(x), known.get(y)
-        p = shingle_sets([x.encode()])[0] if p is None else p
-        q = shingle_sets([y.encode()])[0] if q is None else q
+        p = long_set(x.encode()) if p is None else p
+        q = long_set(y.encode()) if q is None else q
         both = len(np.intersect1d(p, q, assume_unique=True))
         out.append(100 * both >= PERCENT * (len(p) + len(q) - both) and both > 0)
     return pd.Series(out, dtype=bool)
 
 
 def near_in_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Within one bucket's block: members that seem near one of another component, linked to one of their own kind."""
-    rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
-    regs, comp, n = _matrix(rows["regs"]), rows["component"].to_numpy(), rows["n"].to_numpy(float)
-    ids = rows["id"].to_numpy()
+    """Within one block of a bucket: members that seem near one of another component, linked to one of their own kind."""
+    few, rest = rows[rows["few"]].reset_index(drop=True), rows[~rows["few"]].reset_index(drop=True)
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    if not len(few) or not len(rest):
+        return none
+    regs, n, comp = _matrix(rest["regs"]), rest["n"].to_numpy(float), rest["component"].to_numpy()
+    mine, m, kind = _matrix(few["regs"]), few["n"].to_numpy(float), few["component"].to_numpy()
     pairs = []
-    if rows["component"].nunique() < 2:
-        return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-    for at in range(0, len(rows), 64):
+    for at in range(0, len(few), 64):
         part = slice(at, at + 64)
-        agree = np.zeros((len(regs[part]), len(regs)), np.int16)
+        agree = np.zeros((len(mine[part]), len(regs)), np.int16)
         for r in range(REGISTERS):
-            agree += regs[part, r][:, None] == regs[None, :, r]
-        size = np.minimum(n[part][:, None], n[None, :]) * 100 >= PERCENT * np.maximum(n[part][:, None], n[None, :])
+            agree += mine[part, r][:, None] == regs[None, :, r]
+        size = np.minimum(m[part][:, None], n[None, :]) * 100 >= PERCENT * np.maximum(m[part][:, None], n[None, :])
         # The chance term is below 0.001, so the cut on bare agreement keeps all that the estimate keeps.
-        i, j = np.nonzero((agree >= CUT * REGISTERS) & (comp[part][:, None] != comp[None, :]) & size)
+        i, j = np.nonzero((agree >= CUT * REGISTERS) & (kind[part][:, None] != comp[None, :]) & size)
         pairs.append(np.column_stack([i + at, j]))
-    found = np.concatenate(pairs) if pairs else np.zeros((0, 2), int)
-    root = roots_of(len(rows), found)
-    used = np.unique(found)
-    return pd.DataFrame({"a": ids[used], "b": ids[root[used]]})
+    return _spanning(few["id"].to_numpy(), rest["id"].to_numpy(), np.concatenate(pairs))
+
+
+def _spanning(left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+    """Edges ``a, b`` that connect what the index pairs of ``left`` and ``right`` connect."""
+    ids, place = np.unique(np.concatenate([left[pairs[:, 0]], right[pairs[:, 1]]]), return_inverse=True)
+    root = roots_of(len(ids), place.reshape(2, -1).T)
+    return pd.DataFrame({"a": ids, "b": ids[root]})
 
 
 def links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Within one block of texts: full sets of all against all, and a spanning set of the links found."""
-    rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
-    ids = rows["id"].to_numpy()
-    h, bounds = shingle_sets([(t or "").encode() for t in rows["text"]])
+    """Within one block of texts: full sets of the few against the rest, and a spanning set of the links found."""
+    rows = rows.sort_values("few", ascending=False, ignore_index=True)
+    ids, comp, n_few = rows["id"].to_numpy(), rows["component"].to_numpy(), int(rows["few"].sum())
+    h, bounds = all_sets([(t or "").encode() for t in rows["text"]])
     size = np.diff(bounds).astype(float)
     owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
-    _, kind, count = np.unique(h, return_inverse=True, return_counts=True)
-    shared = count[kind] > 1
-    kind, owner = np.unique(kind[shared], return_inverse=True)[1], owner[shared]
-    both = np.zeros((len(ids), len(ids)), np.float32)
+    kind = np.unique(h, return_inverse=True)[1]
+    both = np.zeros((n_few, len(ids) - n_few), np.float32)
     order = np.argsort(kind, kind="stable")
     kind, owner = kind[order], owner[order]
     n_kinds = int(kind[-1]) + 1 if len(kind) else 0
@@ -243,84 +286,107 @@ def links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = np.searchsorted(kind, [at, at + 4096])
         held = np.zeros((len(ids), min(4096, n_kinds - at)), np.float32)
         held[owner[a:b], kind[a:b] - at] = 1
-        both += held @ held.T
-    near = (both > 0) & (100 * both >= PERCENT * (size[:, None] + size[None, :] - both))
-    np.fill_diagonal(near, False)
-    pairs = np.argwhere(near)
-    root = roots_of(len(ids), pairs)
-    used = np.unique(pairs)
-    return pd.DataFrame({"a": ids[used], "b": ids[root[used]]})
+        both += held[:n_few] @ held[n_few:].T
+    near = (both > 0) & (100 * both >= PERCENT * (size[:n_few, None] + size[None, n_few:] - both)) & (comp[:n_few, None] != comp[None, n_few:])
+    return _spanning(ids[:n_few], ids[n_few:], np.argwhere(near))
+
 
+def versus(rows: DataFrame, key: str, weight: Column, block: int) -> DataFrame:
+    """Deal the rows of each key (``id, component``) so that those outside its largest component meet every row of the key.
 
-def _blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Deal the rows of each key into blocks and repeat each for every pair of blocks that it belongs to."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n).cast("int")
-    spots = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j")))
-    return rows.withColumn("spot", F.explode(spots)).withColumn("bi", F.col("spot.i")).withColumn("bj", F.col("spot.j")).drop("spot", size)
+    Pairs within that component need no look, so only the others are repeated over all the key's blocks, as ``few``; the
+    whole key is repeated once for each block of the few. A block holds rows of about ``block`` of ``weight``.
+    """
+    weighed = rows.withColumn("__w", weight)
+    per = weighed.groupBy(key, "component").agg(F.sum("__w").alias("w"))
+    whole = per.groupBy(key).agg(F.max(F.struct("w", "component")).alias("most"), F.sum("w").alias("all"))
+    open_ = whole.filter(F.col("all") > F.col("most.w")).select(
+        key,
+        F.col("most.component").alias("__big"),
+        F.ceil((F.col("all") - F.col("most.w")) / block).cast("int").alias("__nf"),
+        F.ceil(F.col("all") / block).cast("int").alias("__na"),
+    )
+    placed = rows.join(open_, key).withColumn("__f", F.pmod(F.xxhash64("id"), "__nf").cast("int")).withColumn("__a", F.pmod(F.xxhash64("id", F.lit(1)), "__na").cast("int"))
+    spot = lambda i, j, few: F.struct(i.cast("int").alias("bi"), j.cast("int").alias("bj"), F.lit(few).alias("few"))
+    rest = F.transform(F.sequence(F.lit(0), F.col("__nf") - 1), lambda i: spot(i, F.col("__a"), False))
+    few = F.transform(F.sequence(F.lit(0), F.col("__na") - 1), lambda j: spot(F.col("__f"), j, True))
+    spots = F.when(F.col("component") == F.col("__big"), rest).otherwise(F.concat(rest, few))
+    return placed.select(*rows.columns, F.explode(spots).alias("__s")).select(*rows.columns, "__s.bi", "__s.bj", "__s.few")
 
 
 def label_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id, text``).
+    """The labels of ``labelled`` without its key."""
+    return labelled(docs).drop("text_key")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """``text_key`` (a hash of the text) and ``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id, text``).
 
     Rows without words or with a null text have no shingles and are linked with nothing; rows with a null id
-    are returned with null component and are linked with nothing. Rows sharing an id are one vertex if their
-    sets are equal. ``component_id`` is the least ``doc_id`` reachable over links.
+    are returned with null component and are linked with nothing. Equal sets are one vertex, whatever their ids; rows that
+    share an id but not a set are vertices of their own. ``component_id`` is the least ``doc_id`` reachable over links.
     """
-    sketches = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sketch, SKETCH), "sketches")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    sketches = written(keyed.mapInPandas(sketch, SKETCH), "sketches")
     group = ["n", "set_a", "set_b"]
     usable = sketches.filter("n > 0 and doc_id is not null")
-    # Written, so that joins with it can be split where one class is large.
-    classes = written(usable.groupBy(*group).agg(F.min("doc_id").alias("id")), "classes")
-    # The row that stands for its class: joined on the id, so a class of any size meets one row.
-    found = usable.withColumnRenamed("doc_id", "id").join(classes, ["id", *group], "left_semi").dropDuplicates(["id"])
-    reps = written(found.select("id", "n", "regs"), "reps")
-    banded = reps.select("id", F.explode(band_keys("regs")).alias("key"))
+    # One row a set, numbered as it is written; its registers, and a row whose text stands for it.
+    grouped = usable.groupBy(*group).agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("regs").alias("regs"))
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("id"), *group, "of.doc_id", "of.text_key", "regs"), "classes")
+    banded = classes.select("id", F.explode(band_keys("regs")).alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(banded.join(buckets, "key").select("key", "id", "centre", "size"), "buckets")
-
-    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts") if members.head(1) else None
-    edges = None
-    if texts is not None:
+    members = written(banded.join(buckets, "key").select("key", "id", "centre"), "buckets")
+    labels, used = None, [members]
+    if members.head(1):
+        wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_key")
+        texts = written(keyed.join(wanted, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"]), "texts")
         pairs = members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        left, right = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+        left, right = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
         sized = pairs.join(right, "b").join(left, "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
         likely = sized.filter(estimated("ra", "rb", "na", "nb") >= CUT).select("a", "b")
         with_b = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         edges = written(with_both.filter(verified("ta", "tb")).select("a", "b"), "links")
-        first = written(connected_components(edges), "components")
-        labels = first
+        labels = written(connected_components(edges), "components")
         # Buckets whose members are not yet one component: what their centres did not settle.
-        placed = members.select("key", "id", "size").join(first.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = members.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = written(placed, "placed")
         spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
         # Bands repeat each other: of buckets with the same members one is enough.
         open_keys = spread.filter("lo <> hi").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
-        rows = placed.join(open_keys, "key", "left_semi").join(reps, "id")
-        seem = written(_blocks(rows, "key", "size", 2 * BLOCK).groupBy("key", "bi", "bj").applyInPandas(near_in_block, "a long, b long").distinct(), "seem")
+        rows = versus(placed.join(open_keys, "key", "left_semi"), "key", F.lit(1), BLOCK).join(classes.select("id", "n", "regs"), "id")
+        seem = written(rows.groupBy("key", "bi", "bj").applyInPandas(near_in_block, "a long, b long").distinct(), "seem")
+        used += [texts, edges, placed, seem]
         if seem.head(1):
-            kin = connected_components(seem.union(seem.select(F.col("a"), F.col("a").alias("b"))))
-            sizes = kin.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-            kin_texts = kin.join(sizes, "component").join(texts, "id")
-            more = _blocks(kin_texts, "component", "size", BLOCK).groupBy("component", "bi", "bj").applyInPandas(links_in_block, "a long, b long")
-            labels = connected_components(edges.union(written(more, "more-links")))
-    slim = sketches.select("doc_id", "n", "set_a", "set_b")
-    named = slim.join(classes, group, "left")
-    if edges is not None:
-        named = named.join(labels, "id", "left")
+            kin = connected_components(seem.union(seem.select(F.col("a"), F.col("a").alias("b")))).withColumnRenamed("component", "kin")
+            sized = kin.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).join(classes.select("id", F.col("n").alias("size")), "id")
+            dealt = versus(sized, "kin", F.col("size") + 8, SHINGLES).drop("size").join(texts, "id")
+            more = written(dealt.groupBy("kin", "bi", "bj").applyInPandas(links_in_block, "a long, b long"), "more-links")
+            used += [more, labels]
+            labels = written(connected_components(edges.union(more)), "components")
+    named = classes.select("id", *group, F.col("doc_id").alias("first"))
+    if labels is not None:
+        rooted = named.join(labels, "id", "left").withColumn("root", F.coalesce("component", "id"))
+        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = written(rooted.join(least, "root").select(*group, "component_id"), "named")
+        for table in used:
+            drop_table(table)
     else:
-        named = named.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id", "doc_id"))
-    out = named.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        named = named.select(*group, F.col("first").alias("component_id"))
+    # Written, so that the join with it can be split where one set is a third of all rows.
+    found = sketches.select("doc_id", "text_key", *group).join(named, group, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; rows with a null id all stay."""
-    labels = label_components(docs)
-    gone = labels.filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component, that of the least id.
+
+    Rows with a null id all stay, as do rows that repeat the id and the text of the one that stays; of rows that share an
+    id but not a text each is judged by its own text. Other columns are kept as they are.
+    """
+    gone = labelled(docs).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,9 +261,10 @@ def edited_group(rnd, base, n, most):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [256, 16])
 def test_neardup_against_brute_force(spark, docs, block, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SHINGLES", block * 256)
     rnd = random.Random(4)
     base = [f"w{rnd.randrange(500)}" for _ in range(120)]
     texts = texts_of(docs)
@@ -281,6 +282,27 @@ def test_neardup_odd(odd, none):
     assert sorted(r["doc_id"] for r in neardup.deduplicate(odd).collect()) == [1, 3, 4, 5, 5, 6, 7]
 
 
+def test_neardup_ids_shared_by_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, far = " ".join(words), "quite another text of at least five words"
+    rows = [(5, far), (5, near), (7, near + " end"), (3, near + " and end"), (9, far + " "), (None, near), (3, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.label_components(frame).collect()), key=str)
+    assert got == sorted([(5, 4, 5), (5, 56, 3), (7, 57, 3), (3, 58, 3), (9, 4, 5), (None, 56, None), (3, 1, 3)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicate(frame).collect()), key=str)
+    assert kept == sorted([(5, far), (3, near + " and end"), (None, near), (3, "x")], key=str)
+
+
+def test_long_texts_in_slices(monkeypatch):
+    rnd = random.Random(9)
+    text = " ".join("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 9))) for _ in range(3000)).encode() + b" \n "
+    whole = neardup.shingle_sets([text])[0]
+    monkeypatch.setattr(neardup, "CHUNK", 800)
+    assert len(list(neardup.slices(text))) > 10 and (neardup.long_set(text) == whole).all()
+    h, bounds = neardup.all_sets([b"a b", text, b""])
+    assert (h[bounds[1] : bounds[2]] == whole).all() and bounds.tolist() == [0, 1, 1 + len(whole), 1 + len(whole)]
+
+
 def test_estimate_is_corrected():
     rnd = random.Random(8)
     a = {rnd.getrandbits(60) for _ in range(600)}
