@@ -1,8 +1,8 @@
 """Benchmark decontamination: broadcast n-gram set, scanned token windows, exact verification.
 
-A window is ``n`` consecutive words of a benchmark item (a shorter item is one window). Windows are hashed
-into a broadcast set; every document's windows are hashed and probed; hits are verified word by word. Built
-from DataFrame functions only.
+A window is ``n`` consecutive words of a benchmark item (a shorter item is one window). Words are hashed once
+and windows from their words' hashes; every document's windows probe the set of window hashes, which is broadcast when
+small; what is found is verified word by word. Built from DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,12 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutflow.llm.common import ascii_lower, load, written
+from scoutflow.llm.common import ascii_lower, let, load, written
 
 N = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# A window set of at most so many rows is broadcast: under 60 MB. A larger one is joined by shuffle.
-BROADCAST_WINDOWS = 400_000
 
 
 def words(text: Column) -> Column:
@@ -31,37 +29,59 @@ def window_set(benchmark: DataFrame, n: int = N) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - F.lit(n - 1), F.lit(1)))
     grams = toks.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("gram"))
     per = grams.groupBy("gram").agg(F.sort_array(F.collect_set(F.coalesce("item", F.lit("")))).alias("items"))
-    return per.select(F.size("gram").alias("len"), F.xxhash64("gram").alias("hash"), "gram", "items")
+    chain = lambda k: F.xxhash64(*[F.xxhash64(F.get("gram", F.lit(j))) for j in range(k)])
+    hashes = F.element_at(F.array(*[chain(k) for k in range(1, n + 1)]), F.size("gram"))
+    return per.select(F.size("gram").alias("len"), hashes.alias("hash"), "gram", "items")
 
 
 def window_hashes(k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(k - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(k))))
+    """Structs ``len, pos, hash`` of all windows of ``k`` words, from the array ``h`` of word hashes."""
+    starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit(k).alias("len"), i.alias("pos"), F.xxhash64(*[F.get("h", i + j) for j in range(k)]).alias("hash")))
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """Verified occurrences, one row each: ``doc_id, key, pos`` (0-based word), ``len, items``.
+def text_key() -> Column:
+    """What tells apart rows that share a ``doc_id``."""
+    return F.xxhash64("text")
 
-    ``key`` is a hash of the text, so that rows sharing a ``doc_id`` keep their own hits.
+
+def likely_hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Places whose window hash is in the set: ``doc_id, key, len, pos, gram, items``, not yet verified.
+
+    One pass over the documents, whatever the window lengths. The scan explodes a fixed number of bytes for each window and
+    probes the distinct hashes; the planner broadcasts these when the written table is small and shuffles otherwise.
     """
-    grams = written(window_set(benchmark, n), "windows")
-    sizes = grams.groupBy("len").agg(F.count(F.lit(1)).alias("rows")).collect()  # at most n rows
-    lens, total = sorted(r["len"] for r in sizes), sum(r["rows"] for r in sizes)
-    toks = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
+    lens = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n rows
+    hashed = docs.select("doc_id", text_key().alias("key"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     if not lens:
-        return toks.select("doc_id", "key", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.array(F.lit("")).alias("items")).filter(F.lit(False))
-    small = total <= BROADCAST_WINDOWS
-    parts = []
-    for k in lens:
-        fits = toks.filter(F.size("w") >= k)
-        hashes = window_hashes(k)
-        rows = fits.select("doc_id", "key", "w", F.posexplode(hashes).alias("pos", "hash"))
-        keys = grams.filter(F.col("len") == k).select("hash", "gram", "items")
-        hit = rows.join(F.broadcast(keys) if small else keys, "hash")
-        parts.append(hit.filter(F.slice("w", F.col("pos") + 1, k) == F.col("gram")).select("doc_id", "key", "pos", F.lit(k).alias("len"), "items"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return hashed.select("doc_id", "key", F.lit(0).alias("len"), F.lit(0).alias("pos"), F.array(F.lit("")).alias("gram"), F.array(F.lit("")).alias("items")).filter(F.lit(False))
+    each = [window_hashes(k) for k in lens]
+    windows = hashed.select("doc_id", "key", F.inline(F.concat(*each)))
+    found = windows.join(written(grams.select("len", "hash").distinct(), "window-hashes"), ["len", "hash"])
+    return found.join(grams, ["len", "hash"]).select("doc_id", "key", "len", "pos", "gram", "items")
+
+
+def verified_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """The columns of ``docs`` with ``__hits``: verified occurrences ``pos`` (0-based word), ``len``, ``items``; null without any likely one.
+
+    Rows sharing a ``doc_id`` keep their own hits. The words are taken from each row again where its hits are compared with
+    them, so no window carries text through a shuffle.
+    """
+    grams = written(window_set(benchmark, n), "windows")
+    per = likely_hits(docs, grams).groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "len", "gram", "items")).alias("__likely"))
+    # Written: few documents have any, and a table of known size is broadcast where it is small, so that texts stay where they are.
+    per = written(per.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "__likely"), "likely-hits")
+    joined = docs.join(per, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__k")), "left")
+
+    def true(w: Column) -> Column:
+        return F.filter("__likely", lambda h: F.forall(F.sequence(F.lit(0), h["len"] - 1), lambda j: F.get(w, h["pos"] + j) == F.get(h["gram"], j)))
+
+    return joined.withColumn("__hits", F.when(F.col("__likely").isNotNull(), let(words(F.col("text")), true))).drop("__d", "__k", "__likely")
+
+
+def hit_words(hits: Column) -> Column:
+    """Sorted distinct 0-based positions of the words inside any hit."""
+    return F.coalesce(F.sort_array(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))), F.array().cast("array<int>"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -70,33 +90,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     Null or empty texts have no words and no hits; repeated rows are each returned; an empty benchmark hits
     nothing. Every word inside any occurrence counts once.
     """
-    # A document repeated in equal rows finds each place several times; sets take that out again.
-    hits = window_hits(docs, benchmark, n)
-    found = hits.groupBy("doc_id", "key").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1))))).alias("hit_words"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
-    )
-    base = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    found = found.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "hit_words", "item_ids")
-    joined = base.join(found, base["doc_id"].eqNullSafe(F.col("__d")) & (base["key"] == F.col("__k")), "left")
-    return joined.select("doc_id", "key", "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    found = verified_hits(docs.select("doc_id", "text"), benchmark, n)
+    items = F.coalesce(F.sort_array(F.array_distinct(F.flatten(F.transform("__hits", lambda h: h["items"])))), F.array().cast("array<string>"))
+    return found.select("doc_id", text_key().alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"), hit_words(F.col("__hits")).alias("hit_words"), items.alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str = "documents") -> DataFrame:
     """``docs`` without what the benchmark holds: whole documents, or (``remove="spans"``) the hit words.
 
     Spans are cut with the characters between hit words; what remains of a text is joined by single spaces in
-    words as they were written. Clean rows come back unchanged.
+    words as they were written. Clean rows come back unchanged, null and empty texts too.
     """
-    hits = window_hits(docs, benchmark, n).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "pos", "len")
+    found = verified_hits(docs, benchmark, n)
+    dirty = F.size(F.coalesce("__hits", F.array().cast(dict(found.dtypes)["__hits"]))) > 0
     if remove == "documents":
-        bad = hits.select("__d", "__k").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__k")), "left_anti")
-    bad = hits.groupBy("__d", "__k").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)))).alias("__hit"))
-    joined = docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__k")), "left")
+        return found.filter(~dirty).select(*docs.columns)
     original = F.filter(F.split("text", NOT_WORD), lambda w: w != "")
-    rest = F.array_join(F.filter(original, lambda w, i: ~F.array_contains(F.col("__hit"), i)), " ")
-    return joined.withColumn("text", F.when(F.col("__hit").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    rest = let(original, lambda w: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), hit_words(F.col("__hits"))), lambda i: F.get(w, i)), " "))
+    return found.withColumn("text", F.when(dirty, rest).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
