@@ -18,6 +18,8 @@ SEED = "mix-1"
 TEMPERATURE = 0.5
 # Fixed value: the largest rate that is inverted at once; exp(-rate) stays far from underflow.
 PART_RATE = 64.0
+# Bytes of text in a partition of the output.
+PART_BYTES = 128 << 20
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -59,12 +61,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     """``docs`` replicated to the target weights, in the order of a global shuffle.
 
     Adds ``rate``, ``n_copies``, ``copy`` (0-based) and ``shuffle_key`` in [0, 1); rows are sorted by
-    ``shuffle_key``. A null source is a source of its own; rows of equal ``doc_id`` and text get equal counts; null ids are drawn by their text; empty tables stay empty.
+    ``shuffle_key``, over partitions and within them: the key is uniform, so equal parts of [0, 1) are equal parts of the rows,
+    and no sample of the plan's output is needed to find their bounds. A null source is a source of its own; rows of equal ``doc_id`` and text get equal counts; null ids are drawn by their text; empty tables stay empty.
     The table of rates goes through the shared folder, so the planner knows its size when it chooses how to join.
     """
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key")
     # One row a source; the planner broadcasts the written table if it is under its threshold and else joins by shuffle.
-    rates = written(source_rates(docs, weights, temperature, scale).select(F.col("source").alias("__source"), "rate", F.col("parts").alias("__parts"), "cdf"), "mix-rates")
+    rates = written(source_rates(docs, weights, temperature, scale).select(F.col("source").alias("__source"), "rate", F.col("parts").alias("__parts"), "cdf", (F.col("n_bytes") * F.col("rate")).alias("__bytes")), "mix-rates")
+    size = rates.agg(F.sum("__bytes")).first()[0] or 0.0
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // PART_BYTES) + 1)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
     joined = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")))
     u = unit_hash(seed, key)
@@ -74,7 +79,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     counted = joined.withColumn("__u", u).withColumn("n_copies", F.when(F.col("__parts") > 1, more).otherwise(first))
     copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", unit_hash(seed + "-order", key, F.col("copy")))
-    return keyed.drop("__source", "__parts", "cdf", "__u").orderBy("shuffle_key", "doc_id", "copy")
+    dealt = keyed.drop("__source", "__parts", "__bytes", "cdf", "__u").repartitionById(n_parts, F.floor(F.col("shuffle_key") * n_parts).cast("int"))
+    return dealt.sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,17 +94,21 @@ mix_stats AS (
   SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS n_bytes FROM {docs} GROUP BY source),
 mix_weights AS (SELECT source, n_bytes, pow(n_bytes, 0.5) AS weight FROM mix_stats),
 mix_rates AS (
-  SELECT source, least(64.0, weight / (SELECT sum(weight) FROM mix_weights) * (SELECT sum(n_bytes) FROM mix_weights) / n_bytes) AS rate FROM mix_weights),
+  SELECT source, weight / (SELECT sum(weight) FROM mix_weights) * (SELECT sum(n_bytes) FROM mix_weights) / n_bytes AS rate FROM mix_weights),
+mix_parts AS (SELECT source, rate, greatest(ceil(rate / 64), 1)::BIGINT AS parts, rate / greatest(ceil(rate / 64), 1) AS part FROM mix_rates),
 mix_cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM mix_rates
+  SELECT source, rate, part, parts, 0 AS k, exp(-part) AS p, exp(-part) AS c FROM mix_parts
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM mix_cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+  SELECT source, rate, part, parts, k + 1, p * part / (k + 1), c + p * part / (k + 1) FROM mix_cdf WHERE k < ceil(part + 12 * sqrt(part) + 20)),
+mix_keys AS (
+  SELECT d.*, row_number() OVER () AS rid, coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS key FROM {docs} d),
 mix_drawn AS (
-  SELECT d.*, ('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))))), 1, 13))::BIGINT / pow(2, 52) AS u FROM {docs} d),
-mix_counted AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, any_value(m.rate) AS rate, count(*) FILTER (m.c <= d.u) AS n_copies
-  FROM (SELECT *, row_number() OVER () AS rid FROM mix_drawn) d JOIN mix_cdf m ON d.source IS NOT DISTINCT FROM m.source
-  GROUP BY d.rid, d.doc_id, d.text, d.lang, d.source, d.n_chars),
+  SELECT rid, k.source, ('0x' || substr(md5(concat_ws('|', 'mix-1', key, CASE WHEN i > 0 THEN i::VARCHAR END)), 1, 13))::BIGINT / pow(2, 52) AS u
+  FROM (SELECT k.rid, k.source, k.key, unnest(generate_series(0, m.parts - 1)) AS i FROM mix_keys k JOIN mix_parts m ON k.source IS NOT DISTINCT FROM m.source) k),
+mix_numbers AS (
+  SELECT d.rid, any_value(m.rate) AS rate, count(*) FILTER (m.c <= d.u) AS n_copies
+  FROM mix_drawn d JOIN mix_cdf m ON d.source IS NOT DISTINCT FROM m.source GROUP BY d.rid),
+mix_counted AS (SELECT k.*, n.rate, n.n_copies FROM mix_keys k JOIN mix_numbers n USING (rid)),
 mixed AS (SELECT *, unnest(generate_series(0, n_copies - 1)) AS copy FROM mix_counted WHERE n_copies > 0)
 """
 ORACLE = (
