@@ -28,32 +28,35 @@ def rendezvous(key: Column, n_shards: int, seed: int = SEED) -> Column:
     return best.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def shard(docs: DataFrame, out: str, n_shards: int = 16, bucket_bytes: int = 8 << 20, seed: int = SEED) -> DataFrame:
+def shard(docs: DataFrame, out: str, n_shards: int = 16, bucket_bytes: int = 32 << 20, seed: int = SEED) -> DataFrame:
     """Write ``docs`` to ``out`` as Parquet, one folder a shard, and return the written table.
 
     Added columns: ``shard``, ``slot`` (gapless from 0 within the shard, the order of the shuffle) and
-    ``bucket``. Input columns of these names are overwritten. Null texts and ids are kept as they are; repeated
-    rows each get a slot of their own; an empty table gives an empty one. ``bucket_bytes`` bounds what pass two holds in memory
-    (a single longer text is a bucket of its own size).
+    ``bucket``. Input columns of these names are overwritten, any others are kept. Null texts and ids are kept as they are (null ids share a
+    shard, by the law); repeated rows each get a slot of their own; an empty table gives an empty one.
+
+    A shard has as many buckets as its bytes ask for, and a task of pass two holds one bucket: about ``bucket_bytes`` of text,
+    a longer single text, or all copies of one row (equal in id and text), which hash alike.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "bucket", "slot")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    n_buckets = max(1, -(-total // (n_shards * bucket_bytes)))
-    columns = docs.columns
-    keyed = docs.withColumn("shard", rendezvous(F.col("doc_id"), n_shards, seed)).withColumn("__tie", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("bucket", F.pmod(F.col("__tie"), F.lit(n_buckets)).cast("int"))
+    to_shard = rendezvous(F.col("doc_id"), n_shards, seed)
+    sizes = {r["s"]: r["b"] for r in docs.groupBy(to_shard.alias("s")).agg(F.sum(size).alias("b")).collect()}  # one row a shard
+    buckets = [max(1, -(-sizes.get(s, 0) // bucket_bytes)) for s in range(n_shards)]
+    first = [sum(buckets[:s]) for s in range(n_shards)]
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), to_shard + 1)
+    tie = F.xxhash64(F.lit(seed), "doc_id", "text")
+    row = F.struct(F.struct(*columns).alias("row"), to_shard.alias("shard"), (at(first) + F.pmod(tie, at(buckets)).cast("int")).alias("bucket"), tie.alias("tie"))
+    keyed = docs.select(row.alias("r")).select("r.*")
     counts = keyed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    scattered = keyed.repartition(F.col("shard"), F.col("bucket")).sortWithinPartitions("shard", "bucket", "__tie", "doc_id")
-    shuffled = (
-        scattered.groupBy("shard", "bucket")
-        .agg(F.shuffle(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in columns])), seed).alias("rows"))
-        .select("shard", "bucket", F.posexplode("rows").alias("pos", "row"))
-        .select("shard", "bucket", "pos", "row.*")
-    )
-    placed = shuffled.join(offsets, ["shard", "bucket"]).select(*[F.col(f"`{c}`") for c in columns], "bucket", (F.col("__start") + F.col("pos")).alias("slot"), "shard")
+    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # Buckets are numbered through all shards: each goes to a partition of its own, whose number also seeds its shuffle.
+    scattered = keyed.repartitionById(sum(buckets), F.col("bucket")).sortWithinPartitions("bucket", "tie", "row.doc_id")
+    shuffled = scattered.groupBy("shard", "bucket").agg(F.shuffle(F.collect_list("row"), seed).alias("rows")).select("shard", "bucket", F.posexplode("rows").alias("pos", "row"))
+    placed = shuffled.join(offsets, "bucket").select("row.*", "bucket", (F.col("start") + F.col("pos")).alias("slot"), "shard")
     placed.write.partitionBy("shard").parquet(out)
     return spark.read.schema(placed.schema).parquet(out)
 
