@@ -34,7 +34,7 @@ def odd(spark):
         (7, "\n\t .", None, "b", 3),
     ]
     docs = spark.createDataFrame(rows, DOC)
-    for name in ("score", "shard", "slot", "rate", "copy", "n", "id", "key", "component", "regs", "toxic"):
+    for name in ("score", "shard", "slot", "rate", "copy", "n", "id", "key", "component", "regs", "toxic", "pos", "row", "bucket", "tie", "len", "hash", "h", "w", "items", "hit_words", "text_key", "size"):
         docs = docs.withColumn(name, F.lit("x"))
     return docs.cache()
 
@@ -380,6 +380,28 @@ def test_decontamination(spark, odd, none):
     assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()} == {1: "x y", 2: "nothing here", 3: "say now", 4: None}
     assert decontaminate.scan(odd, bench).count() == 8 and decontaminate.scan(none, bench).count() == 0
     assert decontaminate.scan(odd, bench.limit(0)).filter("size(hit_words) > 0").count() == 0
+    assert sorted((r["doc_id"], r["text"]) for r in decontaminate.decontaminate(odd, bench, remove="spans").collect() if r["doc_id"] in (1, 5)) == [(1, "alpha beta gamma delta epsilon zeta"), (5, "one two"), (5, "one two")]
+
+
+def test_decontamination_without_broadcast(spark, docs, sf_dir):
+    """The planner's other join gives the same rows, and time grows with the text's length and no faster."""
+    import time
+
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = sorted(decontaminate.scan(docs, bench).collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(decontaminate.scan(docs, bench).collect()) == want
+        took = []
+        for n in (8_000, 64_000):
+            one = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
+            start = time.perf_counter()
+            decontaminate.scan(one, bench).collect()
+            took.append(time.perf_counter() - start)
+        assert took[1] < 8 * took[0] + 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 # 9 sharding
@@ -392,7 +414,37 @@ def test_sharding(spark, docs, odd, none):
     assert order != sorted(order)
     keys = spark.range(2000).select(sharding.rendezvous(F.col("id"), 16).alias("a"), sharding.rendezvous(F.col("id"), 17).alias("b")).collect()
     assert all(r["a"] == r["b"] or r["b"] == 16 for r in keys) and 60 < sum(r["b"] == 16 for r in keys) < 180
-    assert sharding.shard(odd, fresh_path(spark, "t")).count() == 8 and sharding.shard(none, fresh_path(spark, "t")).count() == 0
+    got = sharding.shard(odd, fresh_path(spark, "t"))
+    assert set(odd.columns) <= set(got.columns) and got.filter("pos = 'x' and row = 'x'").count() == 8 and sharding.shard(none, fresh_path(spark, "t")).count() == 0
+
+
+def test_sharding_orders_and_hot_shard(spark):
+    # Null ids share a shard: it gets buckets by its own size, and buckets of equal size do not share an order.
+    rows = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    got = sharding.shard(rows, fresh_path(spark, "t"), 4, bucket_bytes=200)
+    hot = got.filter("doc_id is null").select("shard").distinct().collect()
+    per = {r["shard"]: r["n"] for r in got.groupBy("shard").agg(F.count_distinct("bucket").alias("n")).collect()}
+    assert len(hot) == 1 and per[hot[0]["shard"]] == max(per.values()) > 2 * min(per.values())
+    orders = got.orderBy("bucket", "slot").groupBy("bucket").agg(F.collect_list(F.struct("slot", "text")).alias("rows")).collect()
+    ranks = [tuple(sorted(range(len(t)), key=t.__getitem__)) for t in ([x["text"] for x in sorted(r["rows"])] for r in orders)]
+    by_size = [[r for r in ranks if len(r) == n] for n in {len(r) for r in ranks if len(r) > 4}]
+    assert all(len(set(g)) == len(g) for g in by_size)
+
+
+def test_sharding_law_by_definition(spark, sf_dir):
+    """The registered query: sizes, checksums, gapless slots, and one more shard that takes rows only into itself."""
+    docs = texts_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = sharding.op9_sharding(spark, sf_dir)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert sorted(rows) == sorted(docs)
+    for i, r in rows.items():
+        data = docs[i].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 1, zlib.crc32(data), "key") and 0 <= r["shard"] < 16
+        assert r["grown_shard"] in (r["shard"], 16)
+    for s in range(16):
+        mine = sorted(r["slot"] for r in rows.values() if r["shard"] == s)
+        assert mine == list(range(len(mine)))
 
 
 # 10 mixing
@@ -404,7 +456,20 @@ def test_mixing(spark, docs, odd, none):
     assert abs(sum(counts) / 20_000 - 2.5) < 0.05 and abs((20_000 - len(counts)) / 20_000 - 0.0821) < 0.01
     twice = [mixing.mix(docs.repartition(n)).select("doc_id", "copy", "shuffle_key").collect() for n in (1, 5)]
     assert twice[0] == twice[1]
-    assert mixing.mix(odd).count() >= 0 and mixing.mix(none).count() == 0
+    # Equal rows, and rows with the same id, are drawn alike; the null source is a source like the others.
+    got = mixing.mix(odd).collect()
+    counts = {(r["doc_id"], r["n_copies"]) for r in got}
+    assert len(counts) == len({i for i, _ in counts}) and mixing.mix(none).count() == 0
+    assert all(sum(r["doc_id"] == i for r in got) == n * (2 if i == 5 else 1) for i, n in counts)
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(odd).collect()}
+    assert set(rates) == {None, "a", "b"} and all(r > 0 for r in rates.values())
+
+
+def test_mixing_order_is_global(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(rows, scale=1.5)
+    keys = [r["shuffle_key"] for r in mixed.collect()]
+    assert mixed.rdd.getNumPartitions() > 1 and keys == sorted(keys)
 
 
 def test_mixing_reaches_the_share_of_a_small_source(spark):
