@@ -1,33 +1,54 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a text that holds a cue word is a candidate header. Lines and templates become sparse TF-IDF
-vectors (idf over the templates; a word that no template has weighs as the rarest), and a line's licence is
-the template of largest cosine. A licence file covers its directory: a file without a licence of its own
-takes that of the nearest directory above it that has one, found by joining its ancestor paths.
+Texts and templates become sparse TF-IDF vectors (idf over the templates; a word that no template has weighs as the
+rarest). A header is looked for wherever a text holds a template's first cue word: the words around it that the template
+would cover are one vector, across line ends, compared with that template. A licence file is one whose whole text is
+like a template. It covers its directory: a file without a licence of its own takes that of the nearest
+directory above it that has one, found by joining ancestor paths.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutflow.llm.common import load
+from scoutflow.llm.common import let, load, written
 
-# Public licence notices by SPDX identifier.
+# Public licence notices and short licence texts by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
+    ),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0"),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -37,9 +58,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC0-1.0", "Released under CC0 1.0, no rights reserved, dedicated to the public domain"),
 ]
-CUE = "licen[sc]e|copyright|permission is hereby|redistribution|released under|public domain|no rights reserved"
+# Words that a template is found by; each template has one.
+CUES = ["licensed", "license", "licence", "licenced", "released", "permission", "redistribution", "redistribute"]
+CUE = "licen[sc]e|released|permission|redistribut"
 NOT_WORD = "[^a-z0-9.]+"
 THRESHOLD = 0.6
+REACH = max(len(re.split(NOT_WORD, t.lower())) for _, t in TEMPLATES)
 
 
 def tokens(text: Column) -> Column:
@@ -48,81 +72,109 @@ def tokens(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def template_vectors(spark: SparkSession) -> tuple[DataFrame, int]:
-    """``tid, spdx, word, weight`` with unit norm, and the number of templates."""
-    rows = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(TEMPLATES)], "tid int, spdx string, template string")
-    tf = rows.select("tid", "spdx", F.explode(tokens(F.col("template"))).alias("word")).groupBy("tid", "spdx", "word").agg(F.count(F.lit(1)).alias("tf"))
+def template_words(spark: SparkSession) -> DataFrame:
+    """``tid, spdx, cue, before`` (words before the first cue), ``len, weights`` (word to weight of unit norm): a fixed list."""
+    rows = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(TEMPLATES)], "tid int, spdx string, template string").withColumn("w", tokens(F.col("template")))
+    tf = rows.select("tid", F.explode("w").alias("word")).groupBy("tid", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    raw = tf.join(df, "word").withColumn("idf", F.log(F.lit(1.0 + len(TEMPLATES)) / (F.col("df") + 1)) + 1).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("tid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "tid").select("tid", "spdx", "word", "idf", (F.col("w") / F.col("norm")).alias("weight")), len(TEMPLATES)
+    raw = tf.join(df, "word").withColumn("idf", F.log(F.lit(1.0 + len(TEMPLATES)) / (F.col("df") + 1)) + 1).withColumn("x", F.col("tf") * F.col("idf"))
+    norm = raw.groupBy("tid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    vectors = raw.join(norm, "tid").select("tid", "word", "idf", (F.col("x") / F.col("norm")).alias("weight"))
+    first = F.filter(F.transform("w", lambda w, i: F.when(w.isin(CUES), i)), lambda i: i.isNotNull())[0]
+    heads = rows.withColumn("before", first).select("tid", "spdx", F.get("w", F.col("before")).alias("cue"), "before", F.size("w").alias("len"))
+    return vectors.join(heads, "tid").select("tid", "spdx", "cue", "before", "len", "word", "idf", "weight")
+
+
+def cosines(units: DataFrame, vectors: DataFrame, key: list[str], pinned: bool) -> DataFrame:
+    """``key, tid, spdx, cosine`` of units ``key, words`` to the templates; with ``pinned``, only to the one that ``tid`` in the key names."""
+    counted = units.select(*key, F.explode("words").alias("word")).groupBy(*key, "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    # The vectors are of the fixed list above: a few hundred rows.
+    idf = F.broadcast(vectors.select("word", "idf").distinct())
+    rarest = F.log(F.lit((1.0 + len(TEMPLATES)) / 2)) + 1
+    weighted = counted.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", rarest))
+    norms = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    shared = weighted.join(F.broadcast(vectors.select("tid", "spdx", "word", "weight")), ["tid", "word"] if pinned else "word")
+    on = key if pinned else [*key, "tid"]
+    dots = shared.groupBy(*on, "spdx").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    return dots.join(norms, key).select(*on, "spdx", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
 
 
-def line_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Matched lines: ``path, line_no`` (0-based), ``spdx, cosine``; each line's best template, ties by name.
+def matches(files: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Headers ``path, start, spdx, cosine`` and whole files ``path, spdx, cosine`` at or above ``threshold``.
 
-    ``files`` has ``path, text``. Lines are cut at ``\\n``. Null texts and paths match nothing.
+    ``start`` is the 0-based word where the header begins. ``files`` has ``path, text``; null texts and paths match nothing, and
+    rows that repeat a path are read as one file after the other's end.
     """
     spark = files.sparkSession
-    vectors, n = template_vectors(spark)
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.lower("line").rlike(CUE) & F.col("path").isNotNull())
-    words = lines.select("path", "line_no", F.xxhash64("line").alias("lid"), F.explode(tokens(F.col("line"))).alias("word"))
-    tf = words.groupBy("path", "line_no", "lid", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    # The templates are the fixed list above: a few hundred rows.
-    idf = F.broadcast(vectors.select("word", "idf").distinct())
-    rarest = F.log(F.lit((1.0 + n) / 2)) + 1
-    weighted = tf.join(idf, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rarest))
-    key = ["path", "line_no", "lid"]
-    norm = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("word", "w")).alias("terms"))
-    terms = norm.select(*key, "norm", F.explode("terms").alias("t")).select(*key, "norm", "t.word", "t.w")
-    dots = terms.join(F.broadcast(vectors.select("tid", "spdx", "word", "weight")), "word").groupBy(*key, "tid", "spdx").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"))
-    best = dots.withColumn("cosine", F.round("cosine", 6)).groupBy(*key).agg(F.min(F.struct((-F.col("cosine")).alias("neg"), "spdx")).alias("b"))
-    return best.select("path", "line_no", F.col("b.spdx").alias("spdx"), (-F.col("b.neg")).alias("cosine")).filter(F.col("cosine") >= threshold)
+    vectors = written(template_words(spark), "licence-templates")
+    # Only texts with a cue go on: written, as two branches read their words.
+    cued = files.select("path", "text").filter(F.lower("text").rlike(CUE) & F.col("path").isNotNull()).select("path", F.xxhash64("text").alias("copy"), tokens(F.col("text")).alias("words"))
+    texts = written(cued.dropDuplicates(["path", "copy"]), "licence-texts")
+    heads = F.broadcast(vectors.select("tid", "cue", "before", "len").distinct())
+
+    def around(w: Column) -> Column:
+        """Each cue word with the words that any template could cover there."""
+        cues = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("cue"))), lambda s: s["cue"].isin(CUES))
+        span = lambda at: F.sequence(F.greatest(at - REACH, F.lit(0)), F.least(at + REACH, F.size(w) - 1))
+        return F.transform(cues, lambda s: F.struct(s["at"].alias("at"), s["cue"].alias("cue"), F.transform(span(s["at"]), lambda k: F.get(w, k)).alias("near")))
+
+    spots = texts.select("path", "copy", F.inline(let(F.col("words"), around)))
+    found = spots.join(heads, "cue").withColumn("start", F.greatest(F.col("at") - F.col("before"), F.lit(0)))
+    window = F.slice("near", F.col("start") - F.greatest(F.col("at") - REACH, F.lit(0)) + 1, F.col("at") - F.col("before") + F.col("len") - F.col("start"))
+    headers = found.select("path", "copy", "start", "tid", window.alias("words")).distinct()
+    near = cosines(headers, vectors, ["path", "copy", "start", "tid"], pinned=True).filter(F.col("cosine") >= threshold)
+    whole = cosines(texts, vectors, ["path", "copy"], pinned=False).filter(F.col("cosine") >= threshold)
+    return near.select("path", "start", "spdx", "cosine"), whole.select("path", "spdx", "cosine")
+
+
+def directory(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
-def ancestors(path: Column) -> Column:
-    """Every directory above ``path``, with its depth: for a/b/c.txt: (a/b, 2), (a, 1), ("", 0)."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir"), k.alias("depth")))
+def ancestors(folder: Column) -> Column:
+    """The directory and every one above it, with their depth: for a/b: ("", 0), (a, 1), (a/b, 2)."""
+    parts = F.filter(F.split(folder, "/"), lambda p: p != "")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir"), k.alias("depth")))
 
 
 def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per file: ``path, spdx, cosine, origin`` (``own``, ``inherited`` or ``none``), ``from_path``.
+    """Each row of ``files`` (``path, text``), without the text, with ``spdx, cosine, origin`` (``own``, ``inherited`` or ``none``) and ``from_path``.
 
-    ``files`` has ``path, text, is_license_file``. A file's own licence is its best line's (ties by name, then
-    line); a directory's is the best of its licence files (ties by name, then path). Repeated rows share their path's result; a
-    null path gets ``none``.
+    A file's own licence is that of its most alike header or of its whole text (ties by name); a directory's is the
+    best whole text of its files (ties by name, then path). Repeated rows share their path's result; a null path gets ``none``; columns of the
+    added names are overwritten, any others are kept.
     """
-    lines = line_licenses(files, threshold)
-    own = lines.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("neg"), "spdx", "line_no")).alias("b")).select("path", F.col("b.spdx").alias("own_spdx"), (-F.col("b.neg")).alias("own_cosine"))
-    here = files.filter("is_license_file and path is not null").select("path").distinct().join(own, "path")
-    parent = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), "/")
-    dirs = here.groupBy(parent.alias("dir")).agg(F.min(F.struct((-F.col("own_cosine")).alias("neg"), F.col("own_spdx").alias("spdx"), "path")).alias("d"))
-    rows = files.select("path").join(own, "path", "left")
-    bare = rows.filter("own_spdx is null and path is not null").select("path").distinct()
-    climbing = bare.select("path", F.explode(ancestors(F.col("path"))).alias("a")).select("path", "a.dir", "a.depth")
-    nearest = climbing.join(dirs, "dir").groupBy("path").agg(F.max_by("d", "depth").alias("d"))
-    got = nearest.select("path", F.col("d.spdx").alias("up_spdx"), (-F.col("d.neg")).alias("up_cosine"), F.col("d.path").alias("up_path"))
-    out = rows.join(got, "path", "left")
-    return out.select(
-        "path",
-        F.coalesce("own_spdx", "up_spdx").alias("spdx"),
-        F.coalesce("own_cosine", "up_cosine").alias("cosine"),
-        F.when(F.col("own_spdx").isNotNull(), "own").when(F.col("up_spdx").isNotNull(), "inherited").otherwise("none").alias("origin"),
-        F.when(F.col("own_spdx").isNotNull(), F.col("path")).otherwise(F.col("up_path")).alias("from_path"),
-    )
+    files = files.drop("spdx", "cosine", "origin", "from_path")
+    headers, whole = matches(files, threshold)
+    best = F.min(F.struct((-F.col("cosine")).alias("neg"), "spdx"))
+    own = headers.select("path", "spdx", "cosine").unionByName(whole).groupBy("path").agg(best.alias("b")).select("path", F.col("b.spdx").alias("__own"), (-F.col("b.neg")).alias("__cos"))
+    own = written(own, "licences")
+    dirs = whole.groupBy(directory(F.col("path")).alias("__dir")).agg(F.min(F.struct((-F.col("cosine")).alias("neg"), "spdx", "path")).alias("d"))
+    dirs = written(dirs, "licensed-directories")
+    # Directories climb, not files: each asks once for all that it holds.
+    folders = files.filter("path is not null").select(directory(F.col("path")).alias("__folder")).distinct()
+    climbing = folders.select("__folder", F.inline(ancestors(F.col("__folder")))).withColumnRenamed("dir", "__dir")
+    nearest = climbing.join(dirs, "__dir").groupBy("__folder").agg(F.max_by("d", "depth").alias("__up"))
+    rows = files.drop("text").join(own, "path", "left").withColumn("__folder", directory(F.col("path"))).join(nearest, "__folder", "left")
+    has, up = F.col("__own").isNotNull(), F.col("__up").isNotNull() & F.col("path").isNotNull()
+    added = [
+        F.coalesce("__own", "__up.spdx").alias("spdx"),
+        F.coalesce(F.col("__cos"), -F.col("__up.neg")).alias("cosine"),
+        F.when(has, "own").when(up, "inherited").otherwise("none").alias("origin"),
+        F.when(has, F.col("path")).otherwise(F.col("__up.path")).alias("from_path"),
+    ]
+    return rows.select(*[f"`{c}`" for c in files.columns if c != "text"], *added)
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: ``source/a/b/doc_id`` with 4096 ids to an a and 64 to a b; one of at most 200 characters with a cue is a licence file."""
-    text = F.coalesce("text", F.lit(""))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 4096).cast("string"), F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string"))
-    return docs.select("doc_id", path.alias("path"), "text", ((F.length(text) <= 200) & F.lower(text).rlike(CUE)).alias("is_license_file"))
+    """Documents as files ``doc_id, path, text``: ``source/a/b/doc_id`` with 4096 ids to an a and 64 to a b; a null id has a null path."""
+    parts = [F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 4096).cast("string"), F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string")]
+    return docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", *parts)).alias("path"), "text")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan_licenses(document_files(load(spark, sf_dir, "documents")))
-    return rows.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "spdx", "cosine", "origin", "from_path")
+    """``doc_id, path, spdx, cosine, origin, from_path`` of every document; null ids and texts get ``none``."""
+    return scan_licenses(document_files(load(spark, sf_dir, "documents"))).select("doc_id", "path", "spdx", "cosine", "origin", "from_path")
 
 
 def _tokens_sql(text: str) -> str:
@@ -131,25 +183,32 @@ def _tokens_sql(text: str) -> str:
 
 def _oracle() -> str:
     values = ", ".join(f"({i}, '{s}', '{t}')" for i, (s, t) in enumerate(TEMPLATES))
-    n = len(TEMPLATES)
+    n, cues = len(TEMPLATES), ", ".join(f"'{c}'" for c in CUES)
     return f"""
 WITH files AS (
-  SELECT doc_id, concat_ws('/', coalesce(source, 'none'), floor(doc_id / 4096)::BIGINT, floor(doc_id / 64)::BIGINT, doc_id) AS path, text,
-    length(coalesce(text, '')) <= 200 AND regexp_matches(lower(coalesce(text, '')), '{CUE}') AS is_license_file FROM documents),
+  SELECT doc_id, concat_ws('/', coalesce(source, 'none'), floor(doc_id / 4096)::BIGINT, floor(doc_id / 64)::BIGINT, doc_id) AS path, text FROM documents),
 templates(tid, spdx, template) AS (VALUES {values}),
-ttf AS (SELECT tid, spdx, word, count(*) AS tf FROM (SELECT tid, spdx, unnest({_tokens_sql("template")}) AS word FROM templates) GROUP BY ALL),
+tw AS MATERIALIZED (SELECT tid, spdx, {_tokens_sql("template")} AS w FROM templates),
+heads AS (SELECT tid, spdx, len(w) AS n, list_filter(generate_series(1, len(w)), lambda i: w[i] IN ({cues}))[1] AS at, w FROM tw),
+ttf AS (SELECT tid, spdx, word, count(*) AS tf FROM (SELECT tid, spdx, unnest(w) AS word FROM tw) GROUP BY ALL),
 idf AS (SELECT word, ln({1.0 + n} / (count(*) + 1)) + 1 AS idf FROM ttf GROUP BY word),
 traw AS (SELECT tid, spdx, word, tf * idf AS w FROM ttf JOIN idf USING (word)),
-tvec AS (SELECT tid, spdx, word, w / sqrt(sum(w * w) OVER (PARTITION BY tid)) AS weight FROM traw),
-lines AS (SELECT path, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT path, string_split(text, chr(10)) AS ls FROM files)),
-words AS (SELECT path, line_no, unnest({_tokens_sql("line")}) AS word FROM lines WHERE regexp_matches(lower(line), '{CUE}')),
-tf AS (SELECT path, line_no, word, count(*) * coalesce(any_value(idf), ln({(1.0 + n) / 2}) + 1) AS w FROM words LEFT JOIN idf USING (word) GROUP BY path, line_no, word),
-norms AS (SELECT path, line_no, sqrt(sum(w * w)) AS norm FROM tf GROUP BY ALL),
-dots AS (SELECT path, line_no, tid, spdx, round(sum(w * weight) / any_value(norm), 6) AS cosine FROM tf JOIN norms USING (path, line_no) JOIN tvec USING (word) GROUP BY ALL),
-best AS (SELECT path, line_no, spdx, cosine FROM dots QUALIFY row_number() OVER (PARTITION BY path, line_no ORDER BY cosine DESC, spdx) = 1),
-own AS (SELECT path, spdx, cosine FROM best WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, spdx, line_no) = 1),
+tvec AS MATERIALIZED (SELECT tid, spdx, word, w / sqrt(sum(w * w) OVER (PARTITION BY tid)) AS weight FROM traw),
+texts AS MATERIALIZED (SELECT path, {_tokens_sql("text")} AS w FROM files WHERE regexp_matches(lower(coalesce(text, '')), '{CUE}')),
+spots AS (SELECT path, w, i FROM (SELECT path, w, unnest(generate_series(1, len(w))) AS i FROM texts) WHERE w[i] IN ({cues})),
+units AS (
+  SELECT DISTINCT path, h.tid, greatest(i - h.at, 0) AS start, list_slice(s.w, greatest(i - h.at, 0) + 1, i - h.at + h.n) AS w FROM spots s JOIN heads h ON s.w[s.i] = h.w[h.at]
+  UNION ALL SELECT path, -1, -1, w FROM texts),
+tf AS (
+  SELECT path, u.tid, start, word, count(*) * coalesce(any_value(idf), ln({(1.0 + n) / 2}) + 1) AS x
+  FROM (SELECT path, tid, start, unnest(w) AS word FROM units) u LEFT JOIN idf USING (word) GROUP BY ALL),
+norms AS (SELECT path, tid, start, sqrt(sum(x * x)) AS norm FROM tf GROUP BY ALL),
+dots AS (SELECT path, f.tid AS unit, start, v.tid, spdx, sum(x * weight) AS dot FROM tf f JOIN tvec v USING (word) WHERE f.tid IN (-1, v.tid) GROUP BY ALL),
+good AS MATERIALIZED (
+  SELECT * FROM (SELECT d.path, d.unit, d.spdx, round(dot / norm, 6) AS cosine FROM dots d JOIN norms n ON d.path = n.path AND d.unit = n.tid AND d.start = n.start) WHERE cosine >= {THRESHOLD}),
+own AS (SELECT path, spdx, cosine FROM good QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, spdx) = 1),
 dirs AS (
-  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, spdx, cosine, path FROM own SEMI JOIN (SELECT path FROM files WHERE is_license_file) USING (path)
+  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, spdx, cosine, path FROM good WHERE unit = -1
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, spdx, path) = 1),
 up AS (
   SELECT f.path, d.spdx, d.cosine, d.path AS from_path FROM files f JOIN dirs d ON starts_with(f.path, d.dir || '/')
