@@ -80,6 +80,67 @@ def test_warc_threshold_and_empty(spark):
     assert warc.captures(spark, out).count() == 0
 
 
+def record(kind, name, block=b"", concurrent=(), **more):
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *(f"WARC-Concurrent-To: <{c}>" for c in concurrent), *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_transactions_of_other_writers(spark, tmp_path):
+    import gzip
+
+    http, about = {"Content_Type": "application/http; msgtype=response"}, {"Content_Type": "application/warc-fields"}
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    records = [
+        record("response", "r1", body, **http), record("request", "q1", b"GET / HTTP/1.1\r\n\r\n", ["r1"], Content_Type="application/http; msgtype=request"),
+        # One metadata record for two responses, one of which has no other companion.
+        record("response", "r2", body, **http), record("metadata", "m", b"pageId: 7\r\n", ["r1", "r2"], **about),
+        # The response names its companion, not the other way round; another record names nobody there.
+        record("response", "r3", body, ["q3"], **http), record("request", "q3", b"GET /3 HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        record("metadata", "lost", b"pageId: 9\r\n", ["nobody"], **about), record("warcinfo", "i"),
+        record("revisit", "v", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Refers_To="<r1>", WARC_Payload_Digest="sha1:X", **http), record("metadata", "mv", b"pageId: 8\r\n", ["v"], **about),
+        record("revisit", "w", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Refers_To="<gone>", **http),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = {r["capture_id"]: r for r in warc.transactions(warc.read_records(spark, str(tmp_path))).collect()}
+    shape = {k: (r["response"] and r["response"]["warc_type"], sorted(x["record_id"] for x in r["requests"]), sorted(x["record_id"] for x in r["metadata"])) for k, r in got.items()}
+    assert shape == {
+        "<r1>": ("response", ["<q1>"], ["<m>"]), "<r2>": ("response", [], ["<m>"]), "<r3>": ("response", ["<q3>"], []), "<nobody>": (None, [], ["<lost>"]),
+        "<i>": (None, [], []), "<v>": ("revisit", [], ["<mv>"]), "<w>": ("revisit", [], []),
+    }
+    rows = sorted((tuple(r)[:5] for r in warc.captures(spark, str(tmp_path)).collect()), key=str)
+    digest = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    assert rows == sorted([(7, 5, digest, "response", None)] * 2 + [(None, 5, digest, "response", None), (8, 5, "X", "revisit", 7), (None, None, None, "revisit", None)], key=str)
+
+
+def test_warc_large_pages_in_archives_of_their_own(spark):
+    rows = [(i, f"http://h/{i}", "x" * (50_000 if i % 5 == 0 else 10) + str(i)) for i in range(40)]
+    out = fresh_path(spark, "t")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), out, archive_bytes=100_000)
+    # The last page of a payload twice: two responses, and a revisit that is found by the digest.
+    twice = fresh_path(spark, "t")
+    warc.write_archives(spark.createDataFrame([(2, "u", "same"), (2, "u", "same"), (1, "v", "same")], "page_id long, url string, html string"), twice)
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.captures(spark, twice).collect()) == [(1, "revisit", 2, 4), (2, "response", None, 4), (2, "response", None, 4)]
+    sizes = spark.read.format("binaryFile").load(out).count()
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.captures(spark, out).collect()}
+    assert got == {i: len(h) for i, _, h in rows} and sizes >= 8
+
+
+def test_op1_against_the_table(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    got = warc.op1_warc(spark, sf_dir)
+    assert dict(got.dtypes) | {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"} == dict(got.dtypes)
+    most: dict[bytes, int] = {}
+    for p in pages:
+        data = (p["html"] or "").encode()
+        most[data] = max(most.get(data, -1), p["page_id"])
+    want = {}
+    for p in pages:
+        data = (p["html"] or "").encode()
+        first = most[data]
+        want[p["page_id"]] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first == p["page_id"] else "revisit", None if first == p["page_id"] else first)
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got.collect()} == want
+
+
 # 2 fingerprints
 def test_fingerprints_against_plain_python(docs):
     rows = {r["doc_id"]: r for r in fuzzyhash.fingerprint_documents(docs).collect()}
@@ -322,14 +383,31 @@ def test_components_of_a_chain(spark):
 
 
 # 6 licences
-def test_licences_inherit_from_the_nearest_directory(spark, none):
+def test_licences_inherit_from_the_nearest_directory(spark, none, odd):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
-    rows = [("a/LICENSE", mit, True), ("a/b/LICENSE", gpl, True), ("a/x.c", "int x;", False), ("a/b/c/y.c", None, False), ("a/b/z.c", "code\n" + mit, False), ("q/w.c", "", False), ("a/x.c", "int x;", False), (None, mit, False)]
-    files = spark.createDataFrame(rows, "path string, text string, is_license_file boolean").withColumn("cosine", F.lit("x"))
-    got = sorted(((r["path"], r["spdx"], r["origin"], r["from_path"]) for r in licenses.scan_licenses(files).collect()), key=str)
-    want = [("a/LICENSE", "MIT", "own", "a/LICENSE"), ("a/b/LICENSE", "GPL-3.0", "own", "a/b/LICENSE"), ("a/b/c/y.c", "GPL-3.0", "inherited", "a/b/LICENSE"), ("a/b/z.c", "MIT", "own", "a/b/z.c"), ("a/x.c", "MIT", "inherited", "a/LICENSE"), ("a/x.c", "MIT", "inherited", "a/LICENSE"), ("q/w.c", None, "none", None), (None, None, "none", None)]
-    assert got == sorted(want, key=str)
+    rows = [("a/LICENSE", mit), ("a/b/LICENSE", gpl), ("a/x.c", "int x;"), ("a/b/c/y.c", None), ("a/b/z.c", "code\n" * 20 + mit), ("q/w.c", ""), ("a/x.c", "int x;"), (None, mit), ("top", "x")]
+    files = spark.createDataFrame(rows, "path string, text string").withColumn("cosine", F.lit("x")).withColumn("word", F.lit("kept"))
+    got = sorted(((r["path"], r["spdx"], r["origin"], r["from_path"], r["word"]) for r in licenses.scan_licenses(files).collect()), key=str)
+    want = [
+        ("a/LICENSE", "MIT", "own", "a/LICENSE"), ("a/b/LICENSE", "GPL-3.0", "own", "a/b/LICENSE"), ("a/b/c/y.c", "GPL-3.0", "inherited", "a/b/LICENSE"), ("a/b/z.c", "MIT", "own", "a/b/z.c"),
+        ("a/x.c", "MIT", "inherited", "a/LICENSE"), ("a/x.c", "MIT", "inherited", "a/LICENSE"), ("q/w.c", None, "none", None), (None, None, "none", None), ("top", None, "none", None),
+    ]
+    assert got == sorted(((*w, "kept") for w in want), key=str)
     assert licenses.scan_licenses(licenses.document_files(none)).count() == 0
+    assert licenses.scan_licenses(licenses.document_files(odd)).filter("origin = 'none'").count() == 8
+
+
+def test_licences_of_wrapped_headers_long_lines_and_long_files(spark):
+    long = {s: t for s, t in licenses.TEMPLATES if len(t) > 200}
+    wrapped = "/*\n * " + long["GPL-2.0"].replace(" you ", "\n * you ").replace(" either ", "\n * either ") + "\n */\nint main() {}\n" * 30
+    inside = "word " * 300 + "licensed under the Apache License, Version 2.0, " + "word " * 300
+    full = "The MIT License\n\nCopyright (c) 2020 Someone\n\n" + long["MIT"] + "\n\nThe software is provided as is, without warranty of any kind." * 2
+    prose = "She was released under the condition that no licence was needed, and the permission came late. " * 5
+    rows = [("a/w.c", wrapped), ("a/l.txt", inside), ("b/COPY", full), ("b/c/x.c", "int x;"), ("d/p.txt", prose), ("a/x.c", "int y;")]
+    got = {r["path"]: (r["spdx"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    # A header covers its own file; only a file that is a licence covers its directory, whatever its length.
+    assert got == {"a/w.c": ("GPL-2.0", "own"), "a/l.txt": ("Apache-2.0", "own"), "b/COPY": ("MIT", "own"), "b/c/x.c": ("MIT", "inherited"), "d/p.txt": (None, "none"), "a/x.c": (None, "none")}
+    assert len(full) > 200 and all(set(re.split(licenses.NOT_WORD, t.lower())) & set(licenses.CUES) for _, t in licenses.TEMPLATES)
 
 
 # 7 languages
