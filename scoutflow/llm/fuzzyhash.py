@@ -89,11 +89,58 @@ def fingerprints_of(texts: list[bytes]) -> list[str]:
     return [":".join((str(k), *parts)) for k, *parts in zip(chosen, *out)]
 
 
+def levels_of(text: bytes, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one slice of a text: each byte, its rolling hash over the bytes before it, and how many low ones that ends in."""
+    part = text[max(0, start - WINDOW) : start + CHUNK]
+    data = np.frombuffer(bytes(WINDOW - min(start, WINDOW)) + part, np.uint8).astype(np.uint64)
+    n = len(data)
+    rolling = np.zeros(n, np.uint64)
+    for j in range(WINDOW):
+        rolling[j:] += (data[: n - j] + np.uint64(1)) * np.uint64(pow(31, j) + 2 * j)
+    rolling = mixed(rolling * STEP)
+    low = (~rolling) & np.uint64(0xFFFFFFFF) | np.uint64(1 << 32)
+    level = np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64)
+    return data[WINDOW:], rolling[WINDOW:], level[WINDOW:]
+
+
+def long_fingerprint(text: bytes) -> str:
+    """The fingerprint of one long text, by slices: memory holds one slice's arrays. The first pass finds the level, the second the chunks."""
+    counts = np.zeros(34, np.int64)
+    for start in range(0, len(text), CHUNK):
+        counts += np.bincount(levels_of(text, start)[2], minlength=34)
+    chosen = int((counts[::-1].cumsum()[::-1] >= LETTERS).sum())
+    POWERS.reach(CHUNK + 1)
+    total, ends = 0, []  # ends: place, level, hash of the last bytes, sum of all before and here
+    for start in range(0, len(text), CHUNK):
+        data, rolling, level = levels_of(text, start)
+        sums = np.cumsum((data + np.uint64(1)) * POWERS.up[: len(data)])
+        scale = pow(int(STEP), start, 1 << 64)
+        if start + CHUNK >= len(text):
+            level[-1] = 64  # the text's end ends its last chunk
+        for i in np.flatnonzero(level >= chosen):
+            ends.append((start + int(i), int(level[i]), int(rolling[i]), (total + scale * int(sums[i])) % (1 << 64)))
+        total = (total + scale * int(sums[-1])) % (1 << 64)
+    parts = []
+    for extra in range(SIZES):
+        before, begin, letters = 0, 0, []
+        for place, level, rolled, upto in ends:
+            if level >= chosen + extra:
+                chunk = (upto - before) * pow(int(BACK), begin, 1 << 64) % (1 << 64)
+                letters.append(int(mixed(np.array([chunk ^ rolled], np.uint64))[0]) >> 58)
+                before, begin = upto, place + 1
+        parts.append(ALPHABET[letters].tobytes().decode())
+    return ":".join((str(chosen), *parts))
+
+
 def fingerprints(texts: list[bytes]) -> list[str]:
-    """As ``fingerprints_of``, a piece of about ``CHUNK`` bytes at a time."""
+    """As ``fingerprints_of``, a piece of about ``CHUNK`` bytes at a time; longer texts in slices."""
     out: list[str] = []
     start = size = 0
     for i, t in enumerate(texts):
+        if len(t) > CHUNK:
+            out += [*fingerprints_of(texts[start:i]), long_fingerprint(t)]
+            start, size = i + 1, 0
+            continue
         if size and size + len(t) > CHUNK:
             out += fingerprints_of(texts[start:i])
             start, size = i, 0
