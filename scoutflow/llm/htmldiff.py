@@ -82,6 +82,10 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     # Open elements: tag, whether it is furniture, whether it is article content.
     stack: list[tuple[str, int, int]] = []
     chrome = content = article = 0
+    # Where in the stack the open elements of each name stand, and all open blocks: no stray tag asks for a walk down the stack.
+    places: dict[str, list[int]] = {}
+    open_blocks: list[int] = []
+    head_seen = False
     source = page or ""
 
     def flush() -> None:
@@ -98,7 +102,14 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             chrome -= c
             content -= k
             article -= int(name == "article")
+            places[name].pop()
         del stack[depth:]
+        while open_blocks and open_blocks[-1] >= depth:
+            open_blocks.pop()
+
+    def last(*names: str) -> int:
+        """Where the innermost open element of these names stands, or -1."""
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     at = 0
     while at < len(source):
@@ -118,17 +129,20 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                     flush()
                 else:
                     text.append(" ")
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = last(tag)
             # An inline end tag does not close blocks around it.
-            if depth is not None and (tag in BLOCK or not any(s[0] in BLOCK for s in stack[depth + 1 :])):
+            if depth >= 0 and (tag in BLOCK or not open_blocks or depth > open_blocks[-1]):
                 close(depth)
             continue
         if tag in RAW and tag != "head":
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(source, at)
             if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|$)", re.I).search(source, at)
                 at = end.end() if end else len(source)
             continue
         if tag == "head":
+            if head_seen:
+                continue
+            head_seen = True
             end = re.compile(r"<body(?=[\s>])", re.I)
             stop = end.search(source, at)
             over = re.compile(r"</head\s*>", re.I).search(source, at)
@@ -140,9 +154,9 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in ENDS_P and (depth := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
+            if tag in ENDS_P and (depth := last("p")) >= 0:
                 close(depth)
-            if tag == "li" and (depth := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol")), None)) is not None and stack[depth][0] == "li":
+            if tag == "li" and (depth := last("li")) > last("ul", "ol"):
                 close(depth)
         elif tag in ("img", "wbr"):
             continue
@@ -151,6 +165,9 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         # A heading inside the article's own header is the article's.
         outer = tag == "header" and not content
         c = int(furniture(tag, m[3], content > 0) or outer)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
         stack.append((tag, c, int(tag in CONTENT)))
         chrome += c
         content += int(tag in CONTENT)
@@ -173,29 +190,47 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
         tail += 1
     shared = set(range(head)) | set(range(len(a) - tail, len(a)))
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if x and y and not set(x).isdisjoint(y):
-        places: dict[int, int] = {}
-        for j, h in enumerate(y):
-            places[h] = places.get(h, 0) | 1 << j
-        full = (1 << len(y)) - 1
-        v, rows = full, []
-        for h in x:  # rows[i]: the columns where prefixes of y gain nothing, as zero bits
-            rows.append(v)
-            hit = v & places.get(h, 0)
-            v = ((v + hit) | (v - hit)) & full
-        j = len(y)
-        for i in range(len(x) - 1, -1, -1):
-            # LCS of x[:i+1] and y[:j] over that of x[:i] and y[:j], by counting zero bits.
-            below = (1 << j) - 1
-            after = rows[i + 1] if i + 1 < len(rows) else v
-            if (~after & below).bit_count() > (~rows[i] & below).bit_count():
-                while not (y[j - 1] == x[i] and (~after & ((1 << j) - 1)).bit_count() > (~after & ((1 << (j - 1)) - 1)).bit_count()):
-                    j -= 1
-                shared.add(head + i)
-                j -= 1
+    shared |= {head + i for i in lcs_places(x, y)}
     return shared
 
 
+def lcs_ends(x: list[int], y: list[int]) -> int:
+    """Bit j is zero where the longest common subsequence of ``x`` and ``y[: j + 1]`` is one longer than with ``y[:j]``."""
+    places: dict[int, int] = {}
+    for j, h in enumerate(y):
+        places[h] = places.get(h, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    v = full
+    for h in x:
+        hit = v & places.get(h, 0)
+        v = ((v + hit) | (v - hit)) & full
+    return v
+
+
+def lcs_places(x: list[int], y: list[int]) -> Iterator[int]:
+    """Places of ``x`` in a longest common subsequence, by halving ``x`` (Hirschberg): memory grows with the lines, not with their product."""
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a >= b or c >= d or set(x[a:b]).isdisjoint(y[c:d]):
+            continue
+        if b - a == 1:
+            yield a
+            continue
+        mid = (a + b) // 2
+        ahead, behind = lcs_ends(x[a:mid], y[c:d]), lcs_ends(x[mid:b][::-1], y[c:d][::-1])
+        n = d - c
+        # Common lines of the first half with y[:k] and of the second with y[k:], for each k.
+        best, cut, left, right = -1, 0, 0, n - behind.bit_count()
+        for k in range(n + 1):
+            if left + right > best:
+                best, cut = left + right, k
+            if k < n:
+                left += 1 - (ahead >> k & 1)
+                right -= 1 - (behind >> (n - 1 - k) & 1)
+        todo += [(a, mid, c, c + cut), (mid, b, c + cut, d)]
+
+
 def doubtful(found: list[tuple[str, int]]) -> list[int]:
     """Hashes of the blocks outside furniture: what is aligned."""
     return [line_hash(t) for t, kind in found if kind >= 0]
