@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutflow.llm.common import load, unit_hash
+from scoutflow.llm.common import drop_table, load, unit_hash, written
 
 # Bound of the fit: about so many labelled documents are drawn by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -31,9 +31,10 @@ SIDE = 2.0
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 LEAST = 4
-KA_K = 0.1
+# A segment is significant where clean text of its length has one as good in under this share of cases.
+SIGNIFICANT = 0.01
 TOKEN = re.compile(r"[^\W\d_]+")
-SEGMENTS = "array<struct<first:int,last:int,score:double,evalue:double>>"
+SEGMENTS = "array<struct<first:int,last:int,score:double,evalue:double,significant:boolean>>"
 RESULT = f"struct<score:double,surprise:double,n_tokens:int,segments:{SEGMENTS}>"
 
 
@@ -72,7 +73,7 @@ class Model:
 
     def __init__(self, weights: dict[str, float], rates: dict[str, float], drift: float = DRIFT):
         self.weights, self.drift = weights, drift
-        self.lam = self._decay(rates)
+        self.lam, self.k = self._decay(rates), 0.1
         self.bias, self.slope = -2.0, 1.0
 
     def _decay(self, rates: dict[str, float]) -> float:
@@ -88,6 +89,11 @@ class Model:
                 high = mid
         return low
 
+    def set_scale(self, best: np.ndarray, n_words: np.ndarray) -> None:
+        """The scale of the extreme-value law by maximum likelihood, from the best segment scores of clean texts (0: none, censored)."""
+        if len(best) and (best > 0).any():
+            self.k = float((best > 0).sum() / (n_words * np.exp(-self.lam * best)).sum())
+
     def probability(self, surprise: float) -> float:
         """Of the label, from ``-log`` of the chance that clean text does as well."""
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + self.slope * math.log1p(surprise)))))
@@ -118,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rate = min(1.0, train_rows / max(1, known.count()))
     sample = known.filter(unit_hash(seed, F.col("doc_id")) < rate).withColumn("side", unit_hash(seed + "-side", F.col("doc_id")) < 0.6)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "side")
+    # Written, as counting, the scale and the calibration read it: about the sample's texts at any input size.
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "side"), "toxic-sample")
     counts = rows.filter("side").mapInPandas(count_features, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # A feature needs LEAST toxic texts, so this list is bounded by the sample's toxic words over LEAST.
     kept = counts.filter((F.col("toxic") >= LEAST) | F.col("feature").isin(DOCUMENTS, ALL)).collect()
@@ -135,9 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed:
             weights[feature], rates[feature] = sure, (clean + 0.5) / (all0 + 1)
     model = Model(weights, rates)
     if weights:
+        raw = scorer(docs.sparkSession, model)
+        best = F.coalesce(F.array_max(F.transform(F.col("t.segments"), lambda x: x["score"])), F.lit(0.0))
+        clean = rows.filter("not side and toxic = 0").select(raw("text").alias("t")).filter("t.n_tokens > 0").select(best.alias("best"), F.col("t.n_tokens").alias("n")).toPandas()  # at most the sample
+        model.set_scale(clean["best"].to_numpy(np.float64), clean["n"].to_numpy(np.float64))
         raw = scorer(docs.sparkSession, model)
         fresh = rows.filter("not side").select(raw("text")["surprise"].alias("x"), "toxic").toPandas()  # at most the sample
         model.calibrate(fresh["x"].to_numpy(np.float64), fresh["toxic"].to_numpy(np.float64))
+    drop_table(rows)
     return model
 
 
@@ -179,11 +191,11 @@ class Weights(dict):
         return w
 
 
-def surprise_of(scores: list[float], n_words: int, lam: float) -> float:
+def surprise_of(scores: list[float], n_words: int, lam: float, k: float) -> float:
     """``-log`` of the chance of segments as good as the best one, two, three ... of ``scores`` in clean text."""
     best = total = 0.0
     for r, s in enumerate(sorted(scores, reverse=True), 1):
-        total += lam * s - math.log(KA_K * n_words)
+        total += lam * s - math.log(k * n_words)
         if total <= 0:
             break
         if total > r * (r - 1):  # the form holds for large sums; each further segment pays for being a choice
@@ -201,8 +213,8 @@ def score_text(text: str | None, model: Model, weights: Weights) -> tuple[float,
     if not len(at):
         return 0.0, len(words), []
     found = maximal_segments(at.tolist(), gains[at].tolist(), model.drift)
-    marked = [(f, last, s, KA_K * len(words) * math.exp(-model.lam * s)) for f, last, s in found]
-    return surprise_of([s for *_, s, _ in marked], len(words), model.lam), len(words), marked
+    marked = [(f, last, s, model.k * len(words) * math.exp(-model.lam * s)) for f, last, s in found]
+    return surprise_of([s for *_, s, _ in marked], len(words), model.lam, model.k), len(words), marked
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column | str], Column]:
@@ -220,7 +232,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column | str], Column
                     "score": [model.probability(r[0]) if r[1] and model.weights else 0.0 for r in rows],
                         "surprise": [r[0] for r in rows],
                     "n_tokens": [r[1] for r in rows],
-                    "segments": [[{"first": f, "last": last, "score": s, "evalue": e} for f, last, s, e in r[2]] for r in rows],
+                    "segments": [[{"first": f, "last": last, "score": s, "evalue": e, "significant": e < SIGNIFICANT} for f, last, s, e in r[2]] for r in rows],
                 }
             )
 
@@ -238,7 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score at or over ``threshold``."""
+    """``docs`` without the rows that score at or over ``threshold``; null, empty and repeated rows are judged like any other, and all columns stay."""
     toxic = scorer(docs.sparkSession, fit(docs, labels))
     return docs.filter(toxic("text")["score"] < threshold)
 
