@@ -157,6 +157,49 @@ def test_fingerprints_against_plain_python(docs):
     assert sum(r["near_next"] > 0.2 for r in rows.values()) < 0.05 * len(rows)
 
 
+def plain_fingerprint(text):
+    """Rolling hash, chunk ends and letters, one byte and one number at a time."""
+    full = (1 << 64) - 1
+    step = 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & full
+        return x ^ (x >> 29)
+
+    padded, rolled, levels = bytes(7) + text, [], []
+    for i in range(len(text)):
+        last = padded[i + 1 : i + 8][::-1]
+        rolled.append(mix(sum((b + 1) * (31**j + 2 * j) for j, b in enumerate(last)) * step & full))
+        low, n = rolled[-1] & 0xFFFFFFFF, 0
+        while low & 1:
+            low, n = low >> 1, n + 1
+        levels.append(n)
+    chosen = 0
+    while sum(x >= chosen for x in levels) >= 64:
+        chosen += 1
+    out = [str(chosen)]
+    for k in range(chosen, chosen + 3):
+        letters, begin = "", 0
+        for i in range(len(text)):
+            if levels[i] >= k or i == len(text) - 1:
+                chunk = sum((b + 1) * pow(step, j, 1 << 64) for j, b in enumerate(text[begin : i + 1])) & full
+                letters += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[mix(chunk ^ rolled[i]) >> 58]
+                begin = i + 1
+        out.append(letters)
+    return ":".join(out)
+
+
+def test_fingerprint_by_definition(monkeypatch):
+    rnd = random.Random(6)
+    texts = [bytes(rnd.choice(b"abcdefgh \xc3\xa9") for _ in range(n)) for n in (0, 1, 5, 7, 8, 63, 500, 4000, 9000)]
+    want = [plain_fingerprint(t) for t in texts]
+    assert fuzzyhash.fingerprints_of(texts) == want == fuzzyhash.fingerprints(texts)
+    # The same by slices, whatever the bounds cut through.
+    for size in (64, 1000, 4000):
+        monkeypatch.setattr(fuzzyhash, "CHUNK", size)
+        assert fuzzyhash.fingerprints(texts) == want
+
+
 def test_edit_distance_is_exact():
     rnd = random.Random(3)
     for _ in range(60):
@@ -187,6 +230,56 @@ def test_common_lines_is_longest():
         assert len(found) == best[-1][-1] and all(any(a[i] == y for y in rest) for i in found)
 
 
+def test_common_lines_of_long_pages():
+    import time
+
+    start = time.perf_counter()
+    a = [i % 997 for i in range(6000)] + [-1]
+    b = [i % 991 for i in range(6000)] + [-2]
+    found = sorted(htmldiff.common_lines(a, b))
+    rest = iter(b)
+    assert len(found) > 900 and all(any(a[i] == y for y in rest) for i in found) and time.perf_counter() - start < 30
+
+
+def test_html_stray_tags_take_linear_time():
+    import time
+
+    for page in ("<b>" * 40_000 + "x" + "</i>" * 40_000, "<div><b>" * 20_000 + "x" + "</i></b></p>" * 20_000, "<li>x" * 20_000, "<head>" * 20_000 + "x", "<svg/>" * 20_000 + "x", "<p>x<i>" * 20_000):
+        start = time.perf_counter()
+        assert "x" in htmldiff.keep(htmldiff.blocks(page), None)
+        assert time.perf_counter() - start < 3
+
+
+def test_html_neighbours_against_brute_force(spark):
+    rnd = random.Random(12)
+    rows = [(i, f"h{rnd.randrange(3)}", "/" + "/".join(rnd.choice("abc") for _ in range(rnd.randint(0, 3))), True) for i in range(80)]
+    rows += [(100 + i, f"lonely{i}", "/x", True) for i in range(2)]
+    frame = spark.createDataFrame(rows, "page_id long, host string, path string, asks boolean")
+    got = {}
+    for r in htmldiff.neighbours(frame).collect():
+        got.setdefault(r["page_id"], {})[r["place"]] = r["other"]
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    for at, (page, host, path, _) in enumerate(order):
+        near = []
+        for step in (*range(-htmldiff.NEAR, 0), *range(1, htmldiff.NEAR + 1)):
+            if 0 <= at + step < len(order) and order[at + step][1] == host:
+                other = order[at + step]
+                same = 0
+                for u, v in itertools.zip_longest(path.split("/"), other[2].split("/")):
+                    if u != v:
+                        break
+                    same += 1
+                near.append((-same, abs(step), step > 0, other[0]))
+        assert [got.get(page, {})[k] for k in sorted(got.get(page, {}))] == [n[3] for n in sorted(near)]
+
+
+def test_op3_contract(spark, sf_dir):
+    got = htmldiff.op3_htmltext(spark, sf_dir)
+    assert dict(got.dtypes) | {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"} == dict(got.dtypes)
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert {r["page_id"]: r["url"] for r in got.collect()} == pages and all(r["n_chars"] == len(r["text"]) for r in got.collect())
+
+
 def test_html_against_known_template(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in htmldiff.extract(pages).collect()}
@@ -291,6 +384,37 @@ def test_toxicity_learns_and_holds_out(spark, none, odd):
     assert toxicity.reject_toxic(docs, marks).count() == 320
 
 
+def test_toxicity_on_held_out_labels(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    frame = toxicity.op4_toxicity(spark, big)
+    assert dict(frame.dtypes) | {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"} == dict(frame.dtypes)
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    rows = [r for r in frame.collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = ([r for r in rows if labels[r["doc_id"]] == k] for k in (1, 0))
+    assert sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.03 * len(clean)
+    assert all((s["evalue"] < toxicity.SIGNIFICANT) == s["significant"] for r in rows for s in r["segments"])
+    assert sum(any(s["significant"] for s in r["segments"]) for r in toxic) > 0.7 * len(toxic)
+    assert sum(any(s["significant"] for s in r["segments"]) for r in clean) < 0.05 * len(clean)
+
+
+def test_scale_is_recovered():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = toxicity.Model({"bad": 2.0}, {"bad": 0.01})
+    n = rng.integers(50, 500, 20_000)
+    # Best scores of an extreme-value law with K = 0.02, none below zero.
+    best = np.maximum(0, np.log(0.02 * n / rng.exponential(size=len(n))) / model.lam)
+    model.set_scale(best, n)
+    assert model.k == pytest.approx(0.02, rel=0.05)
+
+
+def test_surprise_of_one_segment():
+    import math
+
+    assert toxicity.surprise_of([5.0], 100, 1.5, 0.1) == pytest.approx(1.5 * 5 - math.log(0.1 * 100)) and toxicity.surprise_of([0.1], 1000, 1.0, 0.1) == 0
+
+
 # 5 near duplicates
 def brute_components(texts):
     sets = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from scoutflow.llm import decontaminate, toxicity
 from tests.llm.test_operators import brute_components
 
@@ -30,3 +31,25 @@ def test_stages_take_effect(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_on_odd_documents(spark, sf_dir):
+    """Nulls, empty and very long texts, ties, repeated rows, an empty table and clashing columns: each stage's stated result."""
+    long = "lorem ipsum " * 30_000
+    toxic = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1"), "doc_id").select("text").collect()]
+    bench = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(1).collect()]
+    plain = "a plain text of more than five words"
+    rows = [(1, plain, "en", "a", 1), (2, plain, "en", "a", 1), (2, plain, "en", "a", 1), (3, None, None, None, None), (4, "", "en", "b", 0), (None, plain, "en", "b", 1), (5, long, "en", "b", 1), (6, bench[0], "en", "a", 1), (7, max(toxic, key=len), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    wide = docs.withColumn("score", F.lit(1)).withColumn("shard", F.lit("x")).withColumn("key", F.lit("y"))
+    for frame in (docs, wide):
+        ids = {name: sorted((r["doc_id"] for r in stages[name](spark, frame, sf_dir).collect()), key=str) for name in ("toxicity", "near_dedup", "decontamination")}
+        assert set(ids["toxicity"]) >= {None, 1, 2, 3, 4, 5} and ids["toxicity"].count(2) == 2
+        assert ids["near_dedup"] == sorted([None, 1, 3, 4, 5, 6, 7], key=str)
+        assert 6 not in ids["decontamination"] and ids["decontamination"].count(2) == 2 and None in ids["decontamination"]
+        assert all(stages[name](spark, frame, sf_dir).columns == corpus_pipeline.COLUMNS for name in ("toxicity", "near_dedup", "decontamination", "mixing"))
+    shards = stages["sharding"](spark, docs, sf_dir).collect()
+    assert len(shards) == len(rows) and sorted((r["doc_id"] for r in shards), key=str) == sorted((r[0] for r in rows), key=str)
+    none = docs.limit(0)
+    assert [stages[name](spark, none, sf_dir).count() for name, _ in corpus_pipeline.STAGES] == [0] * 5
