@@ -103,13 +103,14 @@ def matches(files: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     """Headers ``path, start, spdx, cosine`` and whole files ``path, spdx, cosine`` at or above ``threshold``.
 
     ``start`` is the 0-based word where the header begins. ``files`` has ``path, text``; null texts and paths match nothing, and
-    rows that repeat a path are read as one file after the other's end.
+    of rows that share a path each text is compared by itself.
     """
     spark = files.sparkSession
     vectors = written(template_words(spark), "licence-templates")
     # Only texts with a cue go on: written, as two branches read their words.
     cued = files.select("path", "text").filter(F.lower("text").rlike(CUE) & F.col("path").isNotNull()).select("path", F.xxhash64("text").alias("copy"), tokens(F.col("text")).alias("words"))
-    texts = written(cued.dropDuplicates(["path", "copy"]), "licence-texts")
+    # A row that is repeated only doubles its counts, which changes no cosine.
+    texts = written(cued, "licence-texts")
     heads = F.broadcast(vectors.select("tid", "cue", "before", "len").distinct())
 
     def around(w: Column) -> Column:
