@@ -28,15 +28,15 @@ def rendezvous(key: Column, n_shards: int, seed: int = SEED) -> Column:
     return best.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def shard(docs: DataFrame, out: str, n_shards: int = 16, bucket_bytes: int = 32 << 20, seed: int = SEED) -> DataFrame:
+def shard(docs: DataFrame, out: str, n_shards: int = 16, bucket_bytes: int = 16 << 20, seed: int = SEED) -> DataFrame:
     """Write ``docs`` to ``out`` as Parquet, one folder a shard, and return the written table.
 
     Added columns: ``shard``, ``slot`` (gapless from 0 within the shard, the order of the shuffle) and
     ``bucket``. Input columns of these names are overwritten, any others are kept. Null texts and ids are kept as they are (null ids share a
     shard, by the law); repeated rows each get a slot of their own; an empty table gives an empty one.
 
-    A shard has as many buckets as its bytes ask for, and a task of pass two holds one bucket: about ``bucket_bytes`` of text,
-    a longer single text, or all copies of one row (equal in id and text), which hash alike.
+    A shard has as many buckets as its bytes ask for. A bucket is about ``bucket_bytes`` of text, a longer single text, or all
+    copies of one row (equal in id and text), which hash alike; a task of pass two holds the one to few buckets that hash to it.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "bucket", "slot")
@@ -53,8 +53,9 @@ def shard(docs: DataFrame, out: str, n_shards: int = 16, bucket_bytes: int = 32
     counts = keyed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    # Buckets are numbered through all shards: each goes to a partition of its own, whose number also seeds its shuffle.
-    scattered = keyed.repartitionById(sum(buckets), F.col("bucket")).sortWithinPartitions("bucket", "tie", "row.doc_id")
+    # Buckets are numbered through all shards. Twice as many partitions as buckets, so that few share one; the aggregation below
+    # needs no second exchange, and Spark seeds each partition's shuffle by its number.
+    scattered = keyed.repartition(2 * sum(buckets), F.col("bucket")).sortWithinPartitions("bucket", "tie", "row.doc_id")
     shuffled = scattered.groupBy("shard", "bucket").agg(F.shuffle(F.collect_list("row"), seed).alias("rows")).select("shard", "bucket", F.posexplode("rows").alias("pos", "row"))
     placed = shuffled.join(offsets, "bucket").select("row.*", "bucket", (F.col("start") + F.col("pos")).alias("slot"), "shard")
     placed.write.partitionBy("shard").parquet(out)
