@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from scoutflow.llm.common import drop_table, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each vertex's neighbours to the least of them: the larger ones (``large``), or the smaller ones and itself."""
+def _stars(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """Link each vertex's neighbours to the least of them: the larger ones (``large``), or the smaller ones and itself. Also a table to drop afterwards."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Written: the join then reads both sides through exchanges of their own, and a hub's edges can be split over tasks.
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         linked = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return linked.filter("a <> b").distinct()
+    return linked.filter("a <> b").distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,9 +34,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        after = written(_stars(_stars(now, True), False), "edges")
+        half, first = _stars(now, True)
+        half = written(half, "edges")
+        whole, second = _stars(half, False)
+        after = written(whole, "edges")
         new_state = _state(after)
-        drop_table(now)
+        for table in (now, half, first, second):
+            drop_table(table)
         now = after
         if new_state == state:
             break
