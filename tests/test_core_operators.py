@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tempfile
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def resolved(spark, *rows):
 
 
 def test_resolution_pairs(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/scoutflow-test-checkpoints")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scoutflow-test-"))
     s, e = date(2026, 8, 1), date(2026, 8, 10)
     assert len(resolved(spark, cand(1, source_url="http://www.a.org/x/?utm_source=q"), cand(2, source_url="http://a.org/x#top"))) == 1
     title = {"title": "Summer School on Graph Data 2026", "start_date": s, "end_date": e}
@@ -55,19 +56,67 @@ def test_resolution_identities_in_any_order(spark):
         assert {r["identity_key"] for r in resolved(spark, *rows)} == {"A", "B"}
 
 
+def greedy(rows):
+    """All records in score order against all kept ones, by the stated rules, for dates and places."""
+    import re
+    from difflib import SequenceMatcher
+
+    def key(title):
+        return " ".join(re.findall("[a-z0-9]+", re.sub(r"\b\d{4}\b", "", title.lower())))
+
+    def belongs(r, k):
+        x, y = key(r["title"]), key(k["title"])
+        like = 0 if "" in (x, y) else 1 if x in y or y in x else SequenceMatcher(None, x, y).ratio()
+        start, end, due = (r[f] is not None and r[f] == k[f] for f in ("start_date", "end_date", "deadline"))
+        if None not in (r["start_date"], k["start_date"]) and not start or "" not in (r["location"], k["location"]) and r["location"] != k["location"]:
+            return False
+        return start and end and like >= 0.75 or (start or due) and like >= 0.85 or like >= 0.92 and r["organizer"] == k["organizer"]
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r["score"], r["ord"])):
+        k = next((k for k in kept if belongs(r, k)), None)
+        if k is None:
+            kept.append(dict(r))
+        else:
+            k |= {f: k[f] or r[f] for f in ("start_date", "end_date", "deadline", "location")}
+    return kept
+
+
 def test_resolution_against_all_pairs(spark):
     """Near-spelt, contained and short titles, unknown organisers, and dates that come by merging, against one greedy pass over all pairs."""
     titles = ["Bioinformatics", "Bioinformatic", "Summerschool", "Summerschools", "AI", "AI summer school", "", "Graph data school", "Graph data schools Rome"]
     rnd = random.Random(4)
     days = [None, date(2026, 8, 1), date(2026, 8, 9)]
-    for _ in range(3):
+    names = [c.split()[0] for c in CAND.split(", ")]
+    for _ in range(2):
         rows = [cand(i, title=rnd.choice(titles), organizer=rnd.choice(["", "", "O", "P"]), location=rnd.choice(["", "", "Rome", "Paris"]), start_date=rnd.choice(days), end_date=rnd.choice(days), deadline=rnd.choice(days)) for i in range(40)]
-        kept = []
-        for r in sorted((dict(zip([c.split()[0] for c in CAND.split(", ")], x)) for x in rows), key=lambda r: (-r["score"], r["ord"])):
-            match = next((k for k in kept if resolve.same_opportunity(r, k)), None)
-            kept.append(r) if match is None else resolve.merge(match, r, AS_OF)
+        want = greedy([dict(zip(names, x)) for x in rows])
         got = resolved(spark, *rows)
-        assert [(r["rid"], r["start_date"], r["deadline"], r["location"]) for r in got] == sorted((r["rid"], r["start_date"], r["deadline"], r["location"]) for r in kept)
+        assert [(r["rid"], r["start_date"], r["deadline"], r["location"]) for r in got] == sorted((r["rid"], r["start_date"], r["deadline"], r["location"]) for r in want)
+
+
+def test_resolution_merges_every_field(spark):
+    s, e = date(2026, 8, 1), date(2026, 8, 10)
+    more = "funding_type array<string>, funding_evidence string, deadline_evidence string, sessions array<struct<name:string,start:date,end:date,deadline:date>>"
+    same = {"title": "School of Data", "start_date": s, "end_date": e}
+    one, two = ("S1", s, date(2026, 8, 4), None), ("S2", date(2026, 8, 5), e, date(2026, 7, 20))
+    rows = [
+        cand(1, **same, funding_available=True) + (["stipend"], "we pay", "", [one]),
+        cand(2, **same, funding_available=False, deadline_status="closed", fee_eur=9.0, fee="9 EUR") + ([], "you pay", "it closed", [two, one[:3] + (date(2026, 7, 1),)]),
+        cand(3, **same | {"title": "Another thing"}) + (None, None, None, None),
+    ]
+    got = resolve.resolve(spark.createDataFrame(rows, f"{CAND}, {more}"), AS_OF).orderBy("rid").collect()
+    r = got[0]
+    assert [x["rid"] for x in got] == [1, 3] and (r["funding_available"], r["funding_type"], r["funding_evidence"]) == (False, [], "you pay")
+    assert (r["deadline_status"], r["deadline_evidence"], r["fee"], r["fee_eur"], r["duration_days"]) == ("closed", "it closed", "9 EUR", 9.0, 6)
+    assert [tuple(x) for x in r["sessions"]] == [("S1", s, date(2026, 8, 4), date(2026, 7, 1)), two]
+    assert got[1]["sessions"] == [] and got[1]["funding_type"] == []
+
+
+def test_labels_of_a_long_chain(spark):
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scoutflow-test-"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(120)], "a long, b long")
+    assert {r["component"] for r in resolve.labels(edges, spark.range(121).withColumnRenamed("id", "rid")).collect()} == {0}
 
 
 def test_filters_and_scores(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ AS_OF = date(2026, 7, 14)
 
 
 def test_overrides(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/scoutflow-test-checkpoints")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scoutflow-test-"))
     rows = spark.createDataFrame([("http://www.a.org/x/?ref=1", "A", "r", date(2026, 8, 1), 5.0), ("http://b.org", "Bee school", "", None, 1.0), ("http://c.org", "C", "", None, 1.0)], "source_url string, title string, risk_points string, deadline date, fee_eur double")
     over = spark.createDataFrame(
         [(1, "http://a.org/x", "", "", "", "seen", {"deadline": None, "fee_eur": "7"}), (2, "", "A", "", "", "twice", {"fee_eur": "9", "deadline": "2026-09-01"}), (3, "", "", "bee", "exclude", "", None)], enrich.OVERRIDE
@@ -45,7 +46,7 @@ def test_model_facts(spark):
 
 
 def test_crawl(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/scoutflow-test-checkpoints")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scoutflow-test-"))
     web = {"http://a.org/fees": '<a href="http://a.org/apply">apply</a><a href="http://a.org/venue">venue</a>', "http://a.org/apply": "<p>x</p>", "http://a.org/venue": "<p>y</p>"}
     start = spark.createDataFrame([("http://a.org/", '<a href="http://a.org/fees">Fees and cost</a><a href="http://b.org/apply">apply</a><a href="http://a.org/x.pdf">apply</a>', ["fee"])], "url string, html string, missing array<string>")
     table = spark.createDataFrame(list(web.items()), "url string, html string")
