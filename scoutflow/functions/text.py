@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ SIGNALS: list[tuple[str, str]] = [
 TITLE_CUTS = (" | ", " - ", " • ", " :: ")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row even where ``body`` uses it inside lambdas (the optimiser would put a projected expression back into them)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_space(text: Column) -> Column:
     """White space runs, Unicode ones too, become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -27,13 +32,15 @@ def clean_space(text: Column) -> Column:
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
     """Whether any term is a substring, ignoring case. Null text: false."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.lit(False) if not terms else F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
+    if not terms:
+        return F.lit(False)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)))
 
 
 def count_terms(text: Column, terms: Sequence[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)))
+    if not terms:
+        return F.lit(0)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))))
 
 
 def first_term(text: Column, terms: Sequence[str], default: str = "") -> Column:
@@ -102,10 +109,17 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     """Overlapping windows of ``size`` characters of the cleaned text; the last one reaches its end."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
-    clean, step = clean_space(F.coalesce(text, F.lit(""))), size - overlap
-    last = F.greatest(F.ceil((F.length(clean) - F.lit(size)) / F.lit(step)), F.lit(0)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substr(clean, i * step + 1, F.lit(size))))
-    return F.filter(cut, lambda c: c != "")
+    step = size - overlap
+    # Rows of ``step`` characters each, split once: taking the n-th part of a text by its place would count from its start again.
+    part = rf"(?s).{{1,{step}}}"
+
+    def cut(parts: Column) -> Column:
+        whole = -(-size // step)  # rows that a window reaches into
+        last = F.greatest(F.ceil((F.greatest((F.size(parts) - 1) * step + F.length(F.try_element_at(parts, F.lit(-1))), F.lit(0)) - F.lit(size)) / F.lit(step)), F.lit(0)).cast("int")
+        one = lambda i: F.trim(F.substring(F.concat(*[F.coalesce(F.get(parts, i + k), F.lit("")) for k in range(whole)]), 1, size))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.coalesce(last, F.lit(0))), one), lambda c: c != "")
+
+    return let(F.regexp_extract_all(clean_space(F.coalesce(text, F.lit(""))), F.lit(part), F.lit(0)), cut)
 
 
 def markdown_escape(text: Column) -> Column:

@@ -62,7 +62,7 @@ def discovery_reasons(spark, sf_dir):
 
 def page_visible_text(spark, sf_dir):
     page = extract.parsed_page(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", page.alias("p")).select("page_id", "p.title", F.size("p.links").alias("n_links"), F.size("p.lines").alias("n_lines"), F.length("p.text").alias("n_chars"))
+    return table(spark, sf_dir, "pages").select("page_id", page.alias("p")).select("page_id", F.size("p.links").alias("n_links"), F.size("p.lines").alias("n_lines"))
 
 
 def evidence_snippets(spark, sf_dir):
@@ -72,15 +72,15 @@ def evidence_snippets(spark, sf_dir):
 
 
 def resolved_orders(spark, sf_dir):
-    """Orders of one customer and day resolve to one record each; titles and totals differ."""
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
-    day = F.to_date("o_orderdate")
-    rows = o.select(
+    """All orders as records: those of one customer and quarter are one opportunity, whose funding is settled by all of them."""
+    quarter = F.to_date(F.date_trunc("quarter", "o_orderdate"))
+    status = F.col("o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("rid"), F.lit("").alias("identity_key"), F.concat(F.lit("http://shop.example/"), "o_orderkey").alias("source_url"), F.md5(F.col("o_custkey").cast("string")).alias("title"),
-        F.col("o_custkey").cast("string").alias("organizer"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("location"), day.alias("start_date"), day.alias("end_date"), F.lit(1).alias("duration_days"), F.lit(None).cast("date").alias("deadline"),
-        F.lit("open").alias("deadline_status"), F.lit(None).cast("boolean").alias("funding_available"), F.lit("").alias("fee"), F.col("o_totalprice").alias("fee_eur"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("ord"),
+        F.col("o_custkey").cast("string").alias("organizer"), F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("location"), quarter.alias("start_date"), quarter.alias("end_date"), F.lit("open").alias("deadline_status"),
+        F.when(status == "F", False).when(status == "O", True).alias("funding_available"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("ord"),
     )
-    return resolve.resolve(rows, datetime.date(1998, 6, 1)).select("rid", "organizer", "start_date")
+    return resolve.resolve(rows, datetime.date(1998, 6, 1)).select("rid", "organizer", "start_date", "funding_available")
 
 
 def feed(spark, sf_dir):
@@ -98,6 +98,9 @@ _U = r"regexp_replace(url, '\.example\.net', '.x.com')"
 _H = rf"regexp_replace(lower(regexp_extract({_U}, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '')"
 _T = "CASE WHEN page_id % 2 = 0 THEN 'Summer School ' ELSE '' END || CASE page_id % 3 WHEN 0 THEN '2020' WHEN 1 THEN '2027' ELSE 'official' END"
 
+# Sentences end after a mark and white space, or at a line break: the first kind is marked before the split.
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+
 QUERIES = {
     "parse_dates": (parse_dates, "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders"),
     "parse_amounts": (parse_amounts, "SELECT o_orderkey, floor(o_totalprice * 100)::BIGINT AS cents FROM orders"),
@@ -118,11 +121,28 @@ QUERIES = {
         discovery_reasons,
         f"SELECT page_id, CASE WHEN {_H} = 'x.com' OR {_H} LIKE '%.x.com' THEN 'social_domain' WHEN page_id % 2 = 1 THEN 'missing_programme_signal' WHEN page_id % 3 = 0 THEN 'past_year' ELSE '' END AS reason FROM (SELECT page_id, url, {_T} AS t FROM pages)",
     ),
-    "page_visible_text": (page_visible_text, None),
-    "evidence_snippets": (evidence_snippets, None),
+    "page_visible_text": (
+        page_visible_text,
+        r"""WITH h AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<title>.*?</title>', '', 'g'), '(?s)<!DOCTYPE[^>]*>', '') AS b FROM pages),
+        t AS (SELECT page_id, html, b, string_split_regex(b, '</?(?:p|div|li|tr|br|h1|h2|h3|h4|section|article|td|th)(?:\s[^>]*)?>') AS parts FROM h)
+        SELECT page_id, len(regexp_extract_all(html, '<a href="[^"]+"'))::INT AS n_links,
+          len(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '<[^>]*>', ' ', 'g'))), lambda x: x <> ''))::INT AS n_lines FROM t""",
+    ),
+    "evidence_snippets": (
+        evidence_snippets,
+        rf"""WITH s AS (SELECT doc_id::VARCHAR AS page_url, generate_subscripts(a, 1) AS pos, unnest(a) AS t FROM (SELECT doc_id, {_SENTENCES} AS a FROM documents)),
+        cut AS (SELECT page_url, pos, CASE WHEN length(t) <= 450 THEN t ELSE coalesce(nullif(regexp_extract(left(t, 450), '^(.*\S)\s+\S*$', 1), ''), left(t, 450)) END AS t FROM s),
+        g AS (SELECT *, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in tx.SIGNALS)}], lambda x: x IS NOT NULL) AS sig FROM cut
+          WHERE len(string_split(t, ' ')) >= 4 AND NOT regexp_matches(t, '{evidence.FILLER}')),
+        f AS (SELECT * FROM g WHERE len(sig) > 0 QUALIFY row_number() OVER (PARTITION BY page_url, lower(t) ORDER BY pos) = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY len(list_filter(sig, lambda x: x IN ('deadline', 'fee', 'funding', 'eligibility'))) DESC, len(list_filter(sig, lambda x: x IN ('dates', 'mode'))) DESC, len(sig) DESC, pos) AS n FROM f)
+        SELECT page_url, 'E' || n AS id, array_to_string(sig, ',') AS signals, length(t)::INT AS size FROM r WHERE n <= 20""",
+    ),
     "resolved_orders": (
         resolved_orders,
-        "SELECT o_orderkey AS rid, o_custkey::VARCHAR AS organizer, o_orderdate::DATE AS start_date FROM orders WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE ORDER BY o_totalprice DESC, o_orderkey) = 1",
+        """WITH o AS (SELECT *, date_trunc('quarter', o_orderdate)::DATE AS q FROM orders),
+        f AS (SELECT o_custkey, q, CASE WHEN bool_or(o_orderstatus = 'F') THEN false WHEN bool_or(o_orderstatus = 'O') THEN true END AS funded FROM o GROUP BY 1, 2)
+        SELECT o_orderkey AS rid, o_custkey::VARCHAR AS organizer, q AS start_date, funded AS funding_available FROM o JOIN f USING (o_custkey, q) QUALIFY row_number() OVER (PARTITION BY o_custkey, q ORDER BY o_totalprice DESC, o_orderkey) = 1""",
     ),
     "feed": (
         feed,
