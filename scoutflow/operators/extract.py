@@ -18,13 +18,36 @@ from scoutflow.operators import filters
 PARSED = "struct<title:string,text:string,headings:array<string>,links:array<struct<href:string,label:string,card:string>>,jsonld:array<string>,lines:array<string>>"
 # Funding kinds and the phrases that offer them, in order.
 FUNDING = [
-    ("travel grant", r"travel grants?|travel bursar(?:y|ies)|travel support|travel costs?[^.\n]{0,20}(?:covered|reimbursed)|covers?[^.\n]{0,20}(?:travel costs?|airfare|flights?)"),
-    ("scholarship", r"scholarships?"),
+    (
+        "travel grant",
+        r"travel grant[s]?|travel bursar(?:y|ies)|travel support"
+        r"|travel costs?[^.\n]{0,20}(?:covered|reimbursed)"
+        r"|covers?[^.\n]{0,20}(?:travel costs?|airfare|flights?)",
+    ),
+    ("scholarship", r"scholarship[s]?"),
     ("bursary", r"bursar(?:y|ies)"),
-    ("tuition waiver", r"tuition waivers?"),
-    ("fee waiver", r"fee waivers?|registration (?:fee )?waiver|waived (?:registration|tuition) fee"),
-    ("stipend", r"stipends?"),
-    ("financial support", r"(?:financial|funding) support\s+(?:(?:is|will be)\s+)?(?:available|offered|provided)|funding (?:is )?available|fully funded"),
+    (
+        "fellowship",
+        r"fellowship[s]?\s+(?:are|is)?\s*(?:available|offered|awarded|provided|on offer)"
+        r"|(?:travel|attendance|mobility|registration)\s+fellowship[s]?"
+        r"|(?:offers?|provides?|awards?|grant(?:s|ed)?)\s+(?:\w+\s+){0,2}fellowship[s]?"
+        r"|fellowship[s]?\s+(?:to|for)\s+(?:attend|participat)",
+    ),
+    ("tuition waiver", r"tuition waiver[s]?"),
+    ("fee waiver", r"fee waiver[s]?|registration (?:fee )?waiver|waived (?:registration|tuition) fee"),
+    ("stipend", r"stipend[s]?"),
+    (
+        "accommodation support",
+        r"accommodation support|covered accommodation|accommodation is covered|free accommodation"
+        r"|(?:accommodation|board and lodging|board|lodging|meals?)\s+(?:is|are|will be)?\s*(?:provided|covered|included)"
+        r"|covers?\s+(?:accommodation|board|lodging|subsistence|meals)",
+    ),
+    (
+        "financial support",
+        r"(?:financial|funding) support\s+(?:(?:is|will be)\s+)?(?:available|offered|provided)"
+        r"|funding (?:is )?available"
+        r"|fully funded|all costs?[^.\n]{0,15}covered",
+    ),
 ]
 NEGATION = r"\b(?:no|not|without|cannot|can't|won't)\b|self[- ]funded|own (?:expense|cost)"
 LEVELS = [("MSc", r"(?i)\bMSc\b|master"), ("PhD", r"(?i)\bPhD\b|doctoral"), ("postdoc", "(?i)postdoc"), ("early-career researcher", r"(?i)early[- ]career")]
@@ -197,7 +220,8 @@ def funding_offered(text: Column, pattern: str) -> Column:
     """Whether the phrase stands anywhere without a negation in the thirty characters before it."""
     found = F.regexp_extract_all(text, F.lit(rf"(?is)(?=((?:.{{30}}|^.{{0,29}})(?:{pattern})))."), F.lit(1))
     head = F.when(F.regexp_instr(text, F.lit(rf"(?i)^(?:{pattern})")) == 1, F.lit(True)).otherwise(F.lit(False))
-    return head | F.exists(found, lambda m: ~F.regexp_replace(m, rf"(?is)(?:{pattern})$", "").rlike(rf"(?i){NEGATION}"))
+    # Most texts hold none of the phrase: those need no look at what stands before it.
+    return text.rlike(rf"(?i){pattern}") & (head | F.exists(found, lambda m: ~F.regexp_replace(m, rf"(?is)(?:{pattern})$", "").rlike(rf"(?i){NEGATION}")))
 
 
 def funding_types(text: Column) -> Column:

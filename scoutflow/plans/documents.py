@@ -85,11 +85,11 @@ def labelled_docs_semi(spark, sf_dir):
 
 
 def missed_docs_anti(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").filter("lang = 'en'").select("doc_id", "source")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "source")
 
 
 def run_compare_full_outer(spark, sf_dir):
-    return compare.run_diff(table(spark, sf_dir, "documents").filter("n_chars > 500"), table(spark, sf_dir, "labels"), "doc_id")
+    return compare.run_diff(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 def field_agreement_pivot(spark, sf_dir):
@@ -161,10 +161,10 @@ QUERIES = {
     "multi_label_join": (multi_label_join, f"SELECT doc_id, coalesce(nullif(array_to_string(list_filter({_MARK}, lambda x: x IS NOT NULL), ', '), ''), 'uncertain') AS labels FROM documents"),
     "exact_dup_keep_first": (exact_dup_keep_first, "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1"),
     "labelled_docs_semi": (labelled_docs_semi, "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
-    "missed_docs_anti": (missed_docs_anti, "SELECT doc_id, source FROM documents d WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
+    "missed_docs_anti": (missed_docs_anti, "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
     "run_compare_full_outer": (
         run_compare_full_outer,
-        """WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 500), b AS (SELECT DISTINCT doc_id FROM labels)
+        """WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
         SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' WHEN b.doc_id IS NULL THEN 'left' ELSE 'both' END AS side FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
     ),
     "field_agreement_pivot": (

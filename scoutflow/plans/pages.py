@@ -77,11 +77,6 @@ def same_domain_pairs(spark, sf_dir):
     return rows.join(nxt, "page_id").select("page_id", urls.same_domain(F.col("url"), F.col("other")).alias("same"))
 
 
-def stable_filenames(spark, sf_dir):
-    title = tx.clean_title(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
-    return pages(spark, sf_dir).select("page_id", F.substring(F.sha1("url"), 1, 8).alias("key"), F.length(tx.slug(title)).alias("slug_length") <= 70)
-
-
 _HOST = r"lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':\d*$', ''))"
 _TITLE = "left(trim(string_split(string_split(string_split(string_split(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), ' | ')[1], ' - ')[1], ' • ')[1], ' :: ')[1]), 140)"
 _PATH = r"regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.plans import documents, events, pages, relational, scalars
+from scoutflow.plans import candidates, documents, events, pages, relational, scalars
 
-MODULES = [pages, documents, relational, events, scalars]
+MODULES = [pages, documents, relational, events, scalars, candidates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
