@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoutflow.functions.text import let  # noqa: F401  (for the operators)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="scoutflow-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -62,11 +65,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once a row even where ``body`` uses it inside lambdas (the optimiser would put a projected expression back into them)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def unit_hash(*parts: Column | str) -> Column:
     """A double in [0, 1) from the MD5 of the parts joined by ``|``: 52 bits, the same in any SQL engine."""
     cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
