@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.plans import audits, candidates, documents, events, pages, relational, scalars
+from scoutflow.plans import audits, candidates, documents, events, modelruns, pages, relational, scalars
 
-MODULES = [pages, documents, relational, events, scalars, candidates, audits]
+MODULES = [pages, documents, relational, events, scalars, candidates, audits, modelruns]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
