@@ -74,7 +74,7 @@ def missed_items(spark, sf_dir):
     url = lambda x: F.concat(F.lit("http://o/"), x.cast("string"))
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")  # noqa: E741
     line, none = F.col("l_linenumber"), F.array().cast("array<string>")
-    items = l.select(url(F.col("l_orderkey")).alias("page_url"), (F.col("l_orderkey") * 10 + line).alias("ord"), F.when(line == 2, "high").when(line == 1, "medium").otherwise("low").alias("confidence"), F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("event_past"))).when(F.col("l_partkey") % 3 == 1, F.array(F.lit("x"))).otherwise(none).alias("warnings"), F.col("l_quantity").cast("double").alias("score"))
+    items = l.select(url(F.col("l_orderkey")).alias("page_url"), (F.col("l_orderkey") * 10000000 + line * 1000000 + F.col("l_partkey")).alias("ord"), F.when(line == 2, "high").when(line == 1, "medium").otherwise("low").alias("confidence"), F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("event_past"))).when(F.col("l_partkey") % 3 == 1, F.array(F.lit("x"))).otherwise(none).alias("warnings"), F.col("l_quantity").cast("double").alias("score"))
     k = F.col("o_orderkey")
     known = o.filter(k % 3 != 2).select(F.when(k % 3 == 0, url(k)).otherwise("").alias("source_url"), F.when(k % 3 == 1, url(k)).otherwise("").alias("application_link"))
     gap = F.struct(F.lit("unknown").alias("application_deadline"), F.lit("1").alias("start_date"), F.lit("2").alias("end_date"), F.lit(" ").alias("fee"), F.when(F.col("ord") % 2 == 0, "Lund").alias("location"))
@@ -139,7 +139,7 @@ QUERIES = {
     ),
     "missed_items": (
         missed_items,
-        """WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS ord, l_orderkey, l_partkey % 3 AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_linenumber WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 1 END DESC, CASE WHEN l_partkey % 3 = 2 THEN 0 ELSE 1 END, l_quantity DESC, l_linenumber) AS r FROM lineitem WHERE l_orderkey % 3 = 2)
+        """WITH a AS (SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS ord, l_orderkey, l_partkey % 3 AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_linenumber WHEN 2 THEN 3 WHEN 1 THEN 2 ELSE 1 END DESC, CASE WHEN l_partkey % 3 = 2 THEN 0 ELSE 1 END, l_quantity DESC, l_linenumber, l_partkey) AS r FROM lineitem WHERE l_orderkey % 3 = 2)
         SELECT 'http://o/' || l_orderkey AS page_url, ord, ord % 5 <> 0 AS follow, 'A b application deadline site:o.org; A b fee site:o.org' || CASE WHEN ord % 2 = 0 THEN '' ELSE '; A b location site:o.org' END AS queries FROM a WHERE r = 1 AND w <> 0""",
     ),
     "model_replies": (
