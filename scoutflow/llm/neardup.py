@@ -38,10 +38,10 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 DONORS = np.random.default_rng(7).integers(0, REGISTERS, (4096, REGISTERS))
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted by text and hash, and where each text's begin (with the end).
 
-    Words are runs of anything but ASCII white space, with A-Z lower-cased; a text of fewer than ``WORDS`` words is one shingle.
+    Words are runs of anything but ASCII white space, with A-Z lower-cased; a text of fewer than ``words`` words is one shingle.
     """
     if not texts:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
@@ -58,17 +58,17 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n_words = np.bincount(owner, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(n_words)])
     hashes, owners = [], []
-    if len(word) >= WORDS:
-        run = np.zeros(len(word) - WORDS + 1, np.uint64)
-        for j in range(WORDS):
-            run += word[j : len(word) - WORDS + 1 + j] * ODD[j]
-        whole = owner[: len(run)] == owner[WORDS - 1 :]
+    if len(word) >= words:
+        run = np.zeros(len(word) - words + 1, np.uint64)
+        for j in range(words):
+            run += word[j : len(word) - words + 1 + j] * ODD[j]
+        whole = owner[: len(run)] == owner[words - 1 :]
         hashes.append(mixed(run[whole]))
         owners.append(owner[: len(run)][whole])
-    short = np.flatnonzero((n_words > 0) & (n_words < WORDS))
+    short = np.flatnonzero((n_words > 0) & (n_words < words))
     if len(short):
         total = n_words[short].astype(np.uint64) << np.uint64(32)
-        for j in range(WORDS - 1):
+        for j in range(words - 1):
             there = n_words[short] > j
             total[there] += word[first[short[there]] + j] * ODD[j]
         hashes.append(mixed(total + np.uint64(1)))
@@ -86,11 +86,11 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 WORD_END = re.compile(rb"[\x20\x09-\x0D]")
 WORD = re.compile(rb"[^\x20\x09-\x0D]")
-LAST_WORDS = re.compile(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}\Z" % (WORDS - 1))
 
 
-def slices(text: bytes) -> Iterator[bytes]:
-    """Parts of a long text, of about ``CHUNK`` bytes and cut between words, that hold each run of ``WORDS`` words at least once."""
+def slices(text: bytes, words: int = WORDS) -> Iterator[bytes]:
+    """Parts of a long text, of about ``CHUNK`` bytes and cut between words, that hold each run of ``words`` words at least once."""
+    last_words = re.compile(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}\Z" % (words - 1))
     start = 0
     while start < len(text):
         cut = WORD_END.search(text, start + CHUNK) if start + CHUNK < len(text) else None
@@ -98,7 +98,7 @@ def slices(text: bytes) -> Iterator[bytes]:
             yield text[start:]
             return
         back = max(start, cut.end() - (CHUNK >> 3))
-        tail = LAST_WORDS.search(text, back, cut.end())
+        tail = last_words.search(text, back, cut.end())
         if tail is None or tail.start() == back:  # words too long for the look back: no cut here
             yield text[start:]
             return
@@ -106,19 +106,19 @@ def slices(text: bytes) -> Iterator[bytes]:
         start = tail.start()
 
 
-def long_set(text: bytes) -> np.ndarray:
+def long_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """The set of one long text, slice by slice, so that memory holds the set and one slice's arrays."""
-    parts = list(slices(text))
+    parts = list(slices(text, words))
     if len(parts) < 2:
-        return shingle_sets([text])[0]
-    return np.unique(np.concatenate([shingle_sets([p])[0] for p in parts]))
+        return shingle_sets([text], words)[0]
+    return np.unique(np.concatenate([shingle_sets([p], words)[0] for p in parts]))
 
 
-def all_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def all_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """As ``shingle_sets``, long texts in slices."""
     if all(len(t) <= 2 * CHUNK for t in texts):
-        return shingle_sets(texts)
-    sets = [long_set(t) for t in texts]
+        return shingle_sets(texts, words)
+    sets = [long_set(t, words) for t in texts]
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
 
 
@@ -223,23 +223,30 @@ def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-@F.pandas_udf(T.BooleanType())
-def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+def verifier(words: int, percent: int) -> Callable[..., Column]:
     """Whether two texts' full shingle sets are alike enough."""
-    known: dict[str, np.ndarray] = {}
-    out = []
-    for x, y in zip(a, b):
-        for t in (x, y):
-            if t not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[t] = long_set(t.encode())
-        p, q = known.get(x), known.get(y)
-        p = long_set(x.encode()) if p is None else p
-        q = long_set(y.encode()) if q is None else q
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(p) + len(q) - both) and both > 0)
-    return pd.Series(out, dtype=bool)
+
+    @F.pandas_udf(T.BooleanType())
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+        out = []
+        for x, y in zip(a, b):
+            for t in (x, y):
+                if t not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[t] = long_set(t.encode(), words)
+            p, q = known.get(x), known.get(y)
+            p = long_set(x.encode(), words) if p is None else p
+            q = long_set(y.encode(), words) if q is None else q
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
+        return pd.Series(out, dtype=bool)
+
+    return verified
+
+
+verified = verifier(WORDS, PERCENT)
 
 
 def near_in_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -271,10 +278,14 @@ def _spanning(left: np.ndarray, right: np.ndarray, pairs: np.ndarray) -> pd.Data
 
 
 def links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    return links_of_few(rows, WORDS, PERCENT)
+
+
+def links_of_few(rows: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Within one block of texts: full sets of the few against the rest, and a spanning set of the links found."""
     rows = rows.sort_values("few", ascending=False, ignore_index=True)
     ids, comp, n_few = rows["id"].to_numpy(), rows["component"].to_numpy(), int(rows["few"].sum())
-    h, bounds = all_sets([(t or "").encode() for t in rows["text"]])
+    h, bounds = all_sets([(t or "").encode() for t in rows["text"]], words)
     size = np.diff(bounds).astype(float)
     owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
     kind = np.unique(h, return_inverse=True)[1]
@@ -287,7 +298,7 @@ def links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros((len(ids), min(4096, n_kinds - at)), np.float32)
         held[owner[a:b], kind[a:b] - at] = 1
         both += held[:n_few] @ held[n_few:].T
-    near = (both > 0) & (100 * both >= PERCENT * (size[:n_few, None] + size[None, n_few:] - both)) & (comp[:n_few, None] != comp[None, n_few:])
+    near = (both > 0) & (100 * both >= percent * (size[:n_few, None] + size[None, n_few:] - both)) & (comp[:n_few, None] != comp[None, n_few:])
     return _spanning(ids[:n_few], ids[n_few:], np.argwhere(near))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.llm import collocations, decontaminate, filteraudit, fuzzyhash, htmldiff, langid, licenses, mixing, neardup, sharding, toxicity, warc
+from scoutflow.llm import collocations, countjoin, decontaminate, filteraudit, fuzzyhash, htmldiff, langid, licenses, mixing, neardup, sharding, toxicity, warc
 
-MODULES = [warc, fuzzyhash, htmldiff, neardup, licenses, toxicity, langid, decontaminate, sharding, mixing, collocations, filteraudit]
+MODULES = [warc, fuzzyhash, htmldiff, neardup, licenses, toxicity, langid, decontaminate, sharding, mixing, collocations, filteraudit, countjoin]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
