@@ -32,11 +32,13 @@ from scoutflow.llm.neardup import ODD, _spanning, all_sets, links_of_few, pieces
 
 WORDS = 4
 PERCENT = 85
-GROUPS = 64
+# Shingles of a group on average, at most; least groups of a point.
+PER_GROUP, LEAST_GROUPS = 8, 16
 # Groups of a block in the directory, points of a tree's node, points of a tree, shingles of a block of texts.
 BLOCK_GROUPS = np.uint64(64)
 FAN, POINTS, SHINGLES = 16, 1024, 1 << 16
-PAIRS = 1 << 16
+# Sets of a small file; rows of small files that one task call gets on average; pairs that are compared at once.
+SMALL, ROWS, PAIRS = 32, 4096, 1 << 15
 # Sets that a task remembers as filed.
 REMEMBERED = 1 << 20
 
@@ -59,12 +61,40 @@ def passes(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (100 + PERCENT) * bound >= PERCENT * (n + m)
 
 
-def points_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Counts of each set's shingles in ``GROUPS`` hashed groups."""
-    n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    group = (mixed(h * ODD[2]) % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(owner * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+def points_of(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Each set's point: its shingles counted in hashed groups, a byte each.
+
+    The groups are a power of two that grows with the set, so that counts stay near ``PER_GROUP`` (far from what a byte
+    holds) and the bound keeps its strength; neighbouring groups add up to the groups of a point of half as many.
+    """
+    size = np.diff(bounds)
+    bits = np.ceil(np.log2(np.maximum(size, 1) / PER_GROUP)).astype(np.int64).clip(LEAST_GROUPS.bit_length() - 1)
+    first = np.concatenate([[0], np.cumsum(1 << bits)])
+    owner = np.repeat(np.arange(len(size)), size)
+    group = (mixed(h * ODD[2]) >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(first[owner] + group, minlength=first[-1]).clip(max=255).astype(np.uint8)
+    return [counts[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+
+
+def matrix(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points of equal length as rows of ``groups`` counts."""
+    rows = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+    return rows.reshape(len(points), groups, -1).sum(2, dtype=np.uint16)
+
+
+def in_reach_of(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether paired points, of sets of ``n`` and ``m`` shingles, pass the bound."""
+    good = np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT
+    lengths = np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
+    for la, lb in np.unique(lengths[good], axis=0):
+        chosen = np.flatnonzero(good & (lengths == (la, lb)).all(1))
+        step = max(1, PAIRS * 64 // max(la, lb))
+        for i in range(0, len(chosen), step):
+            part = chosen[i : i + step]
+            groups = min(la, lb)
+            overlap = np.minimum(matrix(a[part], groups), matrix(b[part], groups)).sum(1, dtype=np.int64)
+            good[part] = passes(overlap, n[part], m[part])
+    return good
 
 
 def files_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +140,7 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             h, bounds = all_sets(texts[a:b], WORDS)
             set_a, set_b = set_hashes(h, bounds)
             rows = batch.iloc[a:b]
-            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy(), "text_key": rows["text_key"].to_numpy(), "n": np.diff(bounds), "set_a": set_a, "set_b": set_b, "point": [p.tobytes() for p in points_of(h, bounds)]})
+            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy(), "text_key": rows["text_key"].to_numpy(), "n": np.diff(bounds), "set_a": set_a, "set_b": set_b, "point": points_of(h, bounds)})
 
 
 SKETCH = "doc_id long, text_key long, n long, set_a long, set_b long, point binary"
@@ -198,23 +228,37 @@ class CountTree:
         return np.concatenate(found_q or empty), np.concatenate(found_p or empty)
 
 
-def _matrix(points: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(points), np.int32).reshape(-1, GROUPS)
-
-
 @F.pandas_udf(T.BooleanType())
 def in_reach(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series(passes(np.minimum(_matrix(a), _matrix(b)).sum(1), n.to_numpy(), m.to_numpy()) if len(a) else np.zeros(0, bool))
+    return pd.Series(in_reach_of(a.to_numpy(), b.to_numpy(), n.to_numpy(), m.to_numpy()))
+
 
+def near_in_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    """Within one block of a large file, or in many small files: the few search the rest, and what they find of other components is linked.
 
-def near_in_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Within one block of a file: the few search a tree of the rest, and what they find of other components is linked."""
-    few, rest = rows[rows["few"]], rows[~rows["few"]]
-    if not len(few) or not len(rest):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    i, j = CountTree(_matrix(rest["point"]), rest["n"].to_numpy()).near(_matrix(few["point"]), few["n"].to_numpy())
-    other = few["component"].to_numpy()[i] != rest["component"].to_numpy()[j]
-    return _spanning(few["id"].to_numpy(), rest["id"].to_numpy(), np.column_stack([i[other], j[other]]))
+    In a large file the rest is a tree.
+    """
+    rows = rows.sort_values("key", ignore_index=True)
+    key, ids, component, few = (rows[c].to_numpy() for c in ("key", "id", "component", "few"))
+    point, n = rows["point"].to_numpy(), rows["n"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in zip(start, [*start[1:], len(key)]):
+        mine, rest = a + np.flatnonzero(few[a:b]), a + np.flatnonzero(~few[a:b])
+        if len(mine) and len(rest) > SMALL:
+            groups = min(map(len, point[a:b]))
+            fold = lambda at: np.concatenate([matrix(point[i : i + 1], groups) for i in at])
+            q, p = CountTree(fold(rest), n[rest]).near(fold(mine), n[mine])
+            left.append(mine[q])
+            right.append(rest[p])
+        else:
+            left.append(np.repeat(mine, len(rest)))
+            right.append(np.tile(rest, len(mine)))
+    i, j = np.concatenate(left), np.concatenate(right)
+    other = component[i] != component[j]
+    i, j = i[other], j[other]
+    good = in_reach_of(point[i], point[j], n[i], n[j])
+    return _spanning(ids, ids, np.column_stack([i[good], j[good]]))
 
 
 def links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -228,23 +272,26 @@ def in_components(ids: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reach(classes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b`` (a file's centre and a member) that pass the bound, and ``id, component`` of what all passing pairs connect."""
-    centres = files.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("a"))).alias("c")).select("key", "c.a")
-    pairs = files.join(centres, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    sized = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    likely = written(sized.filter(in_reach("pa", "pb", "na", "nb")).select("a", "b"), "likely")
+    centres = files.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("a"), F.col("n").alias("na"))).alias("c")).select("key", "c.a", "c.na")
+    pairs = files.join(centres, "key").filter("id <> a").filter(F.least("na", "n") * 100 >= F.greatest("na", "n") * PERCENT)
+    pairs = pairs.select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("point").alias(f"p{x}"))
+    likely = written(pairs.join(side("b"), "b").join(side("a"), "a").filter(in_reach("pa", "pb", "na", "nb")).select("a", "b"), "likely")
     kin = written(connected_components(likely), "kin")
     placed = written(in_components(files, kin), "placed")
     who = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
-    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), who)
-    # Files repeat each other: of those with the same members one is enough.
-    open_files = spread.filter("lo <> hi").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
-    dealt = versus(placed.join(open_files, "key", "left_semi"), "key", F.lit(1), POINTS).join(classes.select("id", "n", "point"), "id")
-    more = written(dealt.groupBy("key", "bi", "bj").applyInPandas(near_in_block, "a long, b long").distinct(), "reach")
+    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets"), who)
+    # The centre has met each member, so pairs are settled. Files repeat each other: of those with the same members one is enough.
+    open_files = spread.filter("lo <> hi and sets > 2").groupBy("sets", "who").agg(F.min("key").alias("key")).select("key", "sets")
+    opened = written(placed.join(open_files, "key"), "open-files")
+    calls = max(1, opened.filter(F.col("sets") <= SMALL).count() // ROWS)
+    dealt = versus(opened, "key", F.lit(1), POINTS).join(classes.select("id", "point"), "id")
+    call = F.when(F.col("sets") <= SMALL, F.pmod(F.xxhash64("key"), F.lit(calls))).otherwise(F.col("key"))
+    more = written(dealt.groupBy(call.alias("call"), "bi", "bj").applyInPandas(near_in_blocks, "a long, b long").distinct(), "reach")
     if more.head(1):
         drop_table(kin)
         kin = written(connected_components(likely.union(more)), "kin")
-    for table in (placed, more):
+    for table in (placed, opened, more):
         drop_table(table)
     return likely, kin
 
@@ -263,7 +310,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     classes = written(grouped.select(F.monotonically_increasing_id().alias("id"), *group, "of.doc_id", "of.text_key", "point"), "classes")
     keys = keyed.filter("doc_id is not null").select("text").mapInArrow(filed, "key long, set_a long")
     several = written(keys.repartition("key").sortWithinPartitions("key", "set_a").mapInArrow(shared, "key long, set_a long"), "shared")
-    files = written(several.join(classes.select("set_a", "id"), "set_a").select("key", "id"), "files")
+    files = written(several.join(classes.select("set_a", "id", "n"), "set_a").select("key", "id", "n"), "files")
     drop_table(several)
     named = classes.select("id", *group, F.col("doc_id").alias("first"))
     used, labels = [files], None
