@@ -28,8 +28,8 @@ MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 200, 50, 3
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 SIGNS = re.compile(rb"[#$%&*|]")
 ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
-# Bytes of texts that a task remembers as its own.
-REMEMBERED = 1 << 25
+# Bytes of texts that a task remembers as its own, and of texts in a routed partition.
+REMEMBERED, ROUTED = 1 << 25, 1 << 26
 
 # One row (or several equal ones): id, part, mask, how many.
 Masked = tuple[int | None, str, int, int]
@@ -106,8 +106,10 @@ def masked(docs: DataFrame) -> DataFrame:
     of rows that share the least id of a text none repeats it. Other columns play no part.
     """
     spark = docs.sparkSession
+    # Nothing sizes an RDD's partitions at run time, so they are sized by the texts.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(size // ROUTED, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit(""))).rdd.mapPartitions(sent)
-    partitions = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = rows.repartitionAndSortWithinPartitions(partitions, partitionFunc=lambda key: key[0])
     return spark.createDataFrame(routed.mapPartitions(settled), "doc_id long, part string, mask int, n long", verifySchema=False)
 
