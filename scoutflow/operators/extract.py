@@ -1,21 +1,23 @@
-"""From page to candidate record: one HTML parse, then expressions over the parsed columns."""
+"""What pages say: one HTML parse, then expressions over the parsed columns."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from datetime import date
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scoutflow.functions import dates, money
+from scoutflow.functions import dates
 from scoutflow.functions import text as tx
-from scoutflow.operators import filters
 
-PARSED = "struct<title:string,text:string,headings:array<string>,links:array<struct<href:string,label:string,card:string>>,jsonld:array<string>,lines:array<string>>"
+PARSED = (
+    "struct<title:string,text:string,headings:array<string>,links:array<struct<href:string,label:string,card:string>>,jsonld:array<string>,lines:array<string>,"
+    "pieces:array<string>,heads:array<array<string>>,shared_title:string,marked:array<struct<tag:string,classes:array<string>,title:string,href:string,text:string>>>"
+)
 # Funding kinds and the phrases that offer them, in order.
 FUNDING = [
     (
@@ -51,11 +53,49 @@ FUNDING = [
 ]
 NEGATION = r"\b(?:no|not|without|cannot|can't|won't)\b|self[- ]funded|own (?:expense|cost)"
 LEVELS = [("MSc", r"(?i)\bMSc\b|master"), ("PhD", r"(?i)\bPhD\b|doctoral"), ("postdoc", "(?i)postdoc"), ("early-career researcher", r"(?i)early[- ]career")]
-IN_PERSON = r"(?i)\b(in[- ]person|on[- ]site|venue|campus|hosted (?:in|at|by))\b"
-ONLINE = r"(?i)online-only|fully online|online course|webinar"
-CLOSED = r"(?i)applications? (?:are|is) (?:now )?closed|registration (?:is )?(?:now )?closed|deadline has passed"
-NOT_OPEN = r"(?i)applications? (?:will )?open (?:soon|in|on)|registration opens|not yet open"
-DEADLINE_WORDS = r"(?:application deadline|registration deadline|deadline|apply by|apply before|applications? (?:close[sd]?|are due|due)|closing date|last date)"
+# Signs of being there and of being online, in order of trial.
+IN_PERSON = [
+    r"in[- ]person", r"on[- ]?site", r"residential", r"field school", r"venue", r"hosted in", r"will be hosted at",
+    r"will (?:take place|be held) in (?!an? (?:online|virtual))", r"course at (?:EMBL|the European Bioinformatics Institute)",
+]
+ONLINE = [r"online-only", r"fully online", r"online course", r"webinar"]
+# What closes applications whatever else is said, what closes them unless they are said to be open, and what says that they are to open.
+STRONG_CLOSED = [
+    r"no\s+longer\s+accepting\s+applications",
+    r"selection\s+(?:notifications?|results?)[^.]{0,30}(?:released|sent|announced|out)",
+    r"application(?:s)?\s+(?:period|window)[^.]{0,20}(?:closed|ended|over)",
+    r"(?<!early\s)registration\s+is\s+closed",
+]
+WEAK_CLOSED = [
+    r"(?:applications?|registration)[^.]{0,30}has\s+passed",
+    r"applications?[^.]{0,25}(?:are|have|is|now)[^.]{0,15}closed",
+    r"applications?\s+(?:are\s+|have\s+|has\s+)?closed",
+    r"registration[^.]{0,25}(?:is\s+)?closed",
+]
+NOT_OPEN = [
+    r"applications?[^.\n]{0,40}(?:not yet|not currently)\s+open",
+    r"registration[^.\n]{0,40}(?:not yet|not currently)\s+open",
+    r"(?:applications?|registration)[^.\n]{0,40}(?:will|is expected to)\s+open",
+]
+OPEN = [
+    r"applications?[^.]{0,15}(?:are|is)[^.]{0,10}open",
+    r"apply\s+(?:now|here|online|today|by)",
+    r"now\s+accepting\s+applications",
+    r"applications?\s+(?:are\s+)?(?:invited|welcome)",
+    r"call\s+for\s+applications",
+    r"registration[^.]{0,15}(?:is\s+)?open",
+    r"applications?\s+open",
+]
+# Participants who pay for themselves, the funding that this leaves in doubt, and words of funding.
+OWN_COST = (
+    r"\b(?:applicants?|participants?|students?)\s+"
+    r"(?:(?:are|remain|will be)\s+responsible\s+for[^.\n]{0,220}"
+    r"(?:fees?|costs?|expenses?|travel|accommodation)"
+    r"|(?:must|should|will)\s+(?:cover|pay|fund)[^.\n]{0,100}\bown\b[^.\n]{0,80}"
+    r"(?:fees?|costs?|expenses?|travel|accommodation))\b"
+)
+VAGUE_FUNDING = "financial support"
+FUNDING_WORDS = r"scholarship|travel grant|tuition waiver|stipend|financial support|funding"
 ONE_DATE = rf"(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{dates.MONTH_WORD}\s+20\d{{2}}|{dates.MONTH_WORD}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+20\d{{2}}|20\d{{2}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}})"
 LOGISTICS = re.compile("accommodation|hotel|lodging|reservation|booking|payment", re.I)
 WIDEST, LOOK_BACK = 120, 60
@@ -65,9 +105,12 @@ class _Reader(HTMLParser):
     """Collects what the extraction needs in one pass."""
 
     HIDDEN, BREAKS, CARDS = {"script", "style", "noscript"}, {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "section", "article", "td", "th"}, {"article", "li"}
+    HEADS, MOST_HEADS = {"h1", "h2"}, 8
 
-    def __init__(self) -> None:
+    def __init__(self, classes: frozenset[str] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.pieces, self.heads, self.head, self.shared_title = [], [], None, ""
+        self.classes, self.marked, self.marking = classes, [], []
         self.title, self.words, self.headings, self.links, self.jsonld, self.lines, self.line = "", [], [], [], [], [], []
         self.hidden, self.heading, self.anchor, self.in_title, self.data = 0, None, None, False, None
         self.cards: list[tuple[int, int]] = []
@@ -84,6 +127,11 @@ class _Reader(HTMLParser):
             self.anchor = [a["href"], []]
         if tag in ("h1", "h2", "h3"):
             self.heading = []
+        if tag in self.HEADS:
+            self.head = []
+        if tag == "meta" and a.get("property") == "og:title":
+            self.shared_title = self.shared_title or " ".join((a.get("content") or "").split())
+        self._mark(tag, a)
         if tag in self.CARDS:
             self.cards.append((len(self.words), len(self.links)))
         if tag in self.BREAKS:
@@ -103,6 +151,13 @@ class _Reader(HTMLParser):
         elif tag in ("h1", "h2", "h3") and self.heading is not None:
             self.headings.append(_clean(self.heading))
             self.heading = None
+        if tag in self.HEADS and self.head is not None:
+            if len(self.heads) < self.MOST_HEADS:
+                self.heads.append(_lines(self.head))
+            self.head = None
+        for open_ in self.marking:
+            open_[1] -= open_[0] == tag
+        self.marking = [x for x in self.marking if x[1]]
         if tag in self.CARDS and self.cards:
             start, first = self.cards.pop()
             for link in self.links[first:]:
@@ -115,13 +170,24 @@ class _Reader(HTMLParser):
             self.data.append(data)
         if self.hidden:
             return
+        self.pieces.append(data)
         if self.in_title:
             self.title += data
             return
-        for sink in (self.words, self.line, self.heading, self.anchor[1] if self.anchor else None):
+        for sink in (self.words, self.line, self.heading, self.head, self.anchor[1] if self.anchor else None, *(x[2]["text"] for x in self.marking)):
             if sink is not None:
                 sink.append(data)
 
+    def _mark(self, tag, a):
+        """Open elements of the wanted classes gather their text and their first link."""
+        for open_ in self.marking:
+            open_[1] += open_[0] == tag
+            open_[2]["href"] = open_[2]["href"] or (a.get("href") or "" if tag == "a" else "")
+        held = self.classes.intersection((a.get("class") or "").split()) if self.classes else ()
+        if held:
+            self.marked.append({"tag": tag, "classes": sorted(held), "title": a.get("title"), "href": a.get("href") or "", "text": []})
+            self.marking.append([tag, 1, self.marked[-1]])
+
     def _break(self):
         if self.line and (text := _clean(self.line)):
             self.lines.append(text)
@@ -132,27 +198,36 @@ def _clean(parts: list[str]) -> str:
     return " ".join(" ".join(parts).split())
 
 
-def _read(page: str | None) -> tuple:
-    reader = _Reader()
+def _lines(parts: list[str]) -> list[str]:
+    return [t for p in parts for line in p.splitlines() if (t := " ".join(line.split()))]
+
+
+def _read(page: str | None, classes: frozenset[str] = frozenset()) -> tuple:
+    reader = _Reader(classes)
     reader.feed(page or "")
     reader.close()
     reader._break()
-    return " ".join(reader.title.split()), _clean(reader.words), [h for h in reader.headings if h], [tuple(x) for x in reader.links], reader.jsonld, reader.lines
+    marked = [m | {"text": _clean(m["text"])} for m in reader.marked]
+    links = [{"href": h, "label": t, "card": c} for h, t, c in reader.links]
+    return " ".join(reader.title.split()), _clean(reader.words), [h for h in reader.headings if h], links, reader.jsonld, reader.lines, _lines(reader.pieces), reader.heads, reader.shared_title, marked
+
 
+NAMES = ["title", "text", "headings", "links", "jsonld", "lines", "pieces", "heads", "shared_title", "marked"]
 
-def parsed_page(html: Column) -> Column:
-    """Title, visible text, headings, links with labels and card text, JSON-LD scripts and text lines. A null page has none."""
+
+def parsed_page(html: Column, classes: Sequence[str] = ()) -> Column:
+    """Title, visible text, headings, links with labels and card text, JSON-LD scripts and text lines. A null page has none.
+
+    ``pieces`` are the lines of all texts between tags, ``heads`` those of each of the first headings; ``marked`` are the elements of the
+    given ``classes`` with their text and first link.
+    """
+    wanted = frozenset(classes)
 
     @F.pandas_udf(PARSED)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages in batches:
-            rows = [_read(p) for p in pages]
-            yield pd.DataFrame(
-                {
-                    "title": [r[0] for r in rows], "text": [r[1] for r in rows], "headings": [r[2] for r in rows],
-                    "links": [[{"href": h, "label": t, "card": c} for h, t, c in r[3]] for r in rows], "jsonld": [r[4] for r in rows], "lines": [r[5] for r in rows],
-                }
-            )
+            rows = [_read(p, wanted) for p in pages]
+            yield pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(NAMES)})
 
     return parse(html)
 
@@ -198,24 +273,6 @@ def date_ranges(text: Column) -> Column:
     return ranges(text)
 
 
-def deadlines(text: Column) -> Column:
-    """``array<struct<category, day, evidence>>`` of dated deadlines; category 0 is for applications, 1 for registrations, 2 for others."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?i){DEADLINE_WORDS}[^.\n]{{0,40}}?{ONE_DATE}"), F.lit(0))
-
-    def one(e: Column) -> Column:
-        low = F.lower(e)
-        category = F.when(F.contains(low, F.lit("application")) | F.contains(low, F.lit("apply")), 0).when(F.contains(low, F.lit("registration")) | F.contains(low, F.lit("register")), 1).otherwise(2)
-        return F.struct(category.alias("category"), dates.parse_date(F.regexp_extract(e, rf"({ONE_DATE})\s*$", 1)).alias("day"), tx.clean_space(e).alias("evidence"))
-
-    return F.filter(F.transform(found, one), lambda d: d["day"].isNotNull())
-
-
-def chosen_deadline(found: Column) -> Column:
-    """Of the best category there is, the latest."""
-    best = F.array_min(F.transform(found, lambda d: d["category"]))
-    return F.array_max(F.transform(F.filter(found, lambda d: d["category"] == best), lambda d: F.struct(d["day"].alias("day"), d["evidence"].alias("evidence"))))
-
-
 def funding_offered(text: Column, pattern: str) -> Column:
     """Whether the phrase stands anywhere without a negation in the thirty characters before it."""
     found = F.regexp_extract_all(text, F.lit(rf"(?is)(?=((?:.{{30}}|^.{{0,29}})(?:{pattern})))."), F.lit(1))
@@ -228,11 +285,27 @@ def funding_types(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(funding_offered(text, p), F.lit(n)) for n, p in FUNDING]))
 
 
+def says(text: Column, patterns: Sequence[str]) -> Column:
+    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
 def mode_of(text: Column) -> Column:
-    here, there, mixed = text.rlike(IN_PERSON), text.rlike(ONLINE), text.rlike("(?i)hybrid")
+    here, there, mixed = says(text, IN_PERSON), says(text, ONLINE), text.rlike("(?i)hybrid")
     return F.when(here & mixed, "hybrid").when(here, "in-person").when(there, "online").when(mixed, "hybrid").otherwise("uncertain")
 
 
+def mode_evidence(text: Column, radius: int = 50) -> Column:
+    """The first sign of a mode, in order of trial, with the ``radius`` characters after it; empty without one."""
+    tries = [F.nullif(tx.clean_space(F.regexp_extract(text, rf"(?is)(?:{p}).{{0,{radius}}}", 0)), F.lit("")) for p in [*IN_PERSON, *ONLINE, "hybrid"]]
+    return F.coalesce(*tries, F.lit(""))
+
+
+def application_status(text: Column, deadline: Column, as_of: Column) -> Column:
+    """Closed or not open by what the page says, else by the deadline. A passed deadline of something else, or a weak sign beside an open one, closes nothing."""
+    closed = says(text, STRONG_CLOSED) | says(text, WEAK_CLOSED) & ~says(text, OPEN)
+    return F.when(closed, "closed").when(says(text, NOT_OPEN), "not_open").when(deadline.isNull(), "uncertain").when(deadline >= as_of, "open").otherwise("closed")
+
+
 def level_of(text: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in LEVELS])), ", "), F.lit("")), F.lit("uncertain"))
 
@@ -241,52 +314,3 @@ def topics_in(text: Column, topics: list[str]) -> Column:
     """Topics that the text names; those of up to three letters only as whole words."""
     tests = [F.when(text.rlike(rf"(?i)\b{re.escape(t)}\b" if len(t) <= 3 else rf"(?i){re.escape(t)}"), F.lit(t)) for t in topics]
     return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
-
-
-def fee_text(text: Column) -> Column:
-    paid = F.regexp_extract(text, r"(?i)\b(?:registration fees?|participation fees?|tuition fees?|course fees?|fees?|costs?)\b[:\s-]+([^.;\n]{1,100})", 1)
-    return F.coalesce(F.nullif(F.regexp_extract(text, money.FREE, 1), F.lit("")), F.when(paid.rlike(r"\d"), F.trim(paid)), F.lit(""))
-
-
-def jsonld_event(scripts: Column) -> Column:
-    """Start, end, name and place of the page's JSON-LD event, where there is exactly one."""
-    kind = "struct<`@type`:string,name:string,startDate:string,endDate:string,location:struct<name:string>>"
-    events = F.filter(F.transform(scripts, lambda s: F.from_json(s, kind)), lambda e: F.lower(e["@type"]).isin("event", "educationevent", "course", "businessevent"))
-    one = F.get(events, F.lit(0))
-    return F.when(F.size(events) == 1, F.struct(F.to_date(F.substring(one["startDate"], 1, 10)).alias("start"), F.to_date(F.substring(one["endDate"], 1, 10)).alias("end"), one["name"].alias("name"), one["location"]["name"].alias("place"), F.lit(1).alias("n")))
-
-
-def page_candidates(pages: DataFrame, topics: list[str], fx: dict[str, float], as_of: Column, adapters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """Candidates of pages ``page_id, url, html``: pages that look like an opportunity and are no listing (several events, or no date at all).
-
-    Structured data beats patterns, and an adapter registered for the host (a function of the parsed page that
-    gives a struct with any of ``start, end, deadline, fee``) beats both.
-    """
-    from scoutflow.functions.urls import host, host_matches
-
-    rows = pages.select("page_id", "url", parsed_page(F.col("html")).alias("p")).filter(filters.looks_like_opportunity(F.col("p.text")) & ~filters.workshop_title(F.col("p.title")))
-    text = F.col("p.text")
-    found = rows.withColumn("ranges", date_ranges(text)).withColumn("event", jsonld_event(F.col("p.jsonld"))).withColumn("due", chosen_deadline(deadlines(text)))
-    special = {f: [] for f in ("start", "end", "deadline", "fee")}
-    for name, make in (adapters or {}).items():
-        made = make(F.col("p"))
-        for field in special:
-            special[field].append(F.when(host_matches(host(F.col("url")), [name]), made[field]))
-    start = F.coalesce(*special["start"], F.col("event.start"), F.get("ranges", F.lit(0))["start"])
-    end = F.coalesce(*special["end"], F.col("event.end"), F.get("ranges", F.lit(0))["end"])
-    deadline = F.coalesce(*special["deadline"], F.col("due.day"))
-    fee = F.coalesce(*special["fee"], fee_text(text))
-    rate = F.element_at(F.create_map(*[F.lit(x) for kv in fx.items() for x in kv]), money.currency(fee))
-    status = F.when(text.rlike(CLOSED), "closed").when(text.rlike(NOT_OPEN), "not_open").when(deadline.isNull(), "uncertain").when(deadline >= as_of, "open").otherwise("closed")
-    kinds = funding_types(text)
-    title = F.coalesce(F.col("event.name"), F.get(F.filter("p.headings", lambda h: tx.any_term(h, filters.PROGRAMME_TERMS)), F.lit(0)), F.nullif(F.col("p.title"), F.lit("")), F.get("p.headings", F.lit(0)), F.lit(""))
-    out = found.select(
-        "page_id", F.col("url").alias("source_url"), tx.clean_title(title).alias("title"), tx.first_term(text, filters.PROGRAMME_TERMS, "research training").alias("type"),
-        start.alias("start_date"), end.alias("end_date"), dates.duration_days(start, end).alias("duration_days"), deadline.alias("deadline"), status.alias("deadline_status"),
-        F.when(F.size(kinds) > 0, True).alias("funding_available"), kinds.alias("funding_type"), fee.alias("fee"), money.fee_to_eur(fee, F.coalesce(rate, F.when(fee.rlike(money.FREE), 1.0))).alias("fee_eur"),
-        mode_of(text).alias("mode"), level_of(text).alias("target_level"), topics_in(text, topics).alias("topic_keywords"), tx.clean_space(F.substring(text, 1, 280)).alias("summary"),
-        F.size("ranges").alias("n_ranges"), F.col("due.evidence").alias("deadline_evidence"),
-    )
-    known = F.col("start_date").isNotNull().cast("int") + F.col("deadline").isNotNull().cast("int") + (F.col("mode") != "uncertain").cast("int") + (F.col("fee") != "").cast("int")
-    listing = (F.col("n_ranges") >= 3) | F.col("deadline").isNull() & (F.col("n_ranges") != 1) & F.col("start_date").isNull()
-    return out.filter(~listing).withColumn("extraction_confidence", F.round(known / 4, 2)).drop("n_ranges")

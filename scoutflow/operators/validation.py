@@ -75,7 +75,7 @@ def tiers_incomplete(value: Column, evidence: Column) -> Column:
 
 def cited(items: DataFrame, evidence: DataFrame) -> DataFrame:
     """``page_url, cited`` (field to the texts that its ids name), ``lost`` (fields with an id that names none) and ``said`` (all snippets of the page)."""
-    asked = items.select("page_url", F.explode("fields").alias("field", "f")).select("page_url", "field", F.posexplode("f.ids").alias("at", "id"))
+    asked = items.select("page_url", F.explode("fields").alias("field", "f")).select("page_url", "field", F.posexplode(F.filter("f.ids", lambda x: F.trim(x) != "")).alias("at", "id"))
     got = asked.join(evidence.select("page_url", "id", "text"), ["page_url", "id"], "left")
     per = got.groupBy("page_url", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda s: s["text"]), " ").alias("text"), (F.count_if(F.col("text").isNull()) > 0).alias("lost"))
     pages = per.groupBy("page_url").agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("cited"), F.collect_list(F.when(F.col("lost"), F.col("field"))).alias("lost"))
@@ -207,13 +207,32 @@ NO_PLACE_START = ["a", "an", "the", "that", "which"]
 PLACE_NAMES = ["host", "hosts", "location", "venue", "place"]
 
 
+# Words of labels and buttons, which no place has.
+NO_PLACE_WORDS = [
+    "webinar", "preview", "schedule", "register", "read more", "overview", "agenda", "click here", "learn more", "apply now", "find out", "no location set",
+    "no address set",
+]
+
+
+def distinct_parts(value: Column) -> Column:
+    """Parts between commas, each once: case and accents make no difference."""
+    folded = lambda x: F.collate(x, "UNICODE_CI_AI")
+
+    def once(parts: Column) -> Column:
+        return F.array_join(F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, 1, i), lambda y: folded(y) == folded(x))), ", ")
+
+    return F.when(F.contains(value, F.lit(",")), let(F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != ""), once)).otherwise(value)
+
+
 def clean_place(value: Column) -> Column:
-    """A place without what follows it in a block, and without marks around it; empty for fragments, field names and event codes. Virtual ones are ``Online``."""
+    """A place without what follows it in a block, without marks around it, and with its parts once; empty for fragments, field names and event codes. Virtual ones are ``Online``."""
     cut = F.regexp_replace(F.trim(F.regexp_replace(tx.clean_space(value), PLACE_ENDS, "")), "[ ,;&]+$", "")
     bare = F.trim(F.regexp_replace(cut, "^[ :;,.–—-]+|[ :;,.–—-]+$", ""))
     low = F.lower(bare)
     junk = cut.rlike(r"[\[\]{}|]") | low.isin("", *PLACE_NAMES) | F.split_part(low, F.lit(" "), F.lit(1)).isin(NO_PLACE_START)
-    return F.when(junk, "").when(F.contains(low, F.lit("virtual")) | F.contains(low, F.lit("online")), "Online").when(~F.contains(bare, F.lit(" ")) & bare.rlike(r"\d"), "").otherwise(bare)
+    online = F.contains(low, F.lit("virtual")) | F.contains(low, F.lit("online"))
+    code = ~F.contains(bare, F.lit(" ")) & bare.rlike(r"\d")
+    return F.when(junk, "").when(online, "Online").when(tx.any_term(low, NO_PLACE_WORDS) | code, "").otherwise(distinct_parts(bare))
 
 
 def place_of(text: Column, region: Column) -> Column:
@@ -221,18 +240,3 @@ def place_of(text: Column, region: Column) -> Column:
     found = clean_place(tx.first_match(text, PLACE_PATTERNS))
     out = F.coalesce(F.nullif(found, F.lit("")), region, F.lit(""))
     return F.when(F.lower(F.trim(out)) == "continental europe", "Europe").otherwise(out)
-
-
-# Amounts that are a participant's own, and words of housing near which an amount is not a fee.
-PRICE = r"((?:EUR|USD|GBP|CHF|CNY|RMB|JPY|INR|KRW|SGD|AUD|CAD|€|\$|£)\s?\d[\d ,.]*\d?|\d[\d ,.]*\d?\s?(?:EUR|USD|GBP|CHF|CNY|RMB|JPY|INR|KRW|SGD|AUD|CAD|€|\$|£))"
-PARTICIPANT = [rf"(?i)(?:student|students|master'?s?|msc|phd|doctoral)[^.\n]{{0,60}}?{PRICE}", rf"(?i)(?:student|post-?doc|academic)[ -]+registration[^.\n]{{0,40}}?{PRICE}"]
-HOUSING = r"(?i)room|board|housing|accommodation|hotel"
-LEAST_FEE = 20
-
-
-def participant_fee(text: Column) -> Column:
-    """The lowest amount of at least ``LEAST_FEE`` that stands with students or doctoral participants and not with housing; null without one."""
-    wide = lambda p: F.regexp_extract_all(text, F.lit(rf"(?s)(?i)(.{{0,80}}{p.removeprefix('(?i)')}(?=(.{{0,40}})))"), F.lit(0))
-    found = F.concat(*[F.transform(wide(p), lambda m: F.struct(m.alias("context"), money.parse_amount(F.regexp_extract(F.regexp_extract(m, rf"(?s){PRICE}$", 1), f"({money.AMOUNT})", 1)).alias("amount"))) for p in PARTICIPANT])
-    fit = F.filter(found, lambda x: ~x["context"].rlike(HOUSING) & (x["amount"] >= LEAST_FEE))
-    return F.array_min(F.transform(fit, lambda x: x["amount"]))

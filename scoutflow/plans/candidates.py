@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, money, urls
 from scoutflow.functions import text as tx
-from scoutflow.operators import enrich, evidence, extract, filters, semantic, validation
+from scoutflow.operators import deadlines, enrich, evidence, extract, fees, filters, semantic, validation
 
 AS_OF, LATER = "1997-01-01", "2036-06-01"
 PAGES = ["Join our summer school; the application is open", "PhD position and summer school funding", "Workshop notes", "Language course, deadline soon", "Degree programme with a summer school scholarship", "Winter school only"]
@@ -103,11 +103,11 @@ def _notices(spark, sf_dir) -> DataFrame:
 def notice_facts(spark, sf_dir):
     """Place, deadline, dates, fee and funding read back from notices."""
     t = F.col("text")
-    due, ranges = extract.chosen_deadline(extract.deadlines(t)), extract.date_ranges(t)
-    fee = extract.fee_text(t)
+    due, ranges = deadlines.chosen_deadline(deadlines.deadlines(t)), extract.date_ranges(t)
+    fee = F.coalesce(fees.stated_fee(t), F.lit(""))
     return _notices(spark, sf_dir).select(
         "o_orderkey", validation.place_of(t, F.lit("Continental Europe")).alias("place"), due["day"].alias("deadline"), F.get(ranges, F.lit(0))["start"].alias("start_date"), F.get(ranges, F.lit(0))["end"].alias("end_date"),
-        money.fee_to_eur(fee, F.lit(1.0)).alias("fee_eur"), money.currency(fee).alias("currency"), validation.participant_fee(t).alias("student_fee"), F.array_join(extract.funding_types(t), ", ").alias("funding"),
+        money.fee_to_eur(fee, F.lit(1.0)).alias("fee_eur"), money.currency(fee).alias("currency"), F.array_max(money.amounts(fees.participant_fee(t))).alias("student_fee"), F.array_join(extract.funding_types(t), ", ").alias("funding"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoutflow.operators import enrich, evidence, extract, filters, semantic, sessions
+from scoutflow.operators import enrich, evidence, filters, pagerecords, semantic, sessions
 from scoutflow.plans.candidates import LATER, pick, table
 from scoutflow.sinks import writers
 from scoutflow.sources import readers
@@ -63,9 +63,9 @@ def page_records(spark, sf_dir):
         F.when(k % 4 == 0, "Hello. ").otherwise(F.concat(F.lit("Application deadline: "), _written(day), F.lit(". "))), F.lit("It runs from "), _written(F.date_add(day, 30)), F.lit(" to "), _written(F.date_add(day, 39)), F.lit(". Tuition fee: "),
         F.when(k % 2 == 0, "EUR ").otherwise("USD "), (k % 300 * 2 + 50).cast("string"), F.lit(". "), F.when(k % 3 == 0, "It is an online course. ").otherwise("The venue is in town. "), pick(k, ["For PhD students of AI.", "Master level, graph theory.", "For all."]),
     )
-    html = F.concat(F.lit("<html><head><title>"), F.when(k % 5 == 0, "Workshop ").otherwise("Site "), k.cast("string"), F.lit("</title></head><body><h1>Data summer school "), k.cast("string"), F.lit(" | Site</h1><p>"), words, F.lit("</p></body></html>"))
+    html = F.concat(F.lit("<html><head><title>"), F.when(k % 5 == 0, "Workshop ").otherwise("Site "), k.cast("string"), F.lit("</title></head><body><h1>"), F.when(k % 5 == 0, "Workshop on data ").otherwise("Data summer school "), k.cast("string"), F.lit(" | Site</h1><p>"), words, F.lit("</p></body></html>"))
     pages = table(spark, sf_dir, "orders").select(k.alias("page_id"), F.concat(F.lit("http://o.example/"), k.cast("string")).alias("url"), html.alias("html"))
-    got = extract.page_candidates(pages, TOPICS, {"EUR": 1.0, "USD": 0.5}, F.lit(LATER).cast("date"))
+    got = pagerecords.page_candidates(pages, TOPICS, {"EUR": 1.0, "USD": 0.5}, F.lit(LATER).cast("date"))
     return got.select("page_id", "source_url", "title", "type", "start_date", "end_date", "duration_days", "deadline", "deadline_status", "fee", "fee_eur", "mode", "target_level", F.array_join("topic_keywords", ",").alias("topics"), "extraction_confidence")
 
 

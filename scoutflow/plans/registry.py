@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.plans import audits, candidates, documents, events, modelruns, pages, records, relational, scalars
+from scoutflow.plans import audits, candidates, documents, events, modelruns, pagefacts, pages, records, relational, scalars
 
-MODULES = [pages, documents, relational, events, scalars, candidates, audits, modelruns, records]
+MODULES = [pages, documents, relational, events, scalars, candidates, audits, modelruns, records, pagefacts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

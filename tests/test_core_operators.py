@@ -8,7 +8,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from scoutflow.operators import compare, evidence, extract, filters, resolve, scoring, semantic, state, topk
+from scoutflow.operators import compare, evidence, extract, filters, pagerecords, resolve, scoring, semantic, state, topk
 from scoutflow.sinks import writers
 from scoutflow.sources import readers
 
@@ -175,7 +175,7 @@ PAGE = """<html><head><title>Graph School - Home</title><script type="applicatio
 
 def test_page_to_candidate(spark):
     pages = spark.createDataFrame([(1, "http://h/x", PAGE), (2, "http://h/y", "<p>nothing</p>"), (3, "http://h/z", None)], "page_id long, url string, html string")
-    got = extract.page_candidates(pages, ["AI", "graph"], {"EUR": 1.0}, today()).collect()
+    got = pagerecords.page_candidates(pages, ["AI", "graph"], {"EUR": 1.0}, today()).collect()
     assert [r["page_id"] for r in got] == [1]
     r = got[0]
     assert (r["title"], r["start_date"], r["duration_days"], r["deadline"], r["deadline_status"]) == ("Graph summer school", date(2026, 8, 1), 11, date(2026, 7, 20), "open")
