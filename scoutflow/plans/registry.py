@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoutflow.plans import audits, candidates, catalogues, documents, events, modelruns, pagefacts, pages, records, relational, scalars
+from scoutflow.plans import audits, candidates, catalogues, documents, events, modelruns, pagefacts, pages, records, relational, scalars, sources
 
-MODULES = [pages, documents, relational, events, scalars, candidates, audits, modelruns, records, pagefacts, catalogues]
+MODULES = [pages, documents, relational, events, scalars, candidates, audits, modelruns, records, pagefacts, catalogues, sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

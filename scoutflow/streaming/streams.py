@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -38,7 +38,7 @@ def _run(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     A repeated batch overwrites its own folder, so a restart after a failure counts nothing twice.
     """
     spark = stream.sparkSession
-    out, log = _folder(spark, name), _folder(spark, f"{name}-log")
+    out, log = shared_folder(spark, name), shared_folder(spark, f"{name}-log")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
