@@ -44,6 +44,11 @@ MARKS = {
 # Pages looked at on each side of a page in path order, and the share of a page's characters from which another is its copy.
 NEAR, COPY = 4, 0.9
 BESIDES = {"has", "with", "no", "without", "and"}
+# Names written as one word, and what an id inside content may say besides a mark (else it is an anchor: related-work, social-history).
+RUN_TOGETHER = {"commentlist", "commentform", "commentbox", "commentarea", "commentsection", "commentthread", "adsbygoogle", "adbox", "adslot", "adunit", "sharebar", "sociallinks"}
+MARK_ENDS = ("nav", "navbar", "menu", "sidebar", "footer", "breadcrumb", "breadcrumbs")
+AROUND = {"box", "list", "container", "wrapper", "wrap", "block", "area", "form", "links", "posts", "articles", "items", "bar", "buttons", "section", "inner", "outer", "left", "right", "top", "bottom", "main"}
+ID_TAGS = {"div", "ul", "ol", "dl", "table", "details", "header"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -52,14 +57,26 @@ SPACE = re.compile(r"\s+")
 ENDS_P = BLOCK - {"html", "body", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "summary", "legend", "figcaption"}
 
 
+def is_mark(word: str) -> bool:
+    return word in MARKS or word in RUN_TOGETHER or word.endswith(MARK_ENDS)
+
+
 def marked(name: str, inside: bool = False) -> bool:
     """Whether a class or id names page furniture. ``has-sidebar`` and the like name what an element goes with; a header inside content is its heading."""
     words = [w.lower() for w in NAME_WORD.findall(name)]
-    return any(w in MARKS and not (inside and w == "header") and (i == 0 or words[i - 1] not in BESIDES) for i, w in enumerate(words))
+    return any(is_mark(w) and not (inside and w == "header") and (i == 0 or words[i - 1] not in BESIDES) for i, w in enumerate(words))
+
+
+def anchor(tag: str, name: str) -> bool:
+    """Whether an id inside content is a place to link to: that of a heading, a section or text, or one with words of its own."""
+    return tag not in ID_TAGS or not all(is_mark(w) or w in AROUND for w in map(str.lower, NAME_WORD.findall(name)))
 
 
 def furniture(tag: str, attributes: str, inside: bool = False) -> bool:
-    """Whether an element's name, role, class, id or hiddenness says that it is not part of the article; ``inside``: it stands in content."""
+    """Whether an element's name, role, class, id or hiddenness says that it is not part of the article; ``inside``: it stands in content.
+
+    An article may be a comment or a teaser by its class. A heading's class says nothing, and inside content ids are mostly anchors.
+    """
     if tag in CHROME:
         return True
     if not attributes or tag in ("html", "body"):
@@ -70,7 +87,10 @@ def furniture(tag: str, attributes: str, inside: bool = False) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in CONTENT and any(marked(part, inside) for part in value.split()):
+        if name not in ("class", "id") or tag == "main" or inside and tag in HEADINGS:
+            continue
+        own = inside or tag == "article"
+        if any(marked(part, own) and not (name == "id" and own and tag != "article" and anchor(tag, part)) for part in value.split()):
             return True
     return False
 
@@ -82,6 +102,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     # Open elements: tag, whether it is furniture, whether it is article content.
     stack: list[tuple[str, int, int]] = []
     chrome = content = article = 0
+    hushed = 0  # open furniture within a line: its words are no part of the block around it
     # Where in the stack the open elements of each name stand, and all open blocks: no stray tag asks for a walk down the stack.
     places: dict[str, list[int]] = {}
     open_blocks: list[int] = []
@@ -97,9 +118,10 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             text = []
 
     def close(depth: int) -> None:
-        nonlocal chrome, content, article
+        nonlocal chrome, content, article, hushed
         for name, c, k in stack[depth:]:
             chrome -= c
+            hushed -= c and name not in BLOCK
             content -= k
             article -= int(name == "article")
             places[name].pop()
@@ -115,10 +137,10 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     while at < len(source):
         m = TOKEN.search(source, at)
         if m is None:
-            text.append(source[at:])
+            text.append("" if hushed else source[at:])
             break
         if m.start() > at:
-            text.append(source[at : m.start()])
+            text.append("" if hushed else source[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -170,6 +192,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             open_blocks.append(len(stack))
         stack.append((tag, c, int(tag in CONTENT)))
         chrome += c
+        hushed += c and tag not in BLOCK
         content += int(tag in CONTENT)
         article += int(tag == "article")
     flush()

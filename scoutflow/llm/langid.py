@@ -167,6 +167,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: str = "lang-1") ->
     return Trees(counts.toPandas())
 
 
+def slices(text: bytes) -> Iterator[bytes]:
+    """Parts of a padded text of about ``CHUNK`` bytes, each with the ``ORDER`` bytes before it: their code lengths add up to the text's."""
+    for start in range(ORDER, max(len(text), ORDER + 1), CHUNK):
+        yield text[start - ORDER : start + CHUNK]
+
+
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``CHUNK`` bytes together."""
     start = size = 0
@@ -191,8 +197,9 @@ def predictor(spark: SparkSession, trees: Trees) -> Callable[[Column | str], Col
             data = [padded(t) for t in texts]
             bits = np.zeros((len(data), max(1, len(trees.langs))))
             if trees.langs:
-                for a, b in pieces(data):
-                    bits[a:b] = trees.code_lengths(data[a:b])
+                parts = [(i, p) for i, d in enumerate(data) for p in slices(d)]
+                for a, b in pieces([p for _, p in parts]):
+                    np.add.at(bits, [i for i, _ in parts[a:b]], trees.code_lengths([p for _, p in parts[a:b]]))
             best = bits.argmin(1)
             gap = (bits - bits.min(1, keepdims=True)) / np.sqrt([[max(1, len(d) - ORDER)] for d in data] or np.ones((0, 1)))
             score = 1 / np.exp2(-gap).sum(1)
@@ -211,7 +218,8 @@ def predictor(spark: SparkSession, trees: Trees) -> Callable[[Column | str], Col
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits`` for each row, repeated rows included.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is every text where nothing was learned.
+    Null texts and texts without a letter are ``und`` with score 0, as is every text where nothing was learned. Texts of any length are
+    scored whole, in slices: memory holds the text and one slice's arrays.
     """
     language = predictor(docs.sparkSession, fit(docs, train_docs))
     rows = docs.select("doc_id", language("text").alias("p"))

@@ -340,6 +340,19 @@ def test_html_furniture():
     assert htmldiff.keep(htmldiff.blocks(page), None) == "T\na b c\nd\nx\ny"
 
 
+def test_html_comments_as_articles_and_anchors():
+    page = (
+        "<article class='post'><h2 id='social-history' class='header'>Social history</h2><p id='legal'>l</p><section id='related-work'><h3 id='notice'>N</h3><p>r</p></section>"
+        "<div id='related-work'>w</div><div id='related-posts'>gone</div><ul class='commentlist'><li>gone</ul><ins class='adsbygoogle'>gone</ins><div class='topnav'>gone</div>"
+        "<p class='commentary'>c</p><div class='advert'>gone</div></article><article class='comment'><h2>Reader</h2><p>gone</p></article><article id='comment-7'>gone</article><article class='reader-comments'>gone</article>"
+    )
+    assert htmldiff.keep(htmldiff.blocks(page), None) == "Social history\nl\nN\nr\nw\nc"
+    for name in ("comment-list", "commentForm", "main-menu", "subnav", "leftSidebar", "cookie_notice"):
+        assert htmldiff.marked(name)
+    for name in ("post", "commentary", "has-sidebar", "menuetto", "navy", "story-body"):
+        assert not htmldiff.marked(name)
+
+
 # 4 toxicity
 def test_maximal_segments_by_definition():
     rnd = random.Random(5)
@@ -544,6 +557,20 @@ def test_languages(spark, sf_dir, odd, none):
     assert langid.identify(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 50])
+def test_slices_of_a_text_add_up(monkeypatch, chunk):
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    import pandas as pd
+
+    grams = pd.concat(list(langid.count_grams(iter([pd.DataFrame({"lang": ["a", "b"], "text": ["the cat sat on the mat", "le chat est la"]})]))))
+    trees = langid.Trees(grams.groupby(["lang", "gram"], as_index=False)["n"].sum())
+    for text in ("", "a", "the chat", "the cat sat on the mat and le chat " * 5):
+        data = langid.padded(text)
+        parts = list(langid.slices(data))
+        whole, sliced = trees.code_lengths([data])[0], trees.code_lengths(parts).sum(0)
+        assert len(parts) == max(1, -(-len(text) // chunk)) and abs(whole - sliced).max() < 1e-3
+
+
 def test_code_length_by_definition():
     import pandas as pd
 
