@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoutflow.functions import preserve
 from scoutflow.plans.candidates import table
-from scoutflow.sources import resilient, search
+from scoutflow.sources import ordered, resilient, search
 from scoutflow.streaming.streams import shared_folder
 
 
@@ -60,7 +60,39 @@ def kept_words(spark, sf_dir):
     return rows.join(words, "id", "left").select("id", "n_names", "first_name", "han", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("last_word", F.lit("")).alias("last_word"))
 
 
+def _web():
+    def get(url: str) -> tuple[int, str, str]:
+        kind, _, key = url.rpartition("/")
+        n = int(key)
+        if n % 5 == 1:
+            raise TimeoutError("no answer")
+        if n % 5 == 2:
+            return 503, url, "busy"
+        if n % 5 == 3 and not kind.endswith("/now"):
+            return 200, url + "?landing", f"<title>Old</title><META content=\"0; URL='/now/{n + 5}'\" http-equiv=refresh><p>old</p>"
+        return 200, url, f"<html><title>{'' if n % 2 else 'T  ' + key}</title><script>x</script><p>Page {key}</p></html>"
+
+    return get
+
+
+def ordered_fetch(spark, sf_dir):
+    """Customers as sources of ten hosts, a third of them on one, some failing, some refreshing: pages and errors with the order of the list."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    host = F.when(k % 3 == 0, F.lit("big")).otherwise(F.concat(F.lit("h"), (k % 9).cast("string")))
+    sources = c.select(k.alias("ord"), F.col("c_name").alias("name"), F.concat(F.lit("http://"), host, F.lit(".example/"), k.cast("string")).alias("url"))
+    got = ordered.collected(sources, _web, lanes=2)
+    pages = ordered.pages_of(got).select("ord", "url", "title", "text", F.lit("").alias("error"))
+    return pages.unionByName(ordered.errors_of(got).select("ord", F.lit("").alias("url"), F.lit("").alias("title"), F.lit("").alias("text"), "error"))
+
+
 QUERIES = {
+    "ordered_fetch": (
+        ordered_fetch,
+        """WITH a AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'big' ELSE 'h' || c_custkey % 9 END AS h, CASE WHEN c_custkey % 5 = 3 THEN c_custkey + 5 ELSE c_custkey END AS n, c_custkey % 5 IN (1, 2) AS bad FROM customer)
+        SELECT k AS ord, CASE WHEN bad THEN '' ELSE 'http://' || h || '.example/' || CASE WHEN n <> k THEN 'now/' ELSE '' END || n END AS url, CASE WHEN bad THEN '' WHEN n % 2 = 1 THEN c_name ELSE 'T ' || n END AS title, CASE WHEN bad THEN '' ELSE 'Page ' || n END AS text,
+          CASE k % 5 WHEN 1 THEN c_name || ': no answer' WHEN 2 THEN c_name || ': HTTP 503 for http://' || h || '.example/' || k ELSE '' END AS error FROM a""",
+    ),
     "damaged_payloads": (
         damaged_payloads,
         """WITH s AS (SELECT s_nationkey AS k, count(DISTINCT s_name) AS n, sum(s_acctbal::DECIMAL(18, 2))::DOUBLE AS b FROM supplier GROUP BY 1)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoutflow.functions import preserve
-from scoutflow.sources import resilient, search
+from scoutflow.sources import ordered, resilient, search
 
 
 @pytest.fixture
@@ -103,3 +103,26 @@ def test_preservation(spark):
     assert got == {1: ([], [], [], True), 2: (["protected token changed"], ["https://a.b/c", "2027-01-02"], [], False), 3: (["currency amount changed"], [], ["70"], False), 4: (["empty"], [], [], False), 5: (["empty"], [], [], False), 6: ([], [], [], False)}
     words = spark.createDataFrame([(1, "A b b c ö", "B x"), (2, None, "a"), (3, "a", None)], "id int, original string, changed string")
     assert sorted(map(tuple, preserve.missing_words(words, "id").collect())) == [(1, "a", 1), (1, "b", 1), (1, "c", 1), (1, "ö", 1), (3, "a", 1)]
+
+
+def test_ordered_fetch_equals_a_sequential_run(spark):
+    web = {
+        "http://a/1": (200, "http://a/1", "<title>A</title>one"), "http://a/2": (404, "http://a/2", ""), "http://a/3": (200, "http://a/in", '<meta HTTP-EQUIV="Refresh" CONTENT="5; url=/4">'), "http://a/4": (200, "http://a/4", '<meta http-equiv=refresh content="0;url=/1">four'),
+        "http://b/1": (200, "", "<p>no title"), "http://b/2": (200, "http://b/2", '<meta name="x" content="url=/1"><meta http-equiv="refresh" content="5">stay'), "http://b/3": (200, "http://b/3", '<meta http-equiv="refresh" content="0; url=/none">'),
+    }
+    sources = [(i, f"s{i}", u) for i, u in enumerate(["http://b/1", "http://a/3", "http://gone/1", "http://a/2", "http://a/1", "http://b/3", "http://b/2", "http://a/1"])]
+
+    def client():
+        return lambda url: web[url]
+
+    want = []
+    for at, name, url in sources:
+        try:
+            want.append((at, *ordered.read_source(web.__getitem__, url), None))
+        except Exception as e:
+            want.append((at, None, None, f"{name}: {e}"))
+    for lanes in (1, 3):
+        got = ordered.collected(spark.createDataFrame(sources, "ord int, name string, url string"), client, lanes)
+        assert [(r["ord"], r["final_url"], r["html"], r["error"]) for r in got.orderBy("ord").collect()] == want
+    assert [(r["ord"], r["title"], r["text"]) for r in ordered.pages_of(got).orderBy("ord").collect()] == [(0, "s0", "no title"), (1, "s1", "four"), (4, "A", "one"), (6, "s6", "stay"), (7, "A", "one")]
+    assert [r["ord"] for r in ordered.errors_of(got).orderBy("ord").collect()] == [2, 3, 5]
