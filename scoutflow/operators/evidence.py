@@ -52,33 +52,3 @@ def evidence_ids(ids: Column) -> Column:
 def money_supported(claim: Column, evidence: Column) -> Column:
     """Whether every amount of a claim stands in its evidence."""
     return F.size(F.array_except(F.array_distinct(money.amounts(claim)), F.array_distinct(money.amounts(evidence)))) == 0
-
-
-def validate(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Warnings for claims ``page_url, field, value, ids`` against snippets ``page_url, id, text``.
-
-    Adds ``evidence_text`` and ``warnings``: ``missing_evidence`` (a known value without an id),
-    ``unknown_evidence`` (an id that names no snippet), ``unsupported_amount`` and ``unsupported_year``.
-    """
-    ids = items.withColumn("ids", evidence_ids(F.coalesce("ids", F.array().cast("array<string>"))))
-    asked = ids.select("page_url", "field", F.explode("ids").alias("id"))
-    got = asked.join(evidence.select("page_url", "id", "text"), ["page_url", "id"], "left")
-    texts = got.groupBy("page_url", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("id", "text")))), lambda s: s["text"]), " ").alias("evidence_text"), F.count_if(F.col("text").isNull()).alias("lost"))
-    rows = ids.join(texts, ["page_url", "field"], "left").withColumn("evidence_text", F.coalesce("evidence_text", F.lit("")))
-    known = ~F.lower(F.trim(F.coalesce("value", F.lit("")))).isin("", "unknown")
-    years = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b20\d{2}\b"), F.lit(0)))
-    warnings = F.array_compact(
-        F.array(
-            F.when(known & (F.size("ids") == 0), "missing_evidence"),
-            F.when(F.coalesce("lost", F.lit(0)) > 0, "unknown_evidence"),
-            F.when(known & (F.col("field") == "fee") & ~money_supported(F.col("value"), F.col("evidence_text")), "unsupported_amount"),
-            F.when(known & F.col("field").isin("start_date", "end_date", "application_deadline") & (F.size(F.array_except(years(F.col("value")), years(F.col("evidence_text")))) > 0), "unsupported_year"),
-        )
-    )
-    return rows.withColumn("warnings", warnings).drop("lost")
-
-
-def confidence(stated: Column, warnings: Column) -> Column:
-    """High with warnings is medium; anything else with warnings is low."""
-    some = F.size(warnings) > 0
-    return F.when(~some, stated).when(stated == "high", "medium").otherwise("low")

@@ -64,3 +64,17 @@ def stated_fee(text: Column) -> Column:
 def fee_of(text: Column) -> Column:
     """A page's fee as it is written; empty without one."""
     return F.coalesce(_first(text, FREE), _first(text, [CONTRIBUTION]), table_fee(text), participant_fee(text), stated_fee(text), F.lit(""))
+
+
+# An amount of funding, and how what is known of money is shown.
+GRANT = r"(?i)(?:EUR|USD|GBP|CHF|CNY|RMB|JPY|INR|KRW|SGD|AUD|CAD)\s?\d[\d,.]*|[€$£]\s?\d[\d,.]*"
+ON_PAGE = "Apply on official page"
+
+
+def financial_summary(available: Column, types: Column, evidence: Column, fee_eur: Column, apply: bool = True) -> Column:
+    """What a reader is told of funding or fee: kinds and amount where there is funding, else the fee in EUR, else that neither is stated. ``apply`` adds where to apply."""
+    kinds = F.coalesce(F.nullif(F.array_join(types, ", "), F.lit("")), F.lit("Funding available"))
+    amount = F.coalesce(F.nullif(tx.clean_space(F.regexp_extract(F.coalesce(evidence, F.lit("")), GRANT, 0)), F.lit("")), F.lit("amount not stated"))
+    end = F.lit(f" · {ON_PAGE}" if apply else "")
+    fee = F.concat(F.lit("Fee about EUR "), F.bround(fee_eur, 0).cast("long").cast("string"), end)
+    return F.when(F.coalesce(available, F.lit(False)), F.concat(kinds, F.lit(" · "), amount, end)).when(fee_eur.isNotNull(), fee).otherwise("Funding or fee not stated")

@@ -149,6 +149,21 @@ def public_candidate(past: Column, online: Column, title: Column, days: Column)
     return ~past & ~online & ~F.lower(F.trim(title)).isin(GENERIC_TITLES) & ~F.coalesce(days < MIN_DAYS, F.lit(False))
 
 
+# How each tier is shown, and what a page of a training provider's catalogue says of a course.
+TIER_LABELS = {"qualified": "Fully qualified", "high": "High quality"}
+PROVIDER, COURSE_PAGE, COURSE_KIND, COURSE_SIGNS = "research_training_provider", "course overview", r"(?i)\b(?:advanced|practical|intensive)\s+course\b", ["apply", "application", "registration"]
+
+
+def tier_label(tier_name: Column) -> Column:
+    return F.coalesce(*[F.when(tier_name == name, label) for name, label in TIER_LABELS.items()], F.lit("Listed"))
+
+
+def provider_course(text: Column, source_type: Column) -> Column:
+    """Whether a page of a configured training provider is that of a course; pages of other sources never are."""
+    named = tx.any_term(text, [COURSE_PAGE]) | F.coalesce(text.rlike(COURSE_KIND), F.lit(False)) & tx.any_term(text, COURSE_SIGNS)
+    return F.coalesce(source_type == PROVIDER, F.lit(False)) & named
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first in order: an aggregation, so no key's rows meet in one task before they are reduced."""
     whole = F.struct(*[F.col(c) for c in df.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoutflow.operators import catalogues, replies, validation
+from scoutflow.operators import catalogues, fees, filters, replies, validation
 from scoutflow.plans.candidates import LATER, table
 from scoutflow.plans.pagefacts import SHIFT
 
@@ -58,7 +58,26 @@ def recorded_replies(spark, sf_dir):
     return judged.select("page_url", value("title").alias("title"), value("application_deadline").alias("deadline"), value("fee").alias("fee"), F.array_join(F.concat("before", "warnings"), ", ").alias("warnings"), "confidence")
 
 
+def listing_labels(spark, sf_dir):
+    """Orders as candidates: what is told of money, how the tier is shown, and which pages are a provider's courses."""
+    o = table(spark, sf_dir, "orders")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    types = F.when(k % 4 == 0, F.array(F.lit("stipend"), F.lit("travel grant"))).otherwise(F.array().cast("array<string>"))
+    evidence = F.when(k % 2 == 0, F.concat(F.lit("A grant of EUR "), price.cast("int").cast("string"), F.lit(" is paid"))).otherwise("Support may be given")
+    tier = F.when(F.col("o_orderpriority") < "2", "qualified").when(F.col("o_orderpriority") < "3", "high").otherwise("found")
+    page = F.concat(F.lit("An intensive  Course of "), "o_orderpriority", F.when(k % 2 == 0, " with registration").otherwise(""), F.when(k % 7 == 0, ". Course overview").otherwise(""))
+    source = F.when(F.col("o_orderstatus") == "O", "research_training_provider").when(F.col("o_orderstatus") == "F", "university")
+    money = fees.financial_summary(k % 3 == 0, types, evidence, F.when(k % 5 != 0, price))
+    return o.select(k, money.alias("money"), filters.tier_label(tier).alias("label"), filters.provider_course(page, source).alias("course"))
+
+
 QUERIES = {
+    "listing_labels": (
+        listing_labels,
+        """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'stipend, travel grant' ELSE 'Funding available' END || ' · ' || CASE WHEN o_orderkey % 2 = 0 THEN 'EUR ' || trunc(o_totalprice)::BIGINT ELSE 'amount not stated' END || ' · Apply on official page'
+          WHEN o_orderkey % 5 <> 0 THEN 'Fee about EUR ' || round_even(o_totalprice, 0)::BIGINT || ' · Apply on official page' ELSE 'Funding or fee not stated' END AS money,
+          CASE left(o_orderpriority, 1) WHEN '1' THEN 'Fully qualified' WHEN '2' THEN 'High quality' ELSE 'Listed' END AS label, o_orderstatus = 'O' AND (o_orderkey % 2 = 0 OR o_orderkey % 7 = 0) AS course FROM orders""",
+    ),
     "catalogue_events": (
         catalogue_events,
         f"""WITH a AS (SELECT o_orderkey AS k, o_orderdate::DATE + {SHIFT} AS s, * FROM orders), b AS (SELECT *, s - 30 AS d, NOT (strftime(s - 30, '%m-%d') = '02-29' AND year(s - 30) <> year(s)) AS dated FROM a WHERE s + 5 >= DATE '{LATER}')

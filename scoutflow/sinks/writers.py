@@ -67,6 +67,16 @@ def evaluation_csv(rows: DataFrame, columns: list[str], path: str) -> None:
     rows.select(*[F.col(c) if c in rows.columns else F.lit("").alias(c) for c in columns]).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_sidecar(items: DataFrame, path: str, about: dict[str, str]) -> None:
+    """Extraction items and what they were made with: ``items`` as JSON lines, ``about`` (provider, model, version of the schema) as one object beside them; a second run replaces both.
+
+    A VARIANT is written as the JSON it holds. ``resilient.read_lines`` reads the items back whatever has become of single lines.
+    """
+    items.write.mode("overwrite").json(f"{path}/items")
+    head = items.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in about.items()])
+    head.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
 def calendar_event(title: Column, deadline: Column, url: Column) -> Column:
     """One all-day calendar entry for a deadline, as ICS text."""
     day = lambda d: F.date_format(d, "yyyyMMdd")

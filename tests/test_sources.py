@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoutflow.functions import preserve
+from scoutflow.sinks import writers
 from scoutflow.sources import ordered, resilient, search
 
 
@@ -126,3 +127,12 @@ def test_ordered_fetch_equals_a_sequential_run(spark):
         assert [(r["ord"], r["final_url"], r["html"], r["error"]) for r in got.orderBy("ord").collect()] == want
     assert [(r["ord"], r["title"], r["text"]) for r in ordered.pages_of(got).orderBy("ord").collect()] == [(0, "s0", "no title"), (1, "s1", "four"), (4, "A", "one"), (6, "s6", "stay"), (7, "A", "one")]
     assert [r["ord"] for r in ordered.errors_of(got).orderBy("ord").collect()] == [2, 3, 5]
+
+
+def test_sidecar_round_trip(spark, tmp_path):
+    items = spark.createDataFrame([("u", '{"title": "T", "n": [1]}'), ("v", "no")], "page_url string, j string").select("page_url", F.try_parse_json("j").alias("extraction"))
+    for _ in range(2):
+        writers.write_sidecar(items, str(tmp_path / "s"), {"model": "m", "schema_version": "2"})
+    good, bad = resilient.read_lines(spark, str(tmp_path / "s" / "items"), "page_url string, extraction struct<title:string,n:array<int>>")
+    assert sorted((r["page_url"], r["extraction"] and r["extraction"]["title"]) for r in good.collect()) == [("u", "T"), ("v", None)] and bad.count() == 0
+    assert spark.read.json(str(tmp_path / "s" / "about")).collect() == [("m", "2")]
