@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoutflow.functions.text import let
+
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 MONTH_WORD = rf"(?i:{MONTHS})[a-z]*\.?"
 
 
 def parse_date(text: Column) -> Column:
     """A date from ISO, ``12 March 2026``, ``March 12, 2026`` or numeric text (day first, unless that cannot be). Otherwise null."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"(?i)\bof\b|,", " "))
-    t = F.regexp_replace(t, r"\s+", " ")
-    iso = F.regexp_extract(t, r"^(\d{4}-\d{1,2}-\d{1,2})(?:[T ].*)?$", 1)
-    d_m = F.concat_ws(" ", F.regexp_extract(t, rf"^(\d{{1,2}}) ({MONTH_WORD}) (\d{{4}})$", 1), F.initcap(F.substring(F.regexp_extract(t, rf"^\d{{1,2}} ({MONTH_WORD}) \d{{4}}$", 1), 1, 3)), F.regexp_extract(t, r"(\d{4})$", 1))
-    m_d = F.concat_ws(" ", F.regexp_extract(t, rf"^{MONTH_WORD} (\d{{1,2}}) \d{{4}}$", 1), F.initcap(F.substring(F.regexp_extract(t, rf"^({MONTH_WORD}) \d{{1,2}} \d{{4}}$", 1), 1, 3)), F.regexp_extract(t, r"(\d{4})$", 1))
-    numbers = F.regexp_extract(t, r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$", 0)
-    a, b, y = (F.regexp_extract(numbers, r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$", i) for i in (1, 2, 3))
-    day_first = F.try_to_date(F.concat_ws("-", y, F.lpad(b, 2, "0"), F.lpad(a, 2, "0")), "yyyy-MM-dd")
-    month_first = F.try_to_date(F.concat_ws("-", y, F.lpad(a, 2, "0"), F.lpad(b, 2, "0")), "yyyy-MM-dd")
-    return F.coalesce(F.try_to_date(iso, "yyyy-M-d"), F.try_to_date(d_m, "d MMM yyyy"), F.try_to_date(m_d, "d MMM yyyy"), F.when(numbers != "", F.coalesce(day_first, month_first)))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)(\d)(st|nd|rd|th)\b", "$1"), r"(?i)\bof\b|,", " "))
+    part = lambda t, pattern, i: F.regexp_extract(t, pattern, i)
+    # Each form is tried only where it stands: a failed parse costs as much as many matches.
+    iso, day_month, month_day = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[T ].*)?$", rf"^(\d{{1,2}}) ({MONTH_WORD}) (\d{{4}})$", rf"^({MONTH_WORD}) (\d{{1,2}}) (\d{{4}})$"
+    numbers = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$"
+    named = lambda t, p, d, m: F.try_to_date(F.concat_ws(" ", part(t, p, d), F.initcap(F.substring(part(t, p, m), 1, 3)), part(t, p, 3)), "d MMM yyyy")
+    numeric = lambda t, d, m: F.try_to_date(F.concat_ws("-", part(t, numbers, 3), F.lpad(part(t, numbers, m), 2, "0"), F.lpad(part(t, numbers, d), 2, "0")), "yyyy-MM-dd")
+
+    def read(t: Column) -> Column:
+        return (
+            F.when(t.rlike(iso), F.try_to_date(part(t, iso, 1), "yyyy-M-d")).when(t.rlike(day_month), named(t, day_month, 1, 2)).when(t.rlike(month_day), named(t, month_day, 2, 1))
+            .when(t.rlike(numbers), F.coalesce(numeric(t, 1, 2), numeric(t, 2, 1)))
+        )
+
+    return let(F.regexp_replace(bare, r"\s+", " "), read)
 
 
 def duration_days(start: Column, end: Column) -> Column:
@@ -30,9 +37,9 @@ def duration_days(start: Column, end: Column) -> Column:
 
 def inferred_year(day: Column, event_start: Column) -> Column:
     """A date put in the event's year; a year earlier where it would follow the start. 29 February without a leap year: null."""
-    same = F.try_to_date(F.concat_ws("-", F.year(event_start).cast("string"), F.date_format(day, "MM-dd")), "yyyy-MM-dd")
-    before = F.try_to_date(F.concat_ws("-", (F.year(event_start) - 1).cast("string"), F.date_format(day, "MM-dd")), "yyyy-MM-dd")
-    return F.when(same > event_start, before).otherwise(same)
+    in_year = lambda d, back: F.try_to_date(F.concat_ws("-", (F.year(event_start) - back).cast("string"), F.date_format(d, "MM-dd")), "yyyy-MM-dd")
+    either = lambda d: let(in_year(d, 0), lambda same: F.when(same > event_start, in_year(d, 1)).otherwise(same))
+    return let(day, lambda d: F.when(d.isNotNull() & event_start.isNotNull(), either(d)))
 
 
 def date_span_label(start: Column, end: Column) -> Column:
