@@ -114,9 +114,13 @@ def page_candidates(
     deadline = pick(of("deadline"), (F.col("chosen.day"), prose))
     stated = F.when(F.col("g.deadline").isNotNull(), F.coalesce(F.col("g.deadline_evidence.value"), F.lit(""))).otherwise(deadline_evidence(F.col("due"), F.col("chosen")))
     named = F.nullif(tx.clean_title(F.coalesce(F.col("event.name"), F.lit(""))), F.lit(""))
-    title = pick(of("title"), (F.nullif(places.page_title(F.col("p.heads"), F.col("p.shared_title"), F.col("p.title")), F.lit("")), prose), (named, jsonld))
-    clean = lambda v: F.nullif(validation.clean_place(v), F.lit(""))
-    location = pick((clean(F.col("g.location.value")), F.col("g.location.origin")), (clean(F.col("event.location")), jsonld), (places.page_place(F.col("p.pieces"), F.col("p.heads"), text, F.col("region")), prose))
+    rows = staged(
+        rows, own_title=places.page_title(F.col("p.heads"), F.col("p.shared_title"), F.col("p.title")), event_title=named, given_place=validation.clean_place(F.col("g.location.value")),
+        event_place=validation.clean_place(F.col("event.location")), own_place=places.page_place(F.col("p.pieces"), F.col("p.heads"), text, F.col("region")),
+    )
+    some_text = lambda c: F.nullif(F.col(c), F.lit(""))
+    title = pick(of("title"), (some_text("own_title"), prose), (F.col("event_title"), jsonld))
+    location = pick((some_text("given_place"), F.col("g.location.origin")), (some_text("event_place"), jsonld), (F.col("own_place"), prose))
     fee = pick(of("fee"), (F.nullif(F.col("fee_text"), F.lit("")), prose))
     rows = staged(rows, deadline=deadline, deadline_evidence=stated, title=title, place=location, fee=fee, f=funding(text, F.col("g.funding_type.value")), said_mode=extract.mode_of(text))
     structured_dates = F.col("g.start").isNotNull() | F.col("event.start").isNotNull() | F.col("s").isNotNull()

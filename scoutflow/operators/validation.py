@@ -227,12 +227,15 @@ def distinct_parts(value: Column) -> Column:
 def clean_place(value: Column) -> Column:
     """A place without what follows it in a block, without marks around it, and with its parts once; empty for fragments, field names and event codes. Virtual ones are ``Online``."""
     cut = F.regexp_replace(F.trim(F.regexp_replace(tx.clean_space(value), PLACE_ENDS, "")), "[ ,;&]+$", "")
-    bare = F.trim(F.regexp_replace(cut, "^[ :;,.–—-]+|[ :;,.–—-]+$", ""))
-    low = F.lower(bare)
-    junk = cut.rlike(r"[\[\]{}|]") | low.isin("", *PLACE_NAMES) | F.split_part(low, F.lit(" "), F.lit(1)).isin(NO_PLACE_START)
-    online = F.contains(low, F.lit("virtual")) | F.contains(low, F.lit("online"))
-    code = ~F.contains(bare, F.lit(" ")) & bare.rlike(r"\d")
-    return F.when(junk, "").when(online, "Online").when(tx.any_term(low, NO_PLACE_WORDS) | code, "").otherwise(distinct_parts(bare))
+
+    def judged(cut: Column, bare: Column, low: Column) -> Column:
+        junk = cut.rlike(r"[\[\]{}|]") | low.isin("", *PLACE_NAMES) | F.split_part(low, F.lit(" "), F.lit(1)).isin(NO_PLACE_START)
+        online = F.contains(low, F.lit("virtual")) | F.contains(low, F.lit("online"))
+        code = ~F.contains(bare, F.lit(" ")) & bare.rlike(r"\d")
+        return F.when(junk, "").when(online, "Online").when(tx.any_term(low, NO_PLACE_WORDS) | code, "").otherwise(distinct_parts(bare))
+
+    trimmed = lambda c: F.trim(F.regexp_replace(c, "^[ :;,.–—-]+|[ :;,.–—-]+$", ""))
+    return let(cut, lambda c: let(trimmed(c), lambda bare: let(F.lower(bare), lambda low: judged(c, bare, low))))
 
 
 def place_of(text: Column, region: Column) -> Column:
