@@ -76,8 +76,10 @@ def with_follow_ups(base: DataFrame, follow_ups: DataFrame, edges: DataFrame, pe
     parents = edges.select("parent", norm("parent").alias("__key")).distinct()
     own = base.select(*MEMBERS, norm("page_url").alias("__key")).join(parents, "__key").withColumn("__kind", F.lit(0)).drop("__key")
     links = edges.select("parent", norm("url").alias("__key")).distinct()
-    found = follow_ups.select(*MEMBERS, norm("page_url").alias("__key")).join(links, "__key").drop("__key")
     order = [F.desc("score"), F.col("page_url"), F.col("chunk_index")]
+    # What is not among a page's best is not among those of a parent either, so no more of a page than that meets the parents.
+    best = top_per_group(follow_ups.select(*MEMBERS, norm("page_url").alias("__key")), ["__key"], order, per_parent).drop("rank")
+    found = best.join(links, "__key").drop("__key")
     both = own.unionByName(top_per_group(found, ["parent"], order, per_parent).drop("rank").withColumn("__kind", F.lit(1)))
     by = W.partitionBy("parent").orderBy("__kind", *order)
     lead = lambda c: F.first(c).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
