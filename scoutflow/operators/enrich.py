@@ -52,11 +52,11 @@ def apply_overrides(candidates: DataFrame, overrides: DataFrame, key: str = "sou
 
 
 def best_items(items: DataFrame) -> DataFrame:
-    """Each page's best model item: by confidence, then fewer warnings, then score; of equals the first."""
+    """Each page's best model item: by confidence, then fewer warnings, then score; of equals the first by ``ord``, which may be a struct."""
     rank = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1)
-    whole = F.struct(*[F.col(c) for c in items.columns])
-    worth = F.struct(rank.alias("a"), (-F.size("warnings")).alias("b"), F.col("score").alias("c"), (-F.col("ord")).alias("d"))
-    return items.groupBy(urls.canonical_url(F.col("page_url")).alias("__key")).agg(F.max_by(whole, worth).alias("__item"))
+    order = [F.desc("__worth"), F.asc_nulls_last("__warned"), F.desc("score"), F.asc_nulls_last("ord")]
+    keyed = items.select(urls.canonical_url(F.col("page_url")).alias("__key"), F.struct(*items.columns).alias("__item"), rank.alias("__worth"), F.size("warnings").alias("__warned"), "score", "ord")
+    return top_per_group(keyed, ["__key"], order, 1).select("__key", "__item")
 
 
 def enrich_unresolved(candidates: DataFrame, items: DataFrame, as_of: Column) -> DataFrame:

@@ -74,12 +74,12 @@ def missed_items(spark, sf_dir):
     url = lambda x: F.concat(F.lit("http://o/"), x.cast("string"))
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")  # noqa: E741
     line, none = F.col("l_linenumber"), F.array().cast("array<string>")
-    items = l.select(url(F.col("l_orderkey")).alias("page_url"), (F.col("l_orderkey") * 10000000 + line * 1000000 + F.col("l_partkey")).alias("ord"), F.when(line == 2, "high").when(line == 1, "medium").otherwise("low").alias("confidence"), F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("event_past"))).when(F.col("l_partkey") % 3 == 1, F.array(F.lit("x"))).otherwise(none).alias("warnings"), F.col("l_quantity").cast("double").alias("score"))
+    items = l.select(url(F.col("l_orderkey")).alias("page_url"), F.struct(line, "l_partkey").alias("ord"), (F.col("l_orderkey") * 10000000 + line * 1000000 + F.col("l_partkey")).alias("id"), F.when(line == 2, "high").when(line == 1, "medium").otherwise("low").alias("confidence"), F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit("event_past"))).when(F.col("l_partkey") % 3 == 1, F.array(F.lit("x"))).otherwise(none).alias("warnings"), F.col("l_quantity").cast("double").alias("score"))
     k = F.col("o_orderkey")
     known = o.filter(k % 3 != 2).select(F.when(k % 3 == 0, url(k)).otherwise("").alias("source_url"), F.when(k % 3 == 1, url(k)).otherwise("").alias("application_link"))
-    gap = F.struct(F.lit("unknown").alias("application_deadline"), F.lit("1").alias("start_date"), F.lit("2").alias("end_date"), F.lit(" ").alias("fee"), F.when(F.col("ord") % 2 == 0, "Lund").alias("location"))
+    gap = F.struct(F.lit("unknown").alias("application_deadline"), F.lit("1").alias("start_date"), F.lit("2").alias("end_date"), F.lit(" ").alias("fee"), F.when(F.col("id") % 2 == 0, "Lund").alias("location"))
     missing = enrich.missing_fields(gap)
-    return enrich.unmatched_items(items, known).select("page_url", "ord", enrich.wants_follow_up(F.col("warnings"), F.lit("T"), F.when(F.col("ord") % 5 == 0, "closed"), missing).alias("follow"), F.array_join(enrich.refinement_queries(F.lit(" A  b "), F.lit("o.org"), missing), "; ").alias("queries"))
+    return enrich.unmatched_items(items, known).select("page_url", F.col("id").alias("ord"), enrich.wants_follow_up(F.col("warnings"), F.lit("T"), F.when(F.col("id") % 5 == 0, "closed"), missing).alias("follow"), F.array_join(enrich.refinement_queries(F.lit(" A  b "), F.lit("o.org"), missing), "; ").alias("queries"))
 
 
 def model_replies(spark, sf_dir):

@@ -38,3 +38,12 @@ def test_years_of_addresses_do_not_date_a_result(spark, tmp_path):
     rows = [(6, "http://blog.a.org/fr/2075#x"), (7, "http://a.org/phd-position/2001"), (8, "http://a.org/2015/"), (9, "http://www.b.example.net/2030")]
     got, want = compared(spark, tmp_path, "discovery_reasons", pages=(rows, "page_id long, url string"))
     assert got == want
+
+
+def test_lines_before_parts_whatever_the_part(spark, tmp_path):
+    day = datetime.datetime(1997, 1, 1)
+    lines = [(2, 2_500_000, 3, 5.0), (2, 4, 4, 5.0), (5, 1_000_007, 3, 5.0), (5, 8, 4, 5.0)]
+    got, want = compared(
+        spark, tmp_path, "missed_items", lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"), orders=([(2, day), (5, day)], "o_orderkey long, o_orderdate timestamp")
+    )
+    assert got == want and len(got) == 2
