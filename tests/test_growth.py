@@ -6,7 +6,7 @@ import datetime
 
 import duckdb
 
-from scoutflow.operators import modelruns
+from scoutflow.operators import modelruns, resolve
 from scoutflow.plans import registry
 
 
@@ -47,3 +47,17 @@ def test_lines_before_parts_whatever_the_part(spark, tmp_path):
         spark, tmp_path, "missed_items", lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"), orders=([(2, day), (5, day)], "o_orderkey long, o_orderdate timestamp")
     )
     assert got == want and len(got) == 2
+
+
+def test_places_meet_by_equality_and_lose_no_pair(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    places = ["", "europe", "lund", "lund, sweden", "south lund", "oslo", "o", "sweden", "lund"]
+    rows = spark.createDataFrame([(i, f"Summer school {'ab'[i % 2]}", p, datetime.date(2026, 8, 1)) for i, p in enumerate(places)], "rid long, title string, location string, start_date date")
+    records = resolve.records_of(rows)
+    known = [p for p in set(places) if p not in ("", "europe")]
+    related = resolve.related_places(records)
+    assert sorted(map(tuple, related.collect())) == sorted((x, y) for x in known for y in known if x in y or y in x)
+    own = resolve.own_facts(records)
+    got = {(r["a"], r["b"]) for r in resolve.possible_matches(records, related, own, own).collect()}
+    fit = lambda x, y: {x, y} & {"", "europe"} or x in y or y in x
+    assert got == {(a, b) for a, x in enumerate(places) for b, y in enumerate(places) if a != b and fit(x, y)}
