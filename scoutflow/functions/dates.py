@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,44 @@ def parse_date(text: Column) -> Column:
     return let(F.regexp_replace(bare, r"\s+", " "), read)
 
 
+_NUMBER_OF = {m: i for i, m in enumerate(MONTHS.lower().split("|"), 1)}
+_ORDINAL, _FILLER, _SPACE = (re.compile(p, re.I | re.A) for p in (r"(\d)(?:st|nd|rd|th)\b", r"\bof\b|,", r"\s+"))
+_FORMS = [
+    (re.compile(p, re.A), groups)
+    for p, groups in [
+        (r"(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ][^\n]*)?", [(1, 2, 3)]), (rf"(\d{{1,2}}) ({MONTH_WORD}) (\d{{4}})", [(3, 2, 1)]), (rf"({MONTH_WORD}) (\d{{1,2}}) (\d{{4}})", [(3, 1, 2)]),
+        (r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})", [(3, 2, 1), (3, 1, 2)]),
+    ]
+]
+
+
+def date_of(text: str) -> date | None:
+    """What ``parse_date`` reads, for functions that work on Arrow batches."""
+    bare = _SPACE.sub(" ", _FILLER.sub(" ", _ORDINAL.sub(r"\1", text)).strip(" "))
+    for form, tries in _FORMS:
+        if m := form.fullmatch(bare):
+            for year, month, day in tries:
+                number = m[month]
+                try:
+                    return date(int(m[year]), int(number) if number.isdigit() else _NUMBER_OF[number[:3].lower()], int(m[day]))
+                except ValueError:
+                    continue
+            return None
+    return None
+
+
+def in_year_of(day: date, event_start: date) -> date | None:
+    """What ``inferred_year`` gives, for functions that work on Arrow batches."""
+    for year in (event_start.year, event_start.year - 1):
+        try:
+            same = day.replace(year=year)
+        except ValueError:
+            return None
+        if same <= event_start:
+            return same
+    return same
+
+
 def duration_days(start: Column, end: Column) -> Column:
     """Days from start to end with both counted; null if either is."""
     return F.datediff(end, start) + 1

@@ -19,30 +19,43 @@ def outside(starts: list[int], spans: list[tuple[int, int]]) -> list[bool]:
     return [(at := bisect_right(begins, s)) == 0 or spans[at - 1][1] < s for s in starts]
 
 
+def compiled(patterns: Sequence[tuple[str, str]]) -> list[tuple[str, re.Pattern]]:
+    return [(kind, re.compile(p, re.I)) for kind, p in patterns]
+
+
+def compiled_lower(patterns: Sequence[tuple[str, str]]) -> list[tuple[str, re.Pattern]]:
+    """For ASCII texts in lower case, on which they find the same places several times sooner. Patterns must hold no escapes in upper case."""
+    return [(kind, re.compile(p.lower())) for kind, p in patterns]
+
+
+def matches_of(text: str, named: list[tuple[str, re.Pattern]], unless: dict[str, str] | None = None) -> list[tuple[str, re.Match]]:
+    """What ``found`` gives, one text's matches with their names."""
+    by_kind = [(kind, list(p.finditer(text))) for kind, p in named]
+    rows = []
+    for kind, matches in by_kind:
+        if matches and unless and kind in unless:
+            held = sorted((m.start(), m.end()) for other, ms in by_kind if other == unless[kind] for m in ms)
+            matches = [m for m, free in zip(matches, outside([m.start() for m in matches], held)) if free]
+        rows += [(kind, m) for m in matches]
+    return rows
+
+
 def found(text: Column, patterns: Sequence[tuple[str, str]], before: int = 0, after: int = 0, unless: dict[str, str] | None = None) -> Column:
     """All matches of named patterns, ignoring case: by pattern, then by place.
 
     ``value`` is the last group (without groups the match), ``context`` the match with ``before`` and ``after`` characters around it. With ``unless``,
     matches of one name are left out where they begin inside a match of another. A null text has none.
     """
-    named = [(kind, re.compile(p, re.I)) for kind, p in patterns]
+    named = compiled(patterns)
 
     @F.pandas_udf(SPAN)
     def spans(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            t = t or ""
-            by_kind = [(kind, list(p.finditer(t))) for kind, p in named]
-            rows = []
-            for kind, matches in by_kind:
-                if matches and unless and kind in unless:
-                    held = sorted((m.start(), m.end()) for other, ms in by_kind if other == unless[kind] for m in ms)
-                    matches = [m for m, free in zip(matches, outside([m.start() for m in matches], held)) if free]
-                rows += [
-                    {"kind": kind, "start": m.start(), "end": m.end(), "match": " ".join(m[0].split()), "value": m[m.lastindex or 0], "context": t[max(0, m.start() - before) : m.end() + after]}
-                    for m in matches
-                ]
-            out.append(rows)
-        return pd.Series(out)
+        return pd.Series([
+            [
+                {"kind": kind, "start": m.start(), "end": m.end(), "match": " ".join(m[0].split()), "value": m[m.lastindex or 0], "context": t[max(0, m.start() - before) : m.end() + after]}
+                for kind, m in matches_of(t or "", named, unless)
+            ]
+            for t in texts
+        ])
 
     return spans(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +28,13 @@ YEARLESS = [
     ("open until", rf"(?:registration|applications?)\s+(?:opens?\s+)?until\s+({NO_YEAR})\b{NOT_DATED}"),
     ("payment", rf"(?:must be paid|payment[^.\n]{{0,20}}(?:due|before))[^.\n]{{0,30}}(?:before|by)?\s*({NO_YEAR})\b{NOT_DATED}"),
 ]
+# Matches of one name that begin inside those of another do not count.
+SHADOWED = {"date after": "date first"}
+# How each pattern begins: places that fail this need no look at its alternatives.
+_NAMED = "(?=[adrscl])"
+STARTS = {"dated": _NAMED, "date first": r"(?=[jfmasond\d])", "date after": _NAMED, "open range": r"(?=[jfmasond\d])", "open until": "(?=[ra])", "payment": "(?=[mp])"}
 OTHERS_SHOWN = 3
+DEADLINES = "array<struct<day:date,category:int,evidence:string>>"
 
 
 def deadlines(text: Column, event_start: Column | None = None) -> Column:
@@ -36,26 +45,33 @@ def deadlines(text: Column, event_start: Column | None = None) -> Column:
     2 for others.
     """
     patterns = DATED + (YEARLESS if event_start is not None else [])
-    found = spans.found(text, patterns, unless={"date after": "date first"})
-
-    def one(m: Column) -> Column:
-        day = dates.parse_date(m["value"])
-        if event_start is not None:
-            of_event = dates.parse_date(F.concat(m["value"], F.lit(" "), F.year(event_start).cast("string")))
-            day = F.when(m["kind"] == "dated", day).otherwise(dates.inferred_year(of_event, event_start))
-        return F.struct(day.alias("day"), category(m["match"]).alias("category"), m["match"].alias("evidence"))
-
-    def once(rows: Column) -> Column:
-        days = F.transform(rows, lambda r: r["day"])
-        return F.array_sort(F.filter(rows, lambda r, i: F.array_position(days, r["day"]) == i + 1))
-
-    return tx.let(F.filter(F.transform(found, one), lambda d: d["day"].isNotNull()), once)
-
-
-def category(evidence: Column) -> Column:
-    low = F.lower(evidence)
-    has = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in words])
-    return F.when(has("application", "apply"), 0).when(has("registration", "register"), 1).otherwise(2)
+    named, lower = spans.compiled(patterns), spans.compiled_lower([(kind, STARTS[kind] + p) for kind, p in patterns])
+
+    def read(t: str | None, start: date | None) -> list[dict]:
+        first: dict[date, dict] = {}
+        t = t or ""
+        for kind, m in spans.matches_of(t.lower(), lower, SHADOWED) if t.isascii() else spans.matches_of(t, named, SHADOWED):
+            value = t[slice(*m.span(m.lastindex or 0))]
+            if kind == "dated":
+                day = dates.date_of(value)
+            else:
+                day = dates.date_of(f"{value} {start.year}") if start is not None else None
+                day = dates.in_year_of(day, start) if day else None
+            if day:
+                evidence = " ".join(t[m.start() : m.end()].split())
+                first.setdefault(day, {"day": day, "category": category_of(evidence), "evidence": evidence})
+        return [first[day] for day in sorted(first)]
+
+    @F.pandas_udf(DEADLINES)
+    def all_of(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([read(t, None if s is None or s is pd.NaT else s) for t, s in zip(texts, starts)])
+
+    return all_of(text, F.lit(None).cast("date") if event_start is None else event_start.cast("date"))
+
+
+def category_of(evidence: str) -> int:
+    low = evidence.lower()
+    return 0 if "application" in low or "apply" in low else 1 if "registration" in low or "register" in low else 2
 
 
 def chosen_deadline(found: Column) -> Column:

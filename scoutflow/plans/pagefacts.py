@@ -22,6 +22,11 @@ def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("o_clerk", F.concat(F.lit("Clerk#"), F.col("o_custkey").cast("string")))
 
 
+def _spread(spark, sf_dir):
+    """Orders dealt to all cores while they are narrow: a file has few row groups, and reading a page takes long."""
+    return _orders(spark, sf_dir).repartition("o_orderkey")
+
+
 def structured_events(spark, sf_dir):
     """Orders with their lines as JSON-LD events, alone, in a graph, in lists of lists, as one of a list's types; lines are sub-events. Broken scripts and other nodes stand beside them."""
     l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").cast("int").alias("q")))).alias("lines"))  # noqa: E741
@@ -62,7 +67,7 @@ def page_deadlines(spark, sf_dir):
         F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("Fees must be paid before "), _short(d(10)), F.lit(". "))).otherwise(""),
         F.when(F.col("o_orderpriority") < "3", F.concat(F.lit("Application deadline: "), _short(d(60)), F.lit(". "))).otherwise(""),
     )
-    rows = _orders(spark, sf_dir).select("o_orderkey", start.alias("start"), text.alias("text"))
+    rows = _spread(spark, sf_dir).select("o_orderkey", start.alias("start"), text.alias("text"))
     rows = rows.select("o_orderkey", deadlines.deadlines(F.col("text"), F.col("start")).alias("due"))
     chosen = deadlines.chosen_deadline(F.col("due"))
     return rows.select(
@@ -115,7 +120,7 @@ def whole_page_records(spark, sf_dir):
         runs, money, F.lit("</p><dl><dt>Location:</dt><dd>"), town, F.lit("</dd><dt>Language</dt><dd>English</dd></dl><p>For PhD students of AI in many fields.</p></body></html>"),
     )
     url = F.concat(F.when(k % 7 == 0, "http://www.special.example/").otherwise("http://o.example/"), k.cast("string"))
-    pages = _orders(spark, sf_dir).select(k.alias("page_id"), url.alias("url"), html.alias("html"), F.lit("Europe").alias("region"))
+    pages = _spread(spark, sf_dir).select(k.alias("page_id"), url.alias("url"), html.alias("html"), F.lit("Europe").alias("region"))
     special = lambda p: {"title": F.concat(F.lit("Special school "), F.split_part(F.get(p["headings"], F.lit(0)), F.lit("#"), F.lit(2))), "deadline": F.lit("2030-01-01")}
     got = pagerecords.page_candidates(pages, ["AI", "graph"], {"EUR": 1.0}, F.lit(LATER).cast("date"), adapters={"special.example": special})
     origin = F.array_join(F.array_sort(F.transform(F.map_entries("origins"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
-from scoutflow.operators import modelruns, resolve
+from scoutflow.functions import dates, spans
+from scoutflow.operators import deadlines, modelruns, resolve
 from scoutflow.plans import registry
 
 
@@ -61,3 +63,18 @@ def test_places_meet_by_equality_and_lose_no_pair(spark, tmp_path):
     got = {(r["a"], r["b"]) for r in resolve.possible_matches(records, related, own, own).collect()}
     fit = lambda x, y: {x, y} & {"", "europe"} or x in y or y in x
     assert got == {(a, b) for a, x in enumerate(places) for b, y in enumerate(places) if a != b and fit(x, y)}
+
+
+def test_dates_in_batches_are_those_of_expressions(spark):
+    texts = ["2030-1-2", "2030-02-30", "12th of March, 2026", "Sept. 3, 2031", "March 12 2026 x", "31.04.2030", "04/31/2030", "13-13-2030", "1 Foo 2030", "", " 5  May  2030 ", "2030-01-02T10:00", "29 Feb 2031"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", dates.parse_date(F.col("t")).alias("day")).collect()
+    assert {r["t"]: r["day"] for r in rows} == {t: dates.date_of(t) for t in texts}
+
+
+def test_lower_case_finds_the_same_deadlines():
+    patterns = deadlines.DATED + deadlines.YEARLESS
+    slow, quick = spans.compiled(patterns), spans.compiled_lower([(kind, deadlines.STARTS[kind] + p) for kind, p in patterns])
+    text = "JUNE 3: Application Deadline, June 13 note. Abstract deadline is 4 May 2036. Registration until 23 Jun. April 14 - May 24: Registration open. Fees Must be paid before July 3. Register by mail no later than on 5 May."
+    places = lambda matches: [(kind, m.span(), m.span(m.lastindex or 0)) for kind, m in matches]
+    got = places(spans.matches_of(text.lower(), quick, deadlines.SHADOWED))
+    assert got == places(spans.matches_of(text, slow, deadlines.SHADOWED)) and {kind for kind, *_ in got} == set(deadlines.STARTS)
