@@ -33,15 +33,17 @@ def structured_events(spark, sf_dir):
     o = _orders(spark, sf_dir).join(l, F.col("o_orderkey") == F.col("l_orderkey"))
     iso = lambda d: F.date_format(d, "yyyy-MM-dd")
     sub = F.transform("lines", lambda x: F.struct(F.concat(F.lit("Line "), x["n"].cast("string")).alias("name"), F.concat(iso(x["d"]), F.lit("T09:00:00")).alias("startDate"), iso(F.date_add(x["d"], x["q"])).alias("endDate")))
-    fields = lambda kind, start, place: F.struct(kind.alias("@type"), F.col("o_clerk").alias("name"), start.alias("startDate"), place.alias("location"), sub.alias("subEvent"))
+    fields = lambda kind, start, place: F.struct(kind.alias("@type"), F.col("o_clerk").alias("name"), start.alias("startDate"), place.alias("location"), F.col("subs").alias("subEvent"))
     day = F.to_date("o_orderdate")
     address = F.struct(F.col("o_orderpriority").alias("name"), F.struct(F.lit("SE").alias("addressCountry"), F.concat(F.lit(" City  "), F.col("o_custkey").cast("string")).alias("addressLocality")).alias("address"))
     plain = F.to_json(fields(F.lit("EducationEvent"), iso(day), address))
     listed = F.to_json(fields(F.array(F.lit("Thing"), F.lit("course")), F.array(_text(day)), F.array(address)))
     other = F.to_json(F.struct(F.lit("WebPage").alias("@type"), F.col("o_clerk").alias("name"), iso(day).alias("startDate")))
     k = F.col("o_orderkey")
-    script = F.when(k % 4 == 0, plain).when(k % 4 == 1, F.concat(F.lit('{"@context":"x","@graph":['), other, F.lit(","), listed, F.lit("]}"))).when(k % 4 == 2, F.concat(F.lit("[["), other, F.lit(',{"@graph":[['), plain, F.lit("]]}]]"))).otherwise(F.concat(F.lit("["), listed, F.lit(",7,null]")))
-    pages = o.select(k.alias("page_id"), F.array(other, F.substring(plain, 1, 40), script).alias("jsonld"))
+    script = F.when(k % 4 == 0, F.col("plain")).when(k % 4 == 1, F.concat(F.lit('{"@context":"x","@graph":['), "other", F.lit(","), listed, F.lit("]}"))).when(k % 4 == 2, F.concat(F.lit("[["), "other", F.lit(',{"@graph":[['), "plain", F.lit("]]}]]"))).otherwise(F.concat(F.lit("["), listed, F.lit(",7,null]")))
+    # Lines and texts that stand in several scripts are made once a page.
+    o = pagerecords.staged(pagerecords.staged(o, subs=sub), plain=plain, other=other)
+    pages = o.select(k.alias("page_id"), F.array("other", F.substring("plain", 1, 40), script).alias("jsonld"))
     spans = F.array_join(F.transform("sessions", lambda s: F.concat_ws(" ", s["name"], s["start"].cast("string"), s["end"].cast("string"))), "; ")
     return structured.page_events(pages).select("page_id", "ord", F.col("start").alias("start_date"), F.col("end").alias("end_date"), "name", "location", spans.alias("sessions"))
 

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, spans
-from scoutflow.operators import deadlines, modelruns, resolve
+from scoutflow.operators import deadlines, modelruns, resolve, structured
 from scoutflow.plans import registry
 
 
@@ -78,3 +78,15 @@ def test_lower_case_finds_the_same_deadlines():
     places = lambda matches: [(kind, m.span(), m.span(m.lastindex or 0)) for kind, m in matches]
     got = places(spans.matches_of(text.lower(), quick, deadlines.SHADOWED))
     assert got == places(spans.matches_of(text, slow, deadlines.SHADOWED)) and {kind for kind, *_ in got} == set(deadlines.STARTS)
+
+
+def test_nested_json_is_read_in_batches(spark):
+    scripts = ['{"@type":"Event","startDate":"2030-05-01","name":1.50}', '{"@type":"Event","startDate":"2030-05-01","name":[1e5,{"z":1,"a":null}]} rest', '{"@type":"Event","@type":"Event","startDate":"2030-05-01"}', r'{"@type":"Event","startDate":"2030-05-01","name":"\ud800x"}', "[" * 1200 + "]" * 1200]
+    rows = spark.createDataFrame([(1, scripts)], "page_id long, jsonld array<string>")
+    got = structured.page_events(rows)
+    assert [r["name"] for r in got.collect()] == ["1.5", '[100000.0,{"a":null,"z":1}]', "?x"]
+    values = {'{"a":1.50,"b":-0.0,"c":1e5,"d":"0","e":{}}': "a: 1.5; c: 100000.0; d: 0", '{"a":1} x': "a: 1", "1 2": "1 2", "1x": "1x", "0": "", '{"a":1,"a":2}': '{"a":1,"a":2}', '{"a":NaN}': '{"a":NaN}', "[" * 1200 + "]" * 1200: "[" * 1200 + "]" * 1200, "[" * 900 + "7" + "]" * 900: "7"}
+    texts = spark.createDataFrame([(v,) for v in values], "j string").select("j", structured.compact_value(F.col("j")).alias("t"))
+    assert {r["j"]: r["t"] for r in texts.collect()} == values
+    # No expression walks the values level by level.
+    assert all("lambda" not in frame._jdf.queryExecution().optimizedPlan().toString() for frame in (got, texts))
