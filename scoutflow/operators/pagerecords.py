@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, money
 from scoutflow.functions import text as tx
+from scoutflow.functions.text import staged
 from scoutflow.functions.urls import host, host_matches
 from scoutflow.operators import extract, fees, filters, places, sessions, structured, validation
 from scoutflow.operators.deadlines import chosen_deadline, deadline_evidence, deadlines
@@ -77,11 +78,6 @@ def funding(text: Column, given_types: Column) -> Column:
     )
 
 
-def staged(rows: DataFrame, **columns: Column) -> DataFrame:
-    """``rows`` with columns that later expressions read and do not repeat: the optimiser puts projected expressions in place of their names, but not generated ones."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def page_candidates(
     pages: DataFrame, topics: list[str], fx: dict[str, float], as_of: Column, adapters: dict[str, Adapter] | None = None, recognisers: dict[str, Adapter] | None = None, classes: tuple[str, ...] = ()
 ) -> DataFrame:

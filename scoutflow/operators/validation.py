@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, money
 from scoutflow.functions import text as tx
-from scoutflow.functions.text import let
+from scoutflow.functions.text import let, staged
 from scoutflow.operators.extract import ONE_DATE
 
 # Fields that need evidence, words that show a field's evidence is about it, and what closed, listing and payment pages say.
@@ -62,62 +62,70 @@ def priced(text: Column) -> Column:
     return F.array_distinct(F.transform(found, one))
 
 
-def fee_supported(value: Column, evidence: Column) -> Column:
+def fee_supported(value: Column, evidence: Column, asked: Column, offered: Column) -> Column:
+    """Whether the evidence holds a fee: free where it says free, else all amounts that are ``asked``, else the words themselves (``priced`` of both texts)."""
     free = tx.any_term(value, NO_FEE)
-    amounts = priced(value)
-    written = F.when(F.size(amounts) == 0, F.contains(F.lower(evidence), F.lower(value))).otherwise(F.size(F.array_except(amounts, priced(evidence))) == 0)
+    written = F.when(F.size(asked) == 0, F.contains(F.lower(evidence), F.lower(value))).otherwise(F.size(F.array_except(asked, offered)) == 0)
     return F.when(free, tx.any_term(evidence, NO_FEE)).otherwise(written)
 
 
-def tiers_incomplete(value: Column, evidence: Column) -> Column:
-    return (F.size(priced(value)) >= 2) & (F.size(priced(evidence)) > F.size(priced(value))) & evidence.rlike(r"(?i)\b(fees?|tuition|rates?)\b")
+def tiers_incomplete(evidence: Column, asked: Column, offered: Column) -> Column:
+    return (F.size(asked) >= 2) & (F.size(offered) > F.size(asked)) & evidence.rlike(r"(?i)\b(fees?|tuition|rates?)\b")
 
 
-def cited(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``page_url, cited`` (field to the texts that its ids name), ``lost`` (fields with an id that names none) and ``said`` (all snippets of the page)."""
-    asked = items.select("page_url", F.explode("fields").alias("field", "f")).select("page_url", "field", F.posexplode(F.filter("f.ids", lambda x: F.trim(x) != "")).alias("at", "id"))
-    got = asked.join(evidence.select("page_url", "id", "text"), ["page_url", "id"], "left")
-    per = got.groupBy("page_url", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda s: s["text"]), " ").alias("text"), (F.count_if(F.col("text").isNull()) > 0).alias("lost"))
-    pages = per.groupBy("page_url").agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("cited"), F.collect_list(F.when(F.col("lost"), F.col("field"))).alias("lost"))
-    said = evidence.groupBy("page_url").agg(F.lower(tx.clean_space(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda s: s["text"]), " "))).alias("said"))
-    return items.select("page_url").distinct().join(pages, "page_url", "left").join(said, "page_url", "left")
+def cited(fields: Column, snippets: Column) -> Column:
+    """Per field ``struct<value, some, text, lost>``: its trimmed value, whether it has ids, the texts that these name among ``snippets`` (by id and text), and whether one names none."""
+
+    def fact(f: Column) -> Column:
+        ids = F.filter(F.coalesce(f["ids"], F.array().cast("array<string>")), lambda i: F.trim(i) != "")
+        of = lambda i: F.filter(snippets, lambda s: (s["id"] == i) & s["text"].isNotNull())
+        text = lambda found: F.array_join(F.transform(F.flatten(found), lambda s: s["text"]), " ")
+        return let(F.transform(ids, of), lambda found: F.struct(F.trim(F.coalesce(f["value"], F.lit(""))).alias("value"), (F.size(found) > 0).alias("some"), text(found).alias("text"), F.exists(found, lambda x: F.size(x) == 0).alias("lost")))
+
+    return F.transform_values(fields, lambda _, f: fact(f))
 
 
 def validate(items: DataFrame, evidence: DataFrame, as_of: Column) -> DataFrame:
     """``items`` (``page_url, page_title, page_type, confidence, fields``) with ``warnings`` and the ``confidence`` that they leave.
 
     ``fields`` maps a name to its value and the ids of its snippets; ``evidence`` has ``page_url, id, text``. A field that is
-    missing or null is unknown and asks for nothing. Warnings stand in the order of their rules and once each.
+    missing or null is unknown and asks for nothing. Warnings stand in the order of their rules and once each. An item meets all snippets of its page
+    at once, and is judged by those that it cites itself.
     """
-    rows = items.join(cited(items, evidence), "page_url", "left")
-    value = lambda f: F.trim(F.coalesce(F.try_element_at("fields", F.lit(f))["value"], F.lit("")))
-    ids = lambda f: F.filter(F.coalesce(F.try_element_at("fields", F.lit(f))["ids"], F.array().cast("array<string>")), lambda i: F.trim(i) != "")
-    text = lambda f: F.coalesce(F.try_element_at("cited", F.lit(f)), F.lit(""))
-    said = F.coalesce("said", F.lit(""))
+    snippets = evidence.groupBy("page_url").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("__snippets"))
+    none = F.array().cast("array<struct<id:string,text:string>>")
+    said = F.lower(tx.clean_space(F.array_join(F.transform("__snippets", lambda s: s["text"]), " ")))
+    rows = staged(items.join(snippets, "page_url", "left"), __facts=cited(F.col("fields"), F.coalesce("__snippets", none)), __said=F.coalesce(said, F.lit("")))
+    rows = staged(rows, **{f"__{f}": F.try_element_at("__facts", F.lit(f)) for f in EVIDENCE_FIELDS})
+    value = lambda f: F.coalesce(F.col(f"__{f}.value"), F.lit(""))
+    some, lost = (lambda f, part=part: F.coalesce(F.col(f"__{f}.{part}"), F.lit(False)) for part in ("some", "lost"))
+    text = lambda f: F.coalesce(F.col(f"__{f}.text"), F.lit(""))
+    fee, fee_text, due_text = value("fee"), text("fee"), text("application_deadline")
+    charged = known(fee) & (fee_text != "")
+    rows = staged(rows, __asked=F.when(charged, priced(fee)), __offered=F.when(charged, priced(fee_text)))
     checks: list[Column] = []
     for f in EVIDENCE_FIELDS:
-        some = F.size(ids(f)) > 0
         checks += [
-            F.when(~known(value(f)) & some, f"unknown_field_has_evidence_id:{f}").when(known(value(f)) & ~some, f"missing_evidence_id:{f}"),
-            F.when(known(value(f)) & F.array_contains(F.coalesce("lost", F.array().cast("array<string>")), f), f"evidence_id_not_found:{f}"),
+            F.when(~known(value(f)) & some(f), f"unknown_field_has_evidence_id:{f}").when(known(value(f)) & ~some(f), f"missing_evidence_id:{f}"),
+            F.when(known(value(f)) & lost(f), f"evidence_id_not_found:{f}"),
         ]
         if f in CONTEXT:
             checks.append(F.when(known(value(f)) & (text(f) != "") & ~text(f).rlike(CONTEXT[f]), f"{'deadline' if f == 'application_deadline' else f}_context_weak"))
     for f in DATED:
         checks.append(F.when(known(value(f)) & (text(f) != "") & ~date_supported(value(f), text(f)), f"{f}_value_not_in_evidence"))
-    fee, fee_text, due_text = value("fee"), text("fee"), text("application_deadline")
-    checks.append(F.when(known(fee) & (fee_text != ""), F.when(~fee_supported(fee, fee_text), "fee_value_not_in_evidence").when(tiers_incomplete(fee, fee_text), "fee_tiers_incomplete")))
+    asked, offered = F.col("__asked"), F.col("__offered")
+    checks.append(F.when(charged, F.when(~fee_supported(fee, fee_text, asked, offered), "fee_value_not_in_evidence").when(tiers_incomplete(fee_text, asked, offered), "fee_tiers_incomplete")))
     checks.append(F.when((due_text != "") & due_text.rlike(PAYMENT) & ~due_text.rlike(APPLICATION) | F.lower(value("application_deadline_type")).isin(OTHER_DEADLINES), "non_application_deadline_risk"))
     status, about = F.lower(value("registration_status")), text("registration_status")
     checks.append(F.when((status == "open") & about.rlike(CLOSED_WORDS) | (status == "closed") & about.rlike(OPEN_WORDS), "registration_status_conflict"))
-    checks.append(F.when(said.rlike(OVER), "possibly_past_or_closed"))
+    checks.append(F.when(F.col("__said").rlike(OVER), "possibly_past_or_closed"))
     due, start = F.try_to_date(value("application_deadline"), "yyyy-MM-dd"), F.try_to_date(value("start_date"), "yyyy-MM-dd")
-    later = F.exists(F.regexp_extract_all(said, F.lit(r"\b20\d{2}\b"), F.lit(0)), lambda y: y.cast("int") > F.year(as_of))
+    later = F.exists(F.regexp_extract_all("__said", F.lit(r"\b20\d{2}\b"), F.lit(0)), lambda y: y.cast("int") > F.year(as_of))
     checks += [F.when(due < as_of, "deadline_past"), F.when((start < as_of) & ~later, "event_past")]
     kind = F.lower(F.trim(F.coalesce("page_type", F.lit(""))))
     listing = (kind == "index") | kind.isin("", "unknown") & F.concat_ws(" ", value("title"), "page_title").rlike(INDEX)
     checks.append(F.when(listing & (known(value("start_date")) | known(value("end_date")) | known(value("location"))), "index_page_specific_field_risk"))
-    judged = rows.withColumn("warnings", F.array_distinct(F.array_compact(F.array(*checks))))
+    judged = staged(rows, warnings=F.array_distinct(F.array_compact(F.array(*checks))))
     return judged.withColumn("confidence", confidence(F.col("confidence"), F.col("warnings"))).select(*items.columns, "warnings")
 
 

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores while they are narrow: a file has few row groups, and what follows takes long for each row. The number of parts is stated, or few bytes would be put into few tasks again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("date")
 
@@ -96,18 +101,19 @@ def _notices(spark, sf_dir) -> DataFrame:
     fee = F.when(k % 4 == 0, "Attendance is free of charge. ").otherwise(F.concat(F.lit("Tuition fee: EUR "), cents.cast("string"), F.lit(". Students pay 150 EUR and doctoral candidates 95 EUR. ")))
     money_ = pick(k, ["Fellowships are available. ", "No scholarships. ", "Travel costs are covered. ", "Meals are included and stipends paid. ", ""])
     span = F.concat(F.lit("It runs from "), F.date_format(F.date_add(day, 30), "d MMMM yyyy"), F.lit(" to "), F.date_format(F.date_add(day, 39), "d MMMM yyyy"), F.lit(". "))
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
-    return rows.select("o_orderkey", F.concat(place, due, fee, money_, span).alias("text"))
+    named = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).select("o_orderkey", "o_orderdate", "o_totalprice", "n_name")
+    return tx.staged(spread(named, "o_orderkey"), text=F.concat(place, due, fee, money_, span)).select("o_orderkey", "text")
 
 
 def notice_facts(spark, sf_dir):
     """Place, deadline, dates, fee and funding read back from notices."""
     t = F.col("text")
-    due, ranges = deadlines.chosen_deadline(deadlines.deadlines(t)), extract.date_ranges(t)
-    fee = F.coalesce(fees.stated_fee(t), F.lit(""))
-    return _notices(spark, sf_dir).select(
-        "o_orderkey", validation.place_of(t, F.lit("Continental Europe")).alias("place"), due["day"].alias("deadline"), F.get(ranges, F.lit(0))["start"].alias("start_date"), F.get(ranges, F.lit(0))["end"].alias("end_date"),
-        money.fee_to_eur(fee, F.lit(1.0)).alias("fee_eur"), money.currency(fee).alias("currency"), F.array_max(money.amounts(fees.participant_fee(t))).alias("student_fee"), F.array_join(extract.funding_types(t), ", ").alias("funding"),
+    # What several columns, or several steps of one, are made of is read once a notice.
+    rows = tx.staged(_notices(spark, sf_dir), due=deadlines.deadlines(t), range=F.get(extract.date_ranges(t), F.lit(0)), fee=F.coalesce(fees.stated_fee(t), F.lit("")), student=fees.participant_fee(t))
+    fee = F.col("fee")
+    return rows.select(
+        "o_orderkey", validation.place_of(t, F.lit("Continental Europe")).alias("place"), deadlines.chosen_deadline(F.col("due"))["day"].alias("deadline"), F.col("range.start").alias("start_date"), F.col("range.end").alias("end_date"),
+        money.fee_to_eur(fee, F.lit(1.0)).alias("fee_eur"), money.currency(fee).alias("currency"), F.array_max(money.amounts(F.col("student"))).alias("student_fee"), F.array_join(extract.funding_types(t), ", ").alias("funding"),
     )
 
 
@@ -123,7 +129,7 @@ def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.lit("location"), F.when(k % 5 == 0, entry("Rome", "E2")).otherwise(entry("unknown")),
         F.lit("registration_status"), F.when(k % 7 == 0, entry("closed", "E3")).otherwise(entry("open", "E3")),
     )
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     items = o.select(url, F.when(k % 6 == 0, "All events").otherwise("School").alias("page_title"), F.lit("unknown").alias("page_type"), F.when(k % 2 == 0, "high").otherwise("low").alias("confidence"), fields.alias("fields"))
     texts = [F.concat(F.lit("Application deadline: "), F.date_format(day, "d MMMM yyyy"), F.lit(".")), F.lit("Fees: EUR 100, 200 EUR or EUR 250."), F.lit("Registration is now open.")]
     snippets = o.select(url, F.inline(F.array(*[F.struct(F.lit(f"E{i}").alias("id"), t.alias("text")) for i, t in enumerate(texts, 1)])))

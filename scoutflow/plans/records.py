@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoutflow.operators import enrich, evidence, filters, pagerecords, semantic, sessions
-from scoutflow.plans.candidates import LATER, pick, table
+from scoutflow.plans.candidates import LATER, pick, spread, table
 from scoutflow.sinks import writers
 from scoutflow.sources import readers
 
@@ -64,7 +64,7 @@ def page_records(spark, sf_dir):
         F.when(k % 2 == 0, "EUR ").otherwise("USD "), (k % 300 * 2 + 50).cast("string"), F.lit(". "), F.when(k % 3 == 0, "It is an online course. ").otherwise("The venue is in town. "), pick(k, ["For PhD students of AI.", "Master level, graph theory.", "For all."]),
     )
     html = F.concat(F.lit("<html><head><title>"), F.when(k % 5 == 0, "Workshop ").otherwise("Site "), k.cast("string"), F.lit("</title></head><body><h1>"), F.when(k % 5 == 0, "Workshop on data ").otherwise("Data summer school "), k.cast("string"), F.lit(" | Site</h1><p>"), words, F.lit("</p></body></html>"))
-    pages = table(spark, sf_dir, "orders").select(k.alias("page_id"), F.concat(F.lit("http://o.example/"), k.cast("string")).alias("url"), html.alias("html"))
+    pages = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select(k.alias("page_id"), F.concat(F.lit("http://o.example/"), k.cast("string")).alias("url"), html.alias("html"))
     got = pagerecords.page_candidates(pages, TOPICS, {"EUR": 1.0, "USD": 0.5}, F.lit(LATER).cast("date"))
     return got.select("page_id", "source_url", "title", "type", "start_date", "end_date", "duration_days", "deadline", "deadline_status", "fee", "fee_eur", "mode", "target_level", F.array_join("topic_keywords", ",").alias("topics"), "extraction_confidence")
 
@@ -104,7 +104,7 @@ def discovery_repeats(spark, sf_dir):
     """Customers as search results that share twenty addresses: the first accepted row of each stays."""
     k = F.col("c_custkey")
     title = F.when(k % 4 == 0, "Archive 2027").when(k % 7 == 0, "Summer school 2019").otherwise("Summer school 2027")
-    results = table(spark, sf_dir, "customer").select(k.alias("ord"), title.alias("title"), F.lit("official").alias("snippet"), F.concat(F.lit("http://uni"), (k % 20).cast("string"), F.lit(".edu/x")).alias("url"))
+    results = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("ord"), title.alias("title"), F.lit("official").alias("snippet"), F.concat(F.lit("http://uni"), (k % 20).cast("string"), F.lit(".edu/x")).alias("url"))
     return filters.filter_discovery(results, 2026).select("ord", "reason")
 
 

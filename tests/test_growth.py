@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, spans
-from scoutflow.operators import deadlines, modelruns, resolve, structured
+from scoutflow.operators import deadlines, filters, modelruns, resolve, structured
 from scoutflow.plans import registry
 
 
@@ -90,3 +91,16 @@ def test_nested_json_is_read_in_batches(spark):
     assert {r["j"]: r["t"] for r in texts.collect()} == values
     # No expression walks the values level by level.
     assert all("lambda" not in frame._jdf.queryExecution().optimizedPlan().toString() for frame in (got, texts))
+
+
+@pytest.mark.parametrize("name", ["discovery_repeats", "notice_facts", "page_records", "claims_validated"])
+def test_narrow_rows_are_dealt_to_all_cores(spark, sf_dir, name):
+    assert "RepartitionByExpression" in registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_address_is_read_once_a_result(spark):
+    results = spark.createDataFrame([(1, "Summer school 2027", "official", "http://a.edu:70000/x"), (2, "Summer school 2027", "", " http://a.edu:80/x ")], "ord long, title string, snippet string, url string")
+    got = filters.filter_discovery(results, 2026)
+    assert sorted((r["ord"], r["reason"]) for r in got.collect()) == [(1, "invalid_url"), (2, "")]
+    # Once where the first of each address is found and once where it meets all: the check of ports stood there some thirty times.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("try_cast") + got._jdf.queryExecution().optimizedPlan().toString().count("65535") <= 4
