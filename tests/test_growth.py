@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, spans
-from scoutflow.operators import deadlines, filters, modelruns, resolve, structured
+from scoutflow.operators import deadlines, filters, modelruns, resolve, structured, validation
 from scoutflow.plans import registry
 
 
@@ -104,3 +104,13 @@ def test_an_address_is_read_once_a_result(spark):
     assert sorted((r["ord"], r["reason"]) for r in got.collect()) == [(1, "invalid_url"), (2, "")]
     # Once where the first of each address is found and once where it meets all: the check of ports stood there 22 times.
     assert got._jdf.queryExecution().optimizedPlan().toString().count("65535") == 2
+
+
+def test_an_item_is_judged_by_its_own_snippets(spark):
+    """Two items of one page, of which one cites a snippet that there is not; a page meets its snippets in one join."""
+    items = "page_url string, page_title string, page_type string, confidence string, fields map<string,struct<value:string,ids:array<string>>>"
+    rows = spark.createDataFrame([("p", "A", "page", "high", {"title": ("T", ["E1"])}), ("p", "B", "page", "high", {"title": ("T", ["E9", " "])}), ("q", "C", "page", "low", None)], items)
+    snippets = spark.createDataFrame([("p", "E1", "text"), ("p", "E2", None), ("r", "E1", "x")], "page_url string, id string, text string")
+    got = validation.validate(rows, snippets, F.lit("2030-01-01").cast("date"))
+    assert {r["page_title"]: (r["confidence"], r["warnings"]) for r in got.collect()} == {"A": ("high", []), "B": ("medium", ["evidence_id_not_found:title"]), "C": ("low", [])}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
