@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutflow.llm.common import drop_table, load, written
-from scoutflow.llm.components import connected_components
+from scoutflow.llm.components import component_labels
 from scoutflow.llm.fuzzyhash import mixed
 from scoutflow.llm.neardup import ODD, _spanning, all_sets, links_of_few, pieces, verifier, versus
 
@@ -277,7 +277,7 @@ def reach(classes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
     side = lambda x: classes.select(F.col("id").alias(x), F.col("point").alias(f"p{x}"))
     likely = written(pairs.join(side("b"), "b").join(side("a"), "a").filter(in_reach("pa", "pb", "na", "nb")).select("a", "b"), "likely")
-    kin = written(connected_components(likely), "kin")
+    kin = component_labels(likely)
     placed = written(in_components(files, kin), "placed")
     who = F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets"), who)
@@ -290,7 +290,7 @@ def reach(classes: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = written(dealt.groupBy(call.alias("call"), "bi", "bj").applyInPandas(near_in_blocks, "a long, b long").distinct(), "reach")
     if more.head(1):
         drop_table(kin)
-        kin = written(connected_components(likely.union(more)), "kin")
+        kin = component_labels(likely.union(more))
     for table in (placed, opened, more):
         drop_table(table)
     return likely, kin
@@ -321,11 +321,11 @@ def labelled(docs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
         met = likely.join(side("b"), "b").join(side("a"), "a")
         edges = written(met.filter(verifier(WORDS, PERCENT)("ta", "tb")).select("a", "b"), "links")
-        known = written(connected_components(edges), "components")
+        known = component_labels(edges)
         sized = in_components(kin.withColumnRenamed("component", "kin"), known).join(classes.select("id", F.col("n").alias("size")), "id")
         dealt = versus(sized, "kin", F.col("size") + 8, SHINGLES).drop("size").join(texts, "id")
         more = written(dealt.groupBy("kin", "bi", "bj").applyInPandas(links_in_block, "a long, b long"), "more-links")
-        labels = written(connected_components(edges.union(more)), "components") if more.head(1) else known
+        labels = component_labels(edges.union(more)) if more.head(1) else known
         used += [likely, kin, texts, edges, more]
     if labels is not None:
         rooted = in_components(named, labels)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutflow.llm.common import drop_table, load, written
-from scoutflow.llm.components import connected_components
+from scoutflow.llm.components import component_labels, roots_of
 from scoutflow.llm.fuzzyhash import POWERS, mixed
 
 WORDS = 5
@@ -209,20 +209,6 @@ def estimated(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Seri
     return pd.Series(estimate(_matrix(a), _matrix(b), n.to_numpy(), m.to_numpy()) if len(a) else np.zeros(0))
 
 
-def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Least member of each one's component in a small graph given as index pairs."""
-    root = np.arange(n)
-    while len(pairs):
-        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
-        before = root.copy()
-        np.minimum.at(root, root[pairs[:, 0]], low)
-        np.minimum.at(root, root[pairs[:, 1]], low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def verifier(words: int, percent: int) -> Callable[..., Column]:
     """Whether two texts' full shingle sets are alike enough."""
 
@@ -358,7 +344,7 @@ def labelled(docs: DataFrame) -> DataFrame:
         with_b = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         edges = written(with_both.filter(verified("ta", "tb")).select("a", "b"), "links")
-        labels = written(connected_components(edges), "components")
+        labels = component_labels(edges)
         # Buckets whose members are not yet one component: what their centres did not settle.
         placed = members.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = written(placed, "placed")
@@ -369,12 +355,12 @@ def labelled(docs: DataFrame) -> DataFrame:
         seem = written(rows.groupBy("key", "bi", "bj").applyInPandas(near_in_block, "a long, b long").distinct(), "seem")
         used += [texts, edges, placed, seem]
         if seem.head(1):
-            kin = connected_components(seem.union(seem.select(F.col("a"), F.col("a").alias("b")))).withColumnRenamed("component", "kin")
-            sized = kin.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).join(classes.select("id", F.col("n").alias("size")), "id")
+            kin = component_labels(seem)
+            sized = kin.withColumnRenamed("component", "kin").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).join(classes.select("id", F.col("n").alias("size")), "id")
             dealt = versus(sized, "kin", F.col("size") + 8, SHINGLES).drop("size").join(texts, "id")
             more = written(dealt.groupBy("kin", "bi", "bj").applyInPandas(links_in_block, "a long, b long"), "more-links")
-            used += [more, labels]
-            labels = written(connected_components(edges.union(more)), "components")
+            used += [kin, more, labels]
+            labels = component_labels(edges.union(more))
     named = classes.select("id", *group, F.col("doc_id").alias("first"))
     if labels is not None:
         rooted = named.join(labels, "id", "left").withColumn("root", F.coalesce("component", "id"))

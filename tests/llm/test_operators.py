@@ -519,6 +519,32 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
 
 
+def test_components_in_few_shuffles(spark, monkeypatch):
+    """Any graph, in chunks of three edges, against union by hand; and hubs, chains and pairs in few levels, each of one shuffle."""
+    rnd = random.Random(5)
+    pairs = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(300)] + [(3000 + 2 * i, 3001 + 2 * i) for i in range(100)] + [(rnd.randrange(5000, 5300), rnd.randrange(5000, 5300)) for _ in range(200)]
+    rnd.shuffle(pairs)
+    want = {v: v for p in pairs if p[0] != p[1] for v in p}
+    for _ in want:
+        before = dict(want)
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    written, tables = components.written, []
+    monkeypatch.setattr(components, "written", lambda df, name: tables.append(df) or written(df, name))
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    assert {r["id"]: r["component"] for r in components.connected_components(edges).collect()} == want
+    assert len(tables) <= 4 and all(t._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1 for t in tables[:-1])
+    monkeypatch.setattr(components, "CHUNK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r["id"]: r["component"] for r in components.connected_components(edges).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # 6 licences
 def test_licences_inherit_from_the_nearest_directory(spark, none, odd):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
