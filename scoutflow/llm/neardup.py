@@ -336,11 +336,13 @@ def labelled(docs: DataFrame) -> DataFrame:
     labels, used = None, [members]
     if members.head(1):
         wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_key")
-        texts = written(keyed.join(wanted, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"]), "texts")
+        # A set has one id and key here, so that repeated rows are dropped where the join has dealt them.
+        texts = written(keyed.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("id", "text"), "texts")
         pairs = members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         left, right = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
         sized = pairs.join(right, "b").join(left, "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-        likely = sized.filter(estimated("ra", "rb", "na", "nb") >= CUT).select("a", "b")
+        # Written, so that no task holds two Python workers, which executors would keep, and the planner sees how few pairs meet texts.
+        likely = written(sized.filter(estimated("ra", "rb", "na", "nb") >= CUT).select("a", "b"), "likely")
         with_b = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         edges = written(with_both.filter(verified("ta", "tb")).select("a", "b"), "links")
@@ -353,7 +355,7 @@ def labelled(docs: DataFrame) -> DataFrame:
         open_keys = spread.filter("lo <> hi").groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
         rows = versus(placed.join(open_keys, "key", "left_semi"), "key", F.lit(1), BLOCK).join(classes.select("id", "n", "regs"), "id")
         seem = written(rows.groupBy("key", "bi", "bj").applyInPandas(near_in_block, "a long, b long").distinct(), "seem")
-        used += [texts, edges, placed, seem]
+        used += [texts, likely, edges, placed, seem]
         if seem.head(1):
             kin = component_labels(seem)
             sized = kin.withColumnRenamed("component", "kin").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).join(classes.select("id", F.col("n").alias("size")), "id")

@@ -144,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed:
     if weights:
         raw = scorer(docs.sparkSession, model)
         best = F.coalesce(F.array_max(F.transform(F.col("t.segments"), lambda x: x["score"])), F.lit(0.0))
-        clean = rows.filter("not side and toxic = 0").select(raw("text").alias("t")).filter("t.n_tokens > 0").select(best.alias("best"), F.col("t.n_tokens").alias("n")).toPandas()  # at most the sample
+        # At most the sample. Texts without words go here, as a filter in the plan would score every text once more, in a second worker a task.
+        clean = rows.filter("not side and toxic = 0").select(raw("text").alias("t")).select(best.alias("best"), F.col("t.n_tokens").alias("n")).toPandas()
+        clean = clean[clean["n"] > 0]
         model.set_scale(clean["best"].to_numpy(np.float64), clean["n"].to_numpy(np.float64))
         raw = scorer(docs.sparkSession, model)
         fresh = rows.filter("not side").select(raw("text")["surprise"].alias("x"), "toxic").toPandas()  # at most the sample

@@ -29,6 +29,37 @@ def test_stages_take_effect(spark, sf_dir):
     assert {"shard", "slot"} <= set(kept["sharding"][1].columns)
 
 
+def test_no_task_holds_two_python_workers(spark, sf_dir, monkeypatch):
+    """Executors keep every worker that a task of theirs has had, so each plan of the first two stages has one Python step between exchanges at most."""
+    from pyspark.sql.pandas.conversion import PandasConversionMixin
+    from scoutflow.llm import components, neardup
+
+    def steps(node):
+        """Python steps in this node's stage, and the most that a stage below has."""
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return steps(node.executedPlan())
+        below = [steps(node.children().apply(i)) for i in range(node.children().size())]
+        here, most = sum(x[0] for x in below), max((x[1] for x in below), default=0)
+        if "Exchange" in name:
+            return 0, max(most, here)
+        return here + bool("Python" in name or "InPandas" in name or "InArrow" in name), most
+
+    seen = []
+
+    def noted(df):
+        seen.append((max(steps(df._jdf.queryExecution().executedPlan())), df))
+        return df
+
+    to_pandas = PandasConversionMixin.toPandas
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda df: to_pandas(noted(df)))
+    for module in (toxicity, neardup, components):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: f(noted(df), name))
+    docs = noted(corpus_pipeline.reject_toxic(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir))
+    noted(corpus_pipeline.drop_near_duplicates(spark, docs.cache(), sf_dir))
+    assert len(seen) > 10 and max(n for n, _ in seen) == 1
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
