@@ -88,7 +88,8 @@ def page_candidates(
     that its text; ``origins`` says which of them gave a field. ``classes`` are those of elements that further recognisers read.
     """
     region = F.col("region") if "region" in pages.columns else F.lit("")
-    rows = pages.select("page_id", "url", region.alias("region"), extract.parsed_page(F.col("html"), [*CLASSES, *classes]).alias("p"))
+    # A filter over a projected page would be put before the shuffle that deals the pages out, with a second reading of each page there.
+    rows = staged(pages.select("page_id", "url", region.alias("region"), "html"), p=extract.parsed_page(F.col("html"), [*CLASSES, *classes])).drop("html")
     rows = rows.filter(filters.looks_like_opportunity(F.col("p.text")))
     text = F.col("p.text")
     found = given(F.col("p"), F.col("url"), RECOGNISERS if recognisers is None else recognisers, adapters or {})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoutflow.operators import deadlines, extract, pagerecords, places, structured
-from scoutflow.plans.candidates import LATER, table
+from scoutflow.plans.candidates import LATER, spread, table
 
 SHIFT = 14600  # days that bring the orders of the nineties to times to come
 
@@ -24,7 +24,7 @@ def _orders(spark, sf_dir):
 
 def _spread(spark, sf_dir):
     """Orders dealt to all cores while they are narrow: a file has few row groups, and reading a page takes long."""
-    return _orders(spark, sf_dir).repartition("o_orderkey")
+    return spread(_orders(spark, sf_dir), "o_orderkey")
 
 
 def structured_events(spark, sf_dir):

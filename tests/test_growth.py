@@ -114,3 +114,12 @@ def test_an_item_is_judged_by_its_own_snippets(spark):
     got = validation.validate(rows, snippets, F.lit("2030-01-01").cast("date"))
     assert {r["page_title"]: (r["confidence"], r["warnings"]) for r in got.collect()} == {"A": ("high", []), "B": ("medium", ["evidence_id_not_found:title"]), "C": ("low", [])}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+@pytest.mark.parametrize("name", ["whole_page_records", "page_records"])
+def test_pages_are_parsed_once_and_after_they_are_dealt_out(spark, sf_dir, name):
+    """A filter over the parsed page stood below the shuffle with a second reading of each page; and a number of parts that is not stated is cut down to few."""
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    tree = plan.toString()
+    assert tree.count("parse(") == 1 and tree.index("parse(") < tree.index("RepartitionByExpression")
+    assert "RepartitionByExpression [o_orderkey" in tree and ", 4" in tree[tree.index("RepartitionByExpression") :].split("\n")[0]
