@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoutflow.functions.text import lowered
+
 FREE = r"(?i)\b(free of charge|no (?:participation|registration|tuition|course) fees?|free participation|attendance is free)\b"
 AMOUNT = r"\d+(?:[ .,]\d{3})*(?:[.,]\d{1,2})?"
 # Codes before signs, in order of trial.
@@ -25,8 +27,9 @@ def parse_amount(text: Column) -> Column:
 
 def currency(text: Column) -> Column:
     """A currency code in the text, else that of a currency sign, else null. RMB is CNY."""
-    codes = [F.when(text.rlike(rf"(?i)\b{c}\b"), c) for c in CODES] + [F.when(text.rlike(r"(?i)\bRMB\b"), "CNY"), F.when(text.rlike(r"(?i)\beuros?\b"), "EUR")]
-    return F.coalesce(*codes, *[F.when(text.rlike(s), c) for s, c in SIGNS])
+    names = [(rf"(?i)\b{c}\b", c.lower(), c) for c in CODES] + [(r"(?i)\bRMB\b", "rmb", "CNY"), (r"(?i)\beuros?\b", "euro", "EUR")]
+    code = lowered(text, lambda t, low: F.coalesce(*[F.when(F.contains(low, F.lit(word)) & t.rlike(p), c) for p, word, c in names]))
+    return F.coalesce(code, *[F.when(text.rlike(s), c) for s, c in SIGNS])
 
 
 def amounts(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ def staged(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def lowered(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of a text and of the text in lower case, both bound once (a name inside a lambda could be taken for another column of the same select)."""
+    return let(F.struct(text.alias("t"), F.lower(text).alias("low")), lambda both: body(both["t"], both["low"]))
+
+
+def has_any(low: Column, words: Sequence[str]) -> Column:
+    """Whether a text in lower case holds any of the words: much cheaper than a pattern that needs one of them."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+
+
 def clean_space(text: Column) -> Column:
     """White space runs, Unicode ones too, become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -54,17 +65,25 @@ def first_term(text: Column, terms: Sequence[str], default: str = "") -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms], F.lit(default))
 
 
-def first_match(text: Column, patterns: Sequence[str]) -> Column:
-    """Group 1 (or the whole match) of the first pattern that matches; empty without a match."""
-    tries = [F.when(F.regexp_instr(text, F.lit(p)) > 0, F.regexp_extract(text, p, 1 if "(" in p.replace("(?", "").replace(r"\(", "") else 0)) for p in patterns]
-    return F.coalesce(*tries, F.lit(""))
+def first_match(text: Column, patterns: Sequence[str], needs: Sequence[Sequence[str]] = ()) -> Column:
+    """Group 1 (or the whole match) of the first pattern that matches; empty without a match. ``needs``: for each pattern words of which every match holds one."""
+
+    def first(t: Column, held: list[Column]) -> Column:
+        group = lambda p: 1 if "(" in p.replace("(?", "").replace(r"\(", "") else 0
+        return F.coalesce(*[F.when(h & (F.regexp_instr(t, F.lit(p)) > 0), F.regexp_extract(t, p, group(p))) for h, p in zip(held, patterns, strict=True)], F.lit(""))
+
+    return lowered(text, lambda t, low: first(t, [has_any(low, words) for words in needs])) if needs else first(text, [F.lit(True) for _ in patterns])
+
+
+def evidence_window(text: Column, pattern: str, radius: int = 120, needs: Sequence[str] = ()) -> Column:
+    """The match and ``radius`` characters after it, cleaned; it never looks back. Empty without a match. ``needs``: words of which every match holds one."""
 
+    def window(t: Column, held: Column) -> Column:
+        at = F.regexp_instr(t, F.lit(pattern))
+        span = F.length(F.regexp_extract(t, pattern, 0)) + radius
+        return F.when(held & (at > 0), clean_space(F.substr(t, at, span))).otherwise(F.lit(""))
 
-def evidence_window(text: Column, pattern: str, radius: int = 120) -> Column:
-    """The match and ``radius`` characters after it, cleaned; it never looks back. Empty without a match."""
-    at = F.regexp_instr(text, F.lit(pattern))
-    span = F.length(F.regexp_extract(text, pattern, 0)) + radius
-    return F.when(at > 0, clean_space(F.substr(text, at, span))).otherwise(F.lit(""))
+    return lowered(text, lambda t, low: window(t, has_any(low, needs))) if needs else window(text, F.lit(True))
 
 
 def clean_title(title: Column, limit: int = 140) -> Column:

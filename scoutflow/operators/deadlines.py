@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, spans
 from scoutflow.functions import text as tx
+from scoutflow.functions.batches import in_batches
 
 # How dates and deadlines are written.
 MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?"
@@ -35,6 +37,27 @@ _NAMED = "(?=[adrscl])"
 STARTS = {"dated": _NAMED, "date first": r"(?=[jfmasond\d])", "date after": _NAMED, "open range": r"(?=[jfmasond\d])", "open until": "(?=[ra])", "payment": "(?=[mp])"}
 OTHERS_SHOWN = 3
 DEADLINES = "array<struct<day:date,category:int,evidence:string>>"
+_DEADLINES = pa.list_(pa.struct([("day", pa.date32()), ("category", pa.int32()), ("evidence", pa.string())]))
+# What every match of a pattern holds, in lower case; and what ends every match of "date first", at most so far behind its date.
+_CLOSING = ("deadline", "apply b", "application", "closing date", "last date", "register")
+NEEDS = {"dated": _CLOSING, "date after": _CLOSING, "date first": ("deadline",), "open range": (":",), "open until": ("until",), "payment": ("paid", "payment")}
+_OPENED = re.compile(r":\s*(?:registration|applications?)\s+open")
+_BEHIND = re.compile(r"(?:applications?\s+deadline|deadline\s+for\s+application)\w*")
+REACH = 90
+
+
+def begins(low: str) -> dict[str, int]:
+    """The patterns that can match a text in lower case, each with a place before which it does not begin. A date is no more than two words, with space before them."""
+    found = {kind: 0 for kind, words in NEEDS.items() if any(w in low for w in words)}
+    if ":" in low and not _OPENED.search(low):
+        del found["open range"]
+    if "date first" in found:
+        if behind := _BEHIND.search(low):
+            words = low[: max(0, behind.start() - REACH)].rsplit(None, 4)
+            found["date first"] = len(words[0]) if len(words) == 5 else 0
+        else:
+            del found["date first"]
+    return found
 
 
 def deadlines(text: Column, event_start: Column | None = None) -> Column:
@@ -47,10 +70,11 @@ def deadlines(text: Column, event_start: Column | None = None) -> Column:
     patterns = DATED + (YEARLESS if event_start is not None else [])
     named, lower = spans.compiled(patterns), spans.compiled_lower([(kind, STARTS[kind] + p) for kind, p in patterns])
 
-    def read(t: str | None, start: date | None) -> list[dict]:
-        first: dict[date, dict] = {}
+    def read(t: str | None, start: date | None) -> list[tuple]:
+        first: dict[date, tuple] = {}
         t = t or ""
-        for kind, m in spans.matches_of(t.lower(), lower, SHADOWED) if t.isascii() else spans.matches_of(t, named, SHADOWED):
+        low = t.lower()
+        for kind, m in spans.matches_of(low, lower, SHADOWED, begins(low)) if t.isascii() else spans.matches_of(t, named, SHADOWED):
             value = t[slice(*m.span(m.lastindex or 0))]
             if kind == "dated":
                 day = dates.date_of(value)
@@ -59,14 +83,10 @@ def deadlines(text: Column, event_start: Column | None = None) -> Column:
                 day = dates.in_year_of(day, start) if day else None
             if day:
                 evidence = " ".join(t[m.start() : m.end()].split())
-                first.setdefault(day, {"day": day, "category": category_of(evidence), "evidence": evidence})
+                first.setdefault(day, (day, category_of(evidence), evidence))
         return [first[day] for day in sorted(first)]
 
-    @F.pandas_udf(DEADLINES)
-    def all_of(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([read(t, None if s is None or s is pd.NaT else s) for t, s in zip(texts, starts)])
-
-    return all_of(text, F.lit(None).cast("date") if event_start is None else event_start.cast("date"))
+    return in_batches(DEADLINES, _DEADLINES, read, text, F.lit(None).cast("date") if event_start is None else event_start.cast("date"))
 
 
 def category_of(evidence: str) -> int:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates
 from scoutflow.functions import text as tx
+from scoutflow.functions.batches import in_batches
 
 PARSED = (
     "struct<title:string,text:string,headings:array<string>,links:array<struct<href:string,label:string,card:string>>,jsonld:array<string>,lines:array<string>,"
@@ -99,6 +101,21 @@ FUNDING_WORDS = r"scholarship|travel grant|tuition waiver|stipend|financial supp
 ONE_DATE = rf"(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{dates.MONTH_WORD}\s+20\d{{2}}|{dates.MONTH_WORD}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+20\d{{2}}|20\d{{2}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}})"
 LOGISTICS = re.compile("accommodation|hotel|lodging|reservation|booking|payment", re.I)
 WIDEST, LOOK_BACK = 120, 60
+# Words of which every match of a pattern holds one: on texts without them, which are most, the pattern is not tried.
+NEEDS = {
+    **dict(zip((p for _, p in FUNDING), [
+        ("travel", "airfare", "flight"), ("scholarship",), ("bursar",), ("fellowship",), ("tuition waiver",), ("waive",), ("stipend",), ("accommodation", "board", "lodging", "meal", "subsistence"),
+        ("support", "funding", "funded", "covered"),
+    ], strict=True)),
+    **dict(zip((p for _, p in LEVELS), [("msc", "master"), ("phd", "doctoral"), ("postdoc",), ("early",)], strict=True)),
+    **dict(zip(IN_PERSON, [("person",), ("site",), ("residential",), ("field school",), ("venue",), ("hosted in",), ("will be hosted at",), ("take place in", "be held in"), ("course at",)], strict=True)),
+    **dict(zip(ONLINE, [("online-only",), ("fully online",), ("online course",), ("webinar",)], strict=True)),
+    **dict(zip(STRONG_CLOSED, [("accepting",), ("selection",), ("period", "window"), ("closed",)], strict=True)),
+    **dict(zip(WEAK_CLOSED, [("passed",), ("closed",), ("closed",), ("closed",)], strict=True)),
+    **dict(zip(NOT_OPEN, [("open",), ("open",), ("open",)], strict=True)),
+    **dict(zip(OPEN, [("open",), ("apply",), ("accepting",), ("invited", "welcome"), ("call",), ("open",), ("open",)], strict=True)),
+    "hybrid": ("hybrid",), OWN_COST: ("responsible", "must", "should", "will"), FUNDING_WORDS: ("scholarship", "travel grant", "tuition waiver", "stipend", "financial support", "funding"),
+}
 
 
 class _Reader(HTMLParser):
@@ -207,12 +224,16 @@ def _read(page: str | None, classes: frozenset[str] = frozenset()) -> tuple:
     reader.feed(page or "")
     reader.close()
     reader._break()
-    marked = [m | {"text": _clean(m["text"])} for m in reader.marked]
-    links = [{"href": h, "label": t, "card": c} for h, t, c in reader.links]
+    marked = [(m["tag"], m["classes"], m["title"], m["href"], _clean(m["text"])) for m in reader.marked]
+    links = [tuple(link) for link in reader.links]
     return " ".join(reader.title.split()), _clean(reader.words), [h for h in reader.headings if h], links, reader.jsonld, reader.lines, _lines(reader.pieces), reader.heads, reader.shared_title, marked
 
 
-NAMES = ["title", "text", "headings", "links", "jsonld", "lines", "pieces", "heads", "shared_title", "marked"]
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+_PARSED = pa.struct([
+    ("title", _TEXT), ("text", _TEXT), ("headings", _TEXTS), ("links", pa.list_(pa.struct([("href", _TEXT), ("label", _TEXT), ("card", _TEXT)]))), ("jsonld", _TEXTS), ("lines", _TEXTS), ("pieces", _TEXTS),
+    ("heads", pa.list_(_TEXTS)), ("shared_title", _TEXT), ("marked", pa.list_(pa.struct([("tag", _TEXT), ("classes", _TEXTS), ("title", _TEXT), ("href", _TEXT), ("text", _TEXT)]))),
+])
 
 
 def parsed_page(html: Column, classes: Sequence[str] = ()) -> Column:
@@ -223,13 +244,10 @@ def parsed_page(html: Column, classes: Sequence[str] = ()) -> Column:
     """
     wanted = frozenset(classes)
 
-    @F.pandas_udf(PARSED)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for pages in batches:
-            rows = [_read(p, wanted) for p in pages]
-            yield pd.DataFrame({n: [r[i] for r in rows] for i, n in enumerate(NAMES)})
+    def parse(page: str | None) -> tuple:
+        return _read(page, wanted)
 
-    return parse(html)
+    return in_batches(PARSED, _PARSED, parse, html)
 
 
 _MONTHS = {m: i for i, m in enumerate(dates.MONTHS.lower().split("|"), 1)}
@@ -254,11 +272,33 @@ def _day(day: str, month: str, year: str) -> date | None:
         return None
 
 
+# What joins the ends of a span, and what may stand behind it where a span goes on; by what stands before it, the places in _SPANS of those that can.
+_JOIN = re.compile(r"(?:to|-|–|—|until|through)\s*(?:(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day\s*,?\s*)?(?=[A-Z\d])")
+_BEHIND = [re.compile(p) for p in (r"\d{1,2}(?:st|nd|rd|th)?\s+[A-Z]", r"[A-Z][a-z]+\s+\d", r"\d{1,2}(?:st|nd|rd|th)?,?\s+20\d", r"20\d{2}-")]
+_AFTER_NUMBER, _AFTER_WORD = ((0, 0), (1, 1), (3, 2), (1, 4), (2, 5), (0, 6)), ((0, 3),)
+
+
+def _may_stand(text: str) -> set[int]:
+    """Places in ``_SPANS`` of the patterns that can match: all that do, and few others."""
+    some: set[int] = set()
+    for m in _JOIN.finditer(text):
+        end = m.start()
+        while end and text[end - 1].isspace():
+            end -= 1
+        before = text[max(0, end - 2) : end]
+        tries = _AFTER_NUMBER if before[-1:].isdigit() or before in ("st", "nd", "rd", "th") else ()
+        tries += _AFTER_WORD if before[-1:].islower() else ()
+        some.update(at for behind, at in tries if at not in some and _BEHIND[behind].match(text, m.end()))
+    return some
+
+
 def spans(text: str | None) -> list[tuple[date, date, str]]:
     """Distinct date ranges of at most 120 days, in order of trust and then of place, without those that follow words of lodging or payment."""
     found: dict[tuple[date, date], str] = {}
-    for pattern, groups in _SPANS:
-        for m in pattern.finditer(text or ""):
+    if not text or "20" not in text:
+        return []
+    for pattern, groups in [_SPANS[at] for at in sorted(_may_stand(text))]:
+        for m in pattern.finditer(text):
             start, end = _day(*(m[g] for g in groups[:3])), _day(*(m[g] for g in groups[3:]))
             if start and end and 0 <= (end - start).days <= WIDEST and not LOGISTICS.search(text[max(0, m.start() - LOOK_BACK) : m.start()]):
                 found.setdefault((start, end), " ".join(m[0].split()))
@@ -266,11 +306,7 @@ def spans(text: str | None) -> list[tuple[date, date, str]]:
 
 
 def date_ranges(text: Column) -> Column:
-    @F.pandas_udf("array<struct<start:date,end:date,evidence:string>>")
-    def ranges(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b, "evidence": e} for a, b, e in spans(t)] for t in texts])
-
-    return ranges(text)
+    return in_batches("array<struct<start:date,end:date,evidence:string>>", pa.list_(pa.struct([("start", pa.date32()), ("end", pa.date32()), ("evidence", pa.string())])), spans, text)
 
 
 def funding_offered(text: Column, pattern: str) -> Column:
@@ -278,7 +314,7 @@ def funding_offered(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(rf"(?is)(?=((?:.{{30}}|^.{{0,29}})(?:{pattern})))."), F.lit(1))
     head = F.when(F.regexp_instr(text, F.lit(rf"(?i)^(?:{pattern})")) == 1, F.lit(True)).otherwise(F.lit(False))
     # Most texts hold none of the phrase: those need no look at what stands before it.
-    return text.rlike(rf"(?i){pattern}") & (head | F.exists(found, lambda m: ~F.regexp_replace(m, rf"(?is)(?:{pattern})$", "").rlike(rf"(?i){NEGATION}")))
+    return says(text, [pattern]) & (head | F.exists(found, lambda m: ~F.regexp_replace(m, rf"(?is)(?:{pattern})$", "").rlike(rf"(?i){NEGATION}")))
 
 
 def funding_types(text: Column) -> Column:
@@ -286,18 +322,20 @@ def funding_types(text: Column) -> Column:
 
 
 def says(text: Column, patterns: Sequence[str]) -> Column:
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether any of the patterns (all of them in ``NEEDS``) matches, ignoring case."""
+    return tx.lowered(text, lambda t, low: reduce(lambda a, b: a | b, [tx.has_any(low, NEEDS[p]) & t.rlike(f"(?i){p}") for p in patterns]))
 
 
 def mode_of(text: Column) -> Column:
-    here, there, mixed = says(text, IN_PERSON), says(text, ONLINE), text.rlike("(?i)hybrid")
+    here, there, mixed = says(text, IN_PERSON), says(text, ONLINE), says(text, ["hybrid"])
     return F.when(here & mixed, "hybrid").when(here, "in-person").when(there, "online").when(mixed, "hybrid").otherwise("uncertain")
 
 
 def mode_evidence(text: Column, radius: int = 50) -> Column:
     """The first sign of a mode, in order of trial, with the ``radius`` characters after it; empty without one."""
-    tries = [F.nullif(tx.clean_space(F.regexp_extract(text, rf"(?is)(?:{p}).{{0,{radius}}}", 0)), F.lit("")) for p in [*IN_PERSON, *ONLINE, "hybrid"]]
-    return F.coalesce(*tries, F.lit(""))
+    one = lambda t, p: F.nullif(tx.clean_space(F.regexp_extract(t, rf"(?is)(?:{p}).{{0,{radius}}}", 0)), F.lit(""))
+    first = tx.lowered(text, lambda t, low: F.coalesce(*[F.when(tx.has_any(low, NEEDS[p]), one(t, p)) for p in [*IN_PERSON, *ONLINE, "hybrid"]]))
+    return F.coalesce(first, F.lit(""))
 
 
 def application_status(text: Column, deadline: Column, as_of: Column) -> Column:
@@ -307,7 +345,7 @@ def application_status(text: Column, deadline: Column, as_of: Column) -> Column:
 
 
 def level_of(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in LEVELS])), ", "), F.lit("")), F.lit("uncertain"))
+    return F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*[F.when(says(text, [p]), F.lit(n)) for n, p in LEVELS])), ", "), F.lit("")), F.lit("uncertain"))
 
 
 def topics_in(text: Column, topics: list[str]) -> Column:

@@ -30,6 +30,12 @@ PAID = [
     rf"(\d[\d ,.]*\d?\s?{SIGN}\s+(?:registration|participation|tuition|course)?\s*(?:fees?|costs?))",
 ]
 HOUSING = r"(?i)room|board|housing|accommodation|hotel"
+# Words of which every match of a pattern holds one: a pattern is tried only where one of them stands.
+FREE_NEEDS = [("free",), ("fee",), ("free",), ("fee",)]
+CONTRIBUTION_NEEDS = [("contribution",)]
+PARTICIPANT_NEEDS = ["student", "master", "msc", "phd", "doctoral", "post", "academic"]
+_SIGNS = ("eur", "usd", "gbp", "chf", "cny", "rmb", "jpy", "inr", "krw", "sgd", "aud", "cad", "€", "$", "£")
+PAID_NEEDS = [("fee", "cost"), _SIGNS, _SIGNS]
 LEAST, BEFORE, AFTER = 20, 80, 40
 
 
@@ -42,28 +48,29 @@ def least_price(prices: Column) -> Column:
 
 def table_fee(text: Column) -> Column:
     """The least price of a table of course fees."""
-    return least_price(F.regexp_extract_all(F.regexp_extract(text, TABLE, 1), F.lit(rf"(?i){SIGN}\s?\d[\d ,.]*\d?"), F.lit(0)))
+    table = tx.lowered(text, lambda t, low: F.when(F.contains(low, F.lit("course fee")), F.regexp_extract(t, TABLE, 1)))
+    return least_price(F.regexp_extract_all(table, F.lit(rf"(?i){SIGN}\s?\d[\d ,.]*\d?"), F.lit(0)))
 
 
 def participant_fee(text: Column) -> Column:
     """The least price that stands with students or doctoral participants and not with housing."""
-    found = spans.found(text, PARTICIPANTS, BEFORE, AFTER)
+    found = spans.found(text, PARTICIPANTS, BEFORE, AFTER, needs=PARTICIPANT_NEEDS)
     return least_price(F.transform(F.filter(found, lambda m: ~m["context"].rlike(HOUSING)), lambda m: m["value"]))
 
 
-def _first(text: Column, patterns: list[str]) -> Column:
-    return F.nullif(tx.clean_space(tx.first_match(text, [f"(?i){p}" for p in patterns])), F.lit(""))
+def _first(text: Column, patterns: list[str], needs: list[tuple[str, ...]]) -> Column:
+    return F.nullif(tx.clean_space(tx.first_match(text, [f"(?i){p}" for p in patterns], needs)), F.lit(""))
 
 
 def stated_fee(text: Column) -> Column:
     """A free phrase, or what stands with words of fees; null without one. A fee without a number is none."""
-    paid = _first(text, PAID)
-    return F.coalesce(_first(text, FREE), F.when(paid.rlike(r"\d"), paid))
+    paid = tx.let(_first(text, PAID, PAID_NEEDS), lambda p: F.when(p.rlike(r"\d"), p))
+    return F.coalesce(_first(text, FREE, FREE_NEEDS), paid)
 
 
 def fee_of(text: Column) -> Column:
     """A page's fee as it is written; empty without one."""
-    return F.coalesce(_first(text, FREE), _first(text, [CONTRIBUTION]), table_fee(text), participant_fee(text), stated_fee(text), F.lit(""))
+    return F.coalesce(_first(text, FREE, FREE_NEEDS), _first(text, [CONTRIBUTION], CONTRIBUTION_NEEDS), table_fee(text), participant_fee(text), stated_fee(text), F.lit(""))
 
 
 # An amount of funding, and how what is known of money is shown.

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from datetime import date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoutflow.functions.batches import in_batches
 from scoutflow.operators.extract import spans
 
 SESSION = "array<struct<name:string,start:date,end:date,deadline:date>>"
+_SESSION = pa.list_(pa.struct([("name", pa.string()), ("start", pa.date32()), ("end", pa.date32()), ("deadline", pa.date32())]))
 LABEL = re.compile(r"\b(session|course|week|module|block|term)\s+(\d{1,2}|[ivx]{1,4}|one|two|three|four|five|six|seven|eight|nine|ten|[a-h])\b", re.I)
 NUMBERS = dict(zip("one two three four five six seven eight nine ten".split(), range(1, 11)))
 DEADLINE = re.compile(r"(?:deadline|apply by)\D{0,25}?(\d{1,2}(?:st|nd|rd|th)?\s+[A-Z][a-z]+\s+20\d{2}|20\d{2}-\d{2}-\d{2})", re.I)
@@ -43,11 +45,7 @@ def sessions_of(text: str | None) -> list[tuple[str, date, date, date | None]]:
 
 
 def programme_sessions(text: Column) -> Column:
-    @F.pandas_udf(SESSION)
-    def sessions(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"name": n, "start": a, "end": b, "deadline": d} for n, a, b, d in sessions_of(t)] for t in texts])
-
-    return sessions(text)
+    return in_batches(SESSION, _SESSION, sessions_of, text)
 
 
 def programme_span(sessions: Column) -> Column:

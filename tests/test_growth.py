@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, spans
-from scoutflow.operators import deadlines, filters, modelruns, resolve, structured, validation
+from scoutflow.operators import deadlines, extract, filters, modelruns, resolve, structured, validation
 from scoutflow.plans import registry
 
 
@@ -123,3 +124,36 @@ def test_pages_are_parsed_once_and_after_they_are_dealt_out(spark, sf_dir, name)
     tree = plan.toString()
     assert tree.count("parse(") == 1 and tree.index("parse(") < tree.index("RepartitionByExpression")
     assert "RepartitionByExpression [o_orderkey" in tree and ", 4" in tree[tree.index("RepartitionByExpression") :].split("\n")[0]
+
+
+def _sentences(seed, n):
+    """Texts put together at random out of what dates, spans and deadlines are made of."""
+    pick = random.Random(seed).choice
+    parts = ["3 May 2031", "May 3", "9 June", "June 12, 2031", "3", "12th", "May", "Oct", "September", "2031", "2031-05-01", "2031-05-09", " to ", "-", " - ", "until", "Monday", ",", ".", ":", "\n", " ", " ", " ", "  ", "application deadline", "applications open", "registration open", "Application", "Deadline", "deadline for applications", "hotel", "fee", "st", "paid by", "x"]
+    return ["".join(pick(parts) + pick(["", " "]) for _ in range(pick([4, 12, 30]))) for _ in range(n)]
+
+
+def test_spans_and_deadlines_lose_none_where_patterns_are_left_out(monkeypatch):
+    patterns = deadlines.DATED + deadlines.YEARLESS
+    named = spans.compiled_lower([(kind, deadlines.STARTS[kind] + p) for kind, p in patterns])
+    texts = [*_sentences(1, 3000), "3 May 2031 to 9 May 2031", "May 3 - 9, 2031 and 2031-05-01 until 2031-05-09", "1st" + " " * 12 + "to Monday, 4 June 2031", "x" * 300 + " June 3: " + "y " * 40 + "application deadline"]
+    got = [(extract.spans(t), [(k, m.span()) for k, m in spans.matches_of(t.lower(), named, deadlines.SHADOWED, deadlines.begins(t.lower()))]) for t in texts]
+    monkeypatch.setattr(extract, "_may_stand", lambda _: range(len(extract._SPANS)))
+    assert got == [(extract.spans(t), [(k, m.span()) for k, m in spans.matches_of(t.lower(), named, deadlines.SHADOWED)]) for t in texts]
+    assert sum(bool(s) for s, _ in got) > 20 and {k for _, ms in got for k, _ in ms} >= {"dated", "date first", "date after"}
+
+
+def test_patterns_are_left_out_only_without_their_words(spark):
+    kinds = [p for _, p in extract.FUNDING + extract.LEVELS] + extract.IN_PERSON + extract.ONLINE + extract.STRONG_CLOSED + extract.WEAK_CLOSED + extract.NOT_OPEN + extract.OPEN
+    assert {*kinds, "hybrid", extract.OWN_COST, extract.FUNDING_WORDS} == set(extract.NEEDS)
+    said = [
+        "Covers your airfare.", "Bursaries", "A FELLOWSHIP to attend", "Tuition waiver", "waived tuition fee", "Stipends", "meals are provided", "covers subsistence", "all costs are covered", "fully funded", "MASTER level", "Doctoral", "post-doc", "Postdoc",
+        "early career", "In person", "onsite", "Residential", "Field school", "the VENUE", "hosted in", "will be held in Lund", "course at EMBL", "Webinar", "no longer accepting applications", "Selection results were sent", "application period is over", "Registration is  closed",
+        "the application has passed", "applications closed", "registration is not yet open", "Apply  today", "applications welcome", "Call for applications", "Students should pay their own travel", "applicants are responsible for fees", "",
+    ]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    t = F.col("t")
+    flags = F.array(*[extract.says(t, [p]) for p in extract.NEEDS])
+    plain = F.array(*[t.rlike(f"(?i){p}") for p in extract.NEEDS])
+    seen = rows.select(flags.alias("a"), plain.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in seen) and sum(any(r["a"]) for r in seen) >= len(said) - 3
