@@ -25,6 +25,7 @@ DATA_TERMS = [
     "scientific computing", "rna-seq", "omics",
 ]
 DEGREE_WORDS = r"(?i)\bdegree program(?:me)?s?\b"
+LEVEL_NAMES = ["a1", "a2", "b1", "b2", "c1", "c2"]
 LEVEL_STEP = r"(?i)\b[abc][12]\+?\s*(?:→|->|–|—|-|to)\s*[abc][12]\+?"
 AGGREGATORS = [
     "opportunitiescorners.com", "opportunitydesk.org", "scholarshippositions.com", "scholarshiproar.com", "scholarships.com",
@@ -44,8 +45,10 @@ MIN_DAYS, SOON_DAYS, MAX_FEE, MAX_FEE_PER_DAY = 5, 15, 400, 70
 
 def excluded_programme(text: Column) -> Column:
     """Degree recruitment and language teaching. A degree page that names a school as well is kept, whatever else it says."""
-    degree_page = F.coalesce(text, F.lit("")).rlike(DEGREE_WORDS)
-    language = tx.any_term(text, LANGUAGE_TERMS) | F.coalesce(text, F.lit("")).rlike(LEVEL_STEP)
+    # Patterns are tried only on texts that hold a word that they need.
+    says = lambda needs, pattern: tx.lowered(F.coalesce(text, F.lit("")), lambda t, low: tx.has_any(low, needs) & t.rlike(pattern))
+    degree_page = says(["degree"], DEGREE_WORDS)
+    language = tx.any_term(text, LANGUAGE_TERMS) | says(LEVEL_NAMES, LEVEL_STEP)
     return tx.any_term(text, DEGREE_TERMS) | F.when(degree_page, ~tx.any_term(text, PROGRAMME_TERMS)).otherwise(language)
 
 

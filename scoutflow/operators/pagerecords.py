@@ -69,9 +69,9 @@ def given(page: Column, url: Column, recognisers: dict[str, Adapter], adapters:
 def funding(text: Column, given_types: Column) -> Column:
     """``struct<available, types, evidence>``. Where participants pay for themselves, vague support is none."""
     types = F.coalesce(given_types, extract.funding_types(text))
-    own_cost = tx.evidence_window(text, f"(?i){extract.OWN_COST}")
+    own_cost = tx.evidence_window(text, f"(?i){extract.OWN_COST}", needs=extract.NEEDS[extract.OWN_COST])
     none = given_types.isNull() & (own_cost != "") & (F.size(F.array_remove(types, extract.VAGUE_FUNDING)) == 0)
-    evidence = tx.evidence_window(text, f"(?i){extract.FUNDING_WORDS}")
+    evidence = tx.evidence_window(text, f"(?i){extract.FUNDING_WORDS}", needs=extract.NEEDS[extract.FUNDING_WORDS])
     return F.struct(
         F.when(none, False).when(F.size(types) > 0, True).alias("available"), F.when(none, F.slice(types, 1, 0)).otherwise(types).alias("types"),
         F.when(none, own_cost).otherwise(evidence).alias("evidence"),
