@@ -157,3 +157,14 @@ def test_patterns_are_left_out_only_without_their_words(spark):
     plain = F.array(*[t.rlike(f"(?i){p}") for p in extract.NEEDS])
     seen = rows.select(flags.alias("a"), plain.alias("b")).collect()
     assert all(r["a"] == r["b"] for r in seen) and sum(any(r["a"]) for r in seen) >= len(said) - 3
+
+
+def test_records_meet_in_as_few_joins_as_they_need(spark, tmp_path):
+    """Facts carry what tells of a match, titles join the pairs, and legs without rows are left out: this took ten joins."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = spark.createDataFrame([(i, f"Summer school {'ab'[i % 2]}", ["lund", "oslo"][i // 3], datetime.date(2026, 8, 1)) for i in range(6)], "rid long, title string, location string, start_date date")
+    records = resolve.records_of(rows)
+    own = resolve.own_facts(records).checkpoint()
+    got = resolve.possible_matches(records, resolve.related_places(records).checkpoint(), own, own)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(6) for b in range(6) if a != b and a // 3 == b // 3}
