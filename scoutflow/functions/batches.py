@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 def in_batches(kind: str, arrow: pa.DataType, one: Callable, *columns: Column) -> Column:
     """``one`` of each row's values as a column of type ``kind`` (``arrow``, in Arrow's terms). Lists of structs come back as tuples: by way of pandas each would be copied twice."""
 
-    @F.arrow_udf(kind)
     def all_of(*values: pa.Array) -> pa.Array:
         return pa.array([one(*row) for row in zip(*(v.to_pylist() for v in values))], type=arrow)
 
-    return all_of(*columns)
+    all_of.__name__ = one.__name__  # what plans show
+    return F.arrow_udf(all_of, kind)(*columns)

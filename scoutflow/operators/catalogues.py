@@ -7,16 +7,18 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutflow.functions import urls
+from scoutflow.functions.batches import in_batches
 from scoutflow.operators import coverage
 from scoutflow.operators.deadlines import chosen_deadline, deadlines
 from scoutflow.operators.extract import parsed_page
 
 CARDS = "array<struct<text:string,links:array<struct<href:string,label:string>>>>"
+_CARDS = pa.list_(pa.struct([("text", pa.string()), ("links", pa.list_(pa.struct([("href", pa.string()), ("label", pa.string())])))]))
 # Hosts that are no event's own page.
 SOCIAL = ["facebook.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "instagram.com"]
 # Gives ``url, html`` (null where there is no page) for ``url``.
@@ -30,6 +32,9 @@ class _Cards(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.wanted, self.found, self.open, self.hidden, self.link = wanted, [], [], 0, None
 
+    def updatepos(self, i, j):
+        return j  # lines are not counted: nobody asks where a tag stands
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in ("script", "style", "noscript"):
@@ -66,17 +71,14 @@ def cards(html: Column, page_url: Column, classes: Sequence[str]) -> Column:
     """The page's cards in order, with their text and their links made absolute. A null page has none."""
     wanted = frozenset(classes)
 
-    @F.pandas_udf(CARDS)
-    def cut(pages: pd.Series, bases: pd.Series) -> pd.Series:
-        out = []
-        for page, base in zip(pages, bases):
-            reader = _Cards(wanted)
-            reader.feed(page or "")
-            reader.close()
-            out.append([{"text": " ".join(" ".join(words).split()), "links": [{"href": urljoin(base or "", h), "label": t} for h, t in links]} for words, links in reader.found])
-        return pd.Series(out)
+    def cut(page: str | None, base: str | None) -> list[tuple]:
+        reader = _Cards(wanted)
+        reader.feed(page or "")
+        reader.close()
+        whole = {h: urljoin(base or "", h) for h in {h for _, links in reader.found for h, _ in links}}
+        return [(" ".join(" ".join(words).split()), [(whole[h], t) for h, t in links]) for words, links in reader.found]
 
-    return cut(html, page_url)
+    return in_batches(CARDS, _CARDS, cut, html, page_url)
 
 
 def listed_events(pages: DataFrame, classes: Sequence[str], path: str) -> DataFrame:
@@ -89,8 +91,9 @@ def listed_events(pages: DataFrame, classes: Sequence[str], path: str) -> DataFr
     best = F.array_max(F.transform(named, lambda x, i: F.struct(F.length(x["label"]).alias("n"), (-i).alias("at"), x["href"].alias("url"), x["label"].alias("title"))))
     rows = rows.select("page_url", "ord", best.alias("best"), coverage.listing_range(F.col("card.text")).alias("range"), F.col("card.text").alias("text"))
     dated = rows.filter("best is not null and range.start is not null and range.end is not null").select("page_url", "ord", "best.url", "best.title", "range.start", "range.end", "text")
-    first = dated.groupBy("page_url", "url").agg(F.min("ord").alias("ord"))
-    return dated.join(first, ["page_url", "url", "ord"])
+    # Aggregated, not joined to its own firsts: that cut every page a second time. Column by column, so that a text nobody asks for does not travel.
+    first = dated.groupBy("page_url", "url").agg(*[F.min_by(c, "ord").alias(c) for c in ("title", "start", "end", "text")], F.min("ord").alias("ord"))
+    return first.select("page_url", "ord", "url", "title", "start", "end", "text")
 
 
 @dataclass(frozen=True)

@@ -132,6 +132,9 @@ class _Reader(HTMLParser):
         self.hidden, self.heading, self.anchor, self.in_title, self.data = 0, None, None, False, None
         self.cards: list[tuple[int, int]] = []
 
+    def updatepos(self, i, j):
+        return j  # lines are not counted: nobody asks where a tag stands
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "script" and (a.get("type") or "").lower() == "application/ld+json":

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, spans
-from scoutflow.operators import deadlines, extract, filters, modelruns, resolve, structured, validation
+from scoutflow.operators import catalogues, deadlines, extract, filters, modelruns, resolve, structured, validation
 from scoutflow.plans import registry
 
 
@@ -168,3 +168,12 @@ def test_records_meet_in_as_few_joins_as_they_need(spark, tmp_path):
     got = resolve.possible_matches(records, resolve.related_places(records).checkpoint(), own, own)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
     assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(6) for b in range(6) if a != b and a // 3 == b // 3}
+
+
+def test_a_listing_is_cut_into_cards_once(spark):
+    """The join of the cards to their own firsts cut every page twice."""
+    card = lambda n, day: f'<div class="card"><a href="/e/{n}">School {n}</a> {day}/05/40 - {day}/06/40</div>'
+    rows = spark.createDataFrame([("http://c/l", card(2, "03") + card(1, "02") + card(2, "01") + '<div class="card">none</div>'), ("http://c/m", None)], "page_url string, html string")
+    got = catalogues.listed_events(rows, ["card"], "/e/")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("cut(") == 1
+    assert [(r["ord"], r["url"], r["title"], r["start"].day, r["text"]) for r in got.orderBy("ord").collect()] == [(0, "http://c/e/2", "School 2", 3, "School 2 03/05/40 - 03/06/40"), (1, "http://c/e/1", "School 1", 2, "School 1 02/05/40 - 02/06/40")]
