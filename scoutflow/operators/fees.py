@@ -31,7 +31,8 @@ PAID = [
 ]
 HOUSING = r"(?i)room|board|housing|accommodation|hotel"
 # Words of which every match of a pattern holds one: a pattern is tried only where one of them stands.
-FREE_NEEDS = [("free",), ("fee",), ("free",), ("fee",)]
+_NO_FEE = ("no registration", "no participation", "no tuition", "no course")
+FREE_NEEDS = [("free of charge",), _NO_FEE, ("participation is free",), _NO_FEE]
 CONTRIBUTION_NEEDS = [("contribution",)]
 PARTICIPANT_NEEDS = ["student", "master", "msc", "phd", "doctoral", "post", "academic"]
 _SIGNS = ("eur", "usd", "gbp", "chf", "cny", "rmb", "jpy", "inr", "krw", "sgd", "aud", "cad", "€", "$", "£")

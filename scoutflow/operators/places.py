@@ -84,7 +84,7 @@ def page_title(headings: Column, shared_title: Column, title: Column) -> Column:
 
 def page_place(pieces: Column, headings: Column, text: Column, region: Column) -> Column:
     """The place of a page: below a label, below the date of a heading, or in prose; else its source's region. Continental Europe is Europe."""
-    raw = F.coalesce(F.nullif(label_value(pieces, PLACE_LABELS), F.lit("")), F.nullif(heading_place(headings), F.lit("")), tx.first_match(text, validation.PLACE_PATTERNS))
+    raw = F.coalesce(F.nullif(label_value(pieces, PLACE_LABELS), F.lit("")), F.nullif(heading_place(headings), F.lit("")), tx.first_match(text, validation.PLACE_PATTERNS, validation.PLACE_NEEDS))
     named = lambda place: F.when(F.lower(F.trim(place)) == "continental europe", "Europe").otherwise(place)
     return tx.let(validation.clean_place(raw), lambda clean: named(F.when(clean != "", clean).otherwise(F.coalesce(region, F.lit("")))))
 

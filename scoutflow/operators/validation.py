@@ -211,6 +211,7 @@ PLACE_PATTERNS = [
     r"(?i)hosted in\s+([^.;\n]{2,80})",
     r"(?i)(?:will\s+)?(?:take place|be held)\s+in\s+(.{2,80}?)(?=,?\s+from\b|[.;])",
 ]
+PLACE_NEEDS = [("location", "venue", "place"), ("hosted in",), ("take place", "be held")]  # words of which every match holds one
 NO_PLACE_START = ["a", "an", "the", "that", "which"]
 PLACE_NAMES = ["host", "hosts", "location", "venue", "place"]
 
@@ -248,6 +249,6 @@ def clean_place(value: Column) -> Column:
 
 def place_of(text: Column, region: Column) -> Column:
     """The place that a text states, else its source's region; Continental Europe is Europe."""
-    found = clean_place(tx.first_match(text, PLACE_PATTERNS))
+    found = clean_place(tx.first_match(text, PLACE_PATTERNS, PLACE_NEEDS))
     out = F.coalesce(F.nullif(found, F.lit("")), region, F.lit(""))
     return F.when(F.lower(F.trim(out)) == "continental europe", "Europe").otherwise(out)

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoutflow.functions import dates, spans
-from scoutflow.operators import catalogues, deadlines, extract, filters, modelruns, resolve, structured, validation
+from scoutflow.functions import text as tx
+from scoutflow.operators import catalogues, deadlines, extract, fees, filters, modelruns, resolve, structured, validation
 from scoutflow.plans import registry
 
 
@@ -170,6 +171,14 @@ def test_records_meet_in_as_few_joins_as_they_need(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(6) for b in range(6) if a != b and a // 3 == b // 3}
 
 
+def test_fees_and_places_are_found_with_their_words_alone(spark):
+    texts = ["FREE of charge", "There are no course fees", "no Tuition fee", "Participation is free", "Fees: EUR 20", "Venue : Lund", "Hosted in Oslo", "It will take place in Rome, from May", "be held in Bonn.", "nothing", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    patterns = [([f"(?i){p}" for p in fees.FREE], fees.FREE_NEEDS), ([f"(?i){p}" for p in fees.PAID], fees.PAID_NEEDS), (validation.PLACE_PATTERNS, validation.PLACE_NEEDS)]
+    got = rows.orderBy("i").select(*[F.struct(tx.first_match(F.col("t"), p, needs), tx.first_match(F.col("t"), p)) for p, needs in patterns]).collect()
+    assert all(gated == plain for row in got for gated, plain in row) and [any(x[0] for x in row) for row in got] == [True] * 9 + [False] * 2
+
+
 def test_a_listing_is_cut_into_cards_once(spark):
     """The join of the cards to their own firsts cut every page twice."""
     card = lambda n, day: f'<div class="card"><a href="/e/{n}">School {n}</a> {day}/05/40 - {day}/06/40</div>'
